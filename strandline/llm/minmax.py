@@ -177,7 +177,7 @@ def sequence_records(calls: DataFrame, min_bases: int = MIN_BASES) -> DataFrame:
     return (
         calls.select("row_id", ref.alias("r"), alt.alias("a"))
         .where(F.col("row_id").isNotNull() & (F.greatest(F.length("r"), F.length("a")) >= min_bases))
-        .where(F.col("r").rlike("^[ACGTN]+$") & F.col("a").rlike("^[ACGTN]+$"))
+        .where(F.col("r").rlike(r"^[ACGTN]+\z") & F.col("a").rlike(r"^[ACGTN]+\z"))
         .select("row_id", F.when(F.length("r") > F.length("a"), F.col("r")).otherwise(F.col("a")).alias("allele"))
     )
 

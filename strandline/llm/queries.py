@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, components, minmax, mixing
+from strandline.llm import bpe, components, minmax, mixing, sentences
 from strandline.session import table
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_ids": lambda s, d: bpe.token_ids(table(s, d, "documents")),
         "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_shares": lambda s, d: mixing.mix_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p9_found": lambda s, d: sentences.sentence_spans(table(s, d, "documents")),
     }
 
 

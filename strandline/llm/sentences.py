@@ -172,6 +172,10 @@ def _stop_ends(text: str, at: int, begin: int, small: bool) -> bool:
     follows = text[upto] if upto < n else ""
     if not follows or _is_emoji(follows):
         return True
+    if after in CLOSERS:  # the end of a quotation that began in another part
+        beyond = _next_visible(text, at + 2)
+        if beyond < n and text[beyond].islower() and not small:
+            return False
     if "฀" <= before <= "๿":
         return False
     kind, since = abbreviation(text, at)
