@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.operators import compare, coverage, packed, quarantine
+from strandline.plans import catalog
 from strandline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,7 +78,7 @@ SELECT line_id, reason FROM reasons WHERE reason IS NOT NULL
 
 
 def queries() -> dict[str, Query]:
-    return {
+    return catalog.QUERIES | {
         "p2_found": lambda s, d: coverage.coverage(table(s, d, "svcalls"), table(s, d, "hr_regions")),
         "p3_found": lambda s, d: packed.split_packed(table(s, d, "svcalls")),
         "p4_found": lambda s, d: compare.call_differences(table(s, d, "calls_a"), table(s, d, "calls_b")),
@@ -86,4 +87,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+    return catalog.SQL | {"p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
