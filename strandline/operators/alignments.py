@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.cigar import lift_to_query, lift_to_ref
+from strandline.functions.sequence import reverse_complement
 
 
 def region_slices(pairs: DataFrame, alignments: DataFrame, buffer: int, segment: int) -> DataFrame:
@@ -131,3 +136,51 @@ def inversions(alignments: DataFrame, keys: list[str], order: list[str]) -> Data
     rows = rows.withColumns({"svlen": F.abs(F.col("sv_end") - F.col("pos")) - F.abs(F.col("altend") - F.col("altpos")), "repeat_bases": F.col("ref_end") - F.col("ref_start_1")})
     status = F.when(F.try_divide(2 * F.abs("svlen"), span) >= 0.1, "ASYMMETRIC").when(F.try_divide(2 * F.abs("repeat_bases"), span) >= 5.0, "REPEAT").otherwise("ok")
     return rows.withColumns({"status": F.coalesce(status, F.lit("ok")), "wide_from": F.col("ref_start_1"), "wide_to": F.col("ref_end_1"), "svtype": F.lit("INV")})
+
+
+_EXTENSION = T.StructType([T.StructField("left", T.LongType()), T.StructField("right", T.LongType())])
+
+
+def common_bases(ref: str, query: str) -> int:
+    """Bases that both begin with, in any case, up to the first N of the reference."""
+    ref, query = ref.upper(), query.upper()
+    stop = ref.find("N")
+    return len(os.path.commonprefix([ref if stop < 0 else ref[:stop], query]))
+
+
+@F.pandas_udf(_EXTENSION)
+def _extension(ref_before: pd.Series, query_before: pd.Series, ref_after: pd.Series, query_after: pd.Series) -> pd.DataFrame:
+    text = lambda x: x or ""
+    right = [common_bases(text(a), text(b)) for a, b in zip(ref_after, query_after)]
+    left = [common_bases(text(a)[::-1], text(b)[::-1]) for a, b in zip(ref_before, query_before)]
+    return pd.DataFrame({"left": left, "right": right})
+
+
+def extended(alignments: DataFrame, ref_slices, query_slices, reach: int = 2_000) -> DataFrame:
+    """Alignments carried on over exactly matching bases, to the right and to the left; the outer M runs of the CIGAR grow.
+
+    Up to ``reach`` bases are looked at on either side; an alignment that goes on beyond that is one
+    that the aligner would have carried on itself. Windows end at the ends of both sequences.
+    """
+    comp = F.col("comp") == 1
+    right_room = F.least(F.lit(reach), F.when(comp, F.col("query_end") - 1).otherwise(F.lit(reach)))
+    left_room = F.least(F.lit(reach), F.col("ref_start") - 1, F.when(comp, F.lit(reach)).otherwise(F.col("query_start") - 1))
+    rows = alignments.withColumns({"_rr": F.greatest(right_room, F.lit(0)), "_lr": F.greatest(left_room, F.lit(0))})
+    some = lambda room, x: F.when(F.col(room) > 0, x)
+    # Of a reversed alignment the query is read towards its begin, as its reverse complement.
+    rows = ref_slices(rows, "ref_entry", some("_rr", F.col("ref_end") + 1), some("_rr", F.col("ref_end") + F.col("_rr")), "_ra")
+    rows = ref_slices(rows, "ref_entry", some("_lr", F.col("ref_start") - F.col("_lr")), some("_lr", F.col("ref_start") - 1), "_rb")
+    rows = query_slices(rows, "query_entry", some("_rr", F.when(comp, F.col("query_end") - F.col("_rr")).otherwise(F.col("query_end") + 1)), some("_rr", F.when(comp, F.col("query_end") - 1).otherwise(F.col("query_end") + F.col("_rr"))), "_qa")
+    rows = query_slices(rows, "query_entry", some("_lr", F.when(comp, F.col("query_start") + 1).otherwise(F.col("query_start") - F.col("_lr"))), some("_lr", F.when(comp, F.col("query_start") + F.col("_lr")).otherwise(F.col("query_start") - 1)), "_qb")
+    turned = lambda c: F.when(comp, reverse_complement(F.upper(c))).otherwise(F.col(c))
+    rows = rows.withColumn("_x", _extension("_rb", turned("_qb"), "_ra", turned("_qa")))
+    sign = F.when(comp, -1).otherwise(1)
+    grow = lambda pattern, n, cigar: F.when(cigar.rlike(pattern), F.regexp_replace(cigar, pattern, F.concat((F.regexp_extract(cigar, pattern, 1).cast("bigint") + n).cast("string"), F.lit("M")))).otherwise(cigar)
+    cigar = grow(r"^(\d+)M", F.col("_x.left"), grow(r"(\d+)M\z", F.col("_x.right"), F.col("cigar")))
+    out = rows.withColumns(
+        {
+            "ref_start": F.col("ref_start") - F.col("_x.left"), "ref_end": F.col("ref_end") + F.col("_x.right"),
+            "query_start": F.col("query_start") - sign * F.col("_x.left"), "query_end": F.col("query_end") + sign * F.col("_x.right"), "cigar": cigar,
+        }
+    )
+    return out.select(*alignments.columns)

@@ -6,12 +6,31 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOT = Path(__file__).resolve().parent
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, unless PYTHONPATH holds it already."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(_ROOT.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _SHIPPED.add(app)
+    path = Path(tempfile.mkdtemp(prefix="strandline-")) / "strandline.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in _ROOT.rglob("*.py"):
+            archive.write(file, file.relative_to(_ROOT.parent))
+    spark.sparkContext.addPyFile(str(path))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, as a parquet scan (columns are pruned by Catalyst)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
