@@ -46,7 +46,7 @@ MONTHS = frozenset(
     "stycznia lutego marca kwietnia maja czerwca lipca sierpnia września października listopada grudnia".split()
 )
 AND_WORDS = frozenset("and but or then und aber oder y e pero et puis mais ou mas και κι αλλά ed ma".split())
-THAI_FINALS = ("ครับ", "ค่ะ", "คะ", "ค๊ะ", "คับ", "ครับผม", "จ้ะ", "จ้า", "จ๊ะ", "ฮะ", "นะ", "เลย!", "ขอรับ")
+THAI_FINALS = ("ครับ", "ค่ะ", "คะ", "ค๊ะ", "คับ", "ครับผม", "จ้ะ", "จ้า", "จ๊ะ", "ฮะ", "นะ", "ขอรับ")
 OPENERS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "«": "»", "„": "“", "‹": "›", "‚": "‘", "〔": "〕"}
 CLOSERS = frozenset(OPENERS.values()) | {"”", '"', "’", "＂"}
 HARD = "!?。！？।॥؟۔‼⁇⁈⁉｡"
@@ -60,6 +60,8 @@ _RUN = re.compile(f"[{re.escape(HARD + SOFT)}]+")
 _PART = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:(?:\r\n|\n|\r)[^\S\r\n]*)+")
 _EVENT = re.compile(f"[{re.escape(HARD + SOFT + GREEK_QUESTION)}]|[{re.escape(''.join(OPENERS))}\"＂]|(?<=[฀-๿{_INVISIBLE}])\\s+")
 _MARKS_OF_PAIRS = re.compile(f"[{re.escape(''.join(OPENERS) + ''.join(CLOSERS - {'’'}))}]")
+_HELD = re.compile(r"(.)\1+")
+_NOTHING = {ord(c): None for c in _INVISIBLE}
 _WORD = re.compile(r"[^\W\d_]+")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 _ADDRESS_ENDS = frozenset("example com org net edu gov io de fr es info html php jpg png pdf txt co uk".split())
@@ -94,7 +96,7 @@ ABBREVIATIONS = _trie({"late": LATE, "may": MAY, "numeric": NUMERIC, "never": _n
 
 def abbreviation(text: str, dot: int) -> tuple[str | None, int]:
     """Kind of the abbreviation that ends at the full stop, by the longest spelling, and its begin."""
-    node, at, found, begin = ABBREVIATIONS, dot - 1, None, dot
+    node, at, found, begin, last = ABBREVIATIONS, dot - 1, None, dot, ""
     while at >= 0:
         char = text[at]
         if char in _INVISIBLE:
@@ -269,8 +271,8 @@ def _part_spans(text: str) -> Iterator[tuple[int, int]]:
                 end = at
         elif char.isspace():
             at = m.end()
-            said = text[begin:i].rstrip(_INVISIBLE)
-            if said.endswith(THAI_FINALS) and "฀" <= said[-1] <= "๿":
+            said = _HELD.sub(r"\1", text[max(begin, i - 40) : i].translate(_NOTHING))
+            if said.endswith(THAI_FINALS):
                 end = i
         elif char in GREEK_QUESTION:
             at = i + 1
