@@ -126,7 +126,7 @@ def _pairs(text: str) -> dict[int, int]:
     for m in _MARKS_OF_PAIRS.finditer(text):
         char, at = m.group(), m.start()
         if char in '"＂':
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == char), None)
+            depth = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if stack[k][0] == char), None)
             if depth is None:
                 stack.append((char, at))
             else:
@@ -205,10 +205,10 @@ def _stop_ends(text: str, at: int, begin: int, small: bool) -> bool:
             return False
     if touching:
         left = at
-        while left > 0 and not text[left - 1].isspace():
+        while left > max(0, at - 100) and not text[left - 1].isspace():
             left -= 1
         right = at
-        while right < n and not text[right].isspace():
+        while right < min(n, at + 100) and not text[right].isspace():
             right += 1
         token = text[left:right]
         if "://" in token or "@" in token:
@@ -257,6 +257,7 @@ def _part_spans(text: str) -> Iterator[tuple[int, int]]:
     pairs = _pairs(text)
     small = text.lower() == text and text.upper() != text
     begin = at = 0
+    greek = -1
     while (m := _EVENT.search(text, at)) is not None:
         i, char = m.start(), m.group()[0]
         end = -1
@@ -276,7 +277,10 @@ def _part_spans(text: str) -> Iterator[tuple[int, int]]:
                 end = i
         elif char in GREEK_QUESTION:
             at = i + 1
-            if _GREEK.search(text, begin, i):
+            if greek < begin:  # looked up once for each sentence
+                hit = _GREEK.search(text, begin)
+                greek = hit.start() if hit else n
+            if greek < i:
                 end = at
         else:
             run = _RUN.match(text, i)
