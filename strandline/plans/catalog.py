@@ -49,10 +49,10 @@ SVS = f"""(SELECT *, CASE WHEN status0 = 'ok' AND abs(altlength - reflength) < 0
       upper(alt) = '<INS>' AND {_SEQ} IS NOT NULL AS as_ins, upper(alt) = '<DEL>' AND {_END} IS NOT NULL AS as_del FROM {CALLS} c)))"""
 
 _AL = """SELECT l_orderkey * 8 + l_linenumber AS align_no, concat('s', CAST(l_suppkey AS {text})) AS ref_entry, concat('q', CAST(l_partkey AS {text})) AS query_entry,
-  (l_orderkey % 1000) * 10 + l_linenumber AS ref_start, (l_orderkey % 1000) * 10 + l_linenumber + CAST(l_quantity AS BIGINT) * 40 AS ref_end,
-  CASE WHEN l_returnflag = 'R' THEN 30000 - ((l_orderkey % 1000) * 10 + (l_linenumber * 7) % 20) ELSE (l_orderkey % 1000) * 10 + (l_linenumber * 7) % 20 END AS query_start,
-  CASE WHEN l_returnflag = 'R' THEN 30000 - ((l_orderkey % 1000) * 10 + (l_linenumber * 7) % 20 + CAST(l_quantity AS BIGINT) * 40 + (l_linenumber * 5) % 11 - 5) ELSE (l_orderkey % 1000) * 10 + (l_linenumber * 7) % 20 + CAST(l_quantity AS BIGINT) * 40 + (l_linenumber * 5) % 11 - 5 END AS query_end,
-  CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS comp, CAST(round(l_discount * 100) AS BIGINT) AS mismatches, CAST(12000 AS BIGINT) AS ref_len, CAST(30000 AS BIGINT) AS query_len,
+  (l_orderkey % 20000) * 10 + l_linenumber AS ref_start, (l_orderkey % 20000) * 10 + l_linenumber + CAST(l_quantity AS BIGINT) * 40 AS ref_end,
+  CASE WHEN l_returnflag = 'R' THEN 230000 - ((l_orderkey % 20000) * 10 + (l_linenumber * 7) % 20) ELSE (l_orderkey % 20000) * 10 + (l_linenumber * 7) % 20 END AS query_start,
+  CASE WHEN l_returnflag = 'R' THEN 230000 - ((l_orderkey % 20000) * 10 + (l_linenumber * 7) % 20 + CAST(l_quantity AS BIGINT) * 40 + (l_linenumber * 5) % 11 - 5) ELSE (l_orderkey % 20000) * 10 + (l_linenumber * 7) % 20 + CAST(l_quantity AS BIGINT) * 40 + (l_linenumber * 5) % 11 - 5 END AS query_end,
+  CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS comp, CAST(round(l_discount * 100) AS BIGINT) AS mismatches, CAST(220000 AS BIGINT) AS ref_len, CAST(230000 AS BIGINT) AS query_len,
   concat(CAST(CAST(l_quantity AS BIGINT) * 30 AS {text}), 'M', CAST(1 + l_linenumber AS {text}), CASE WHEN l_linenumber % 2 = 0 THEN 'I' ELSE 'D' END, CAST(CAST(l_quantity AS BIGINT) * 10 AS {text}), 'M') AS cigar FROM lineitem"""
 ALIGNMENTS = f"({_AL.format(text='VARCHAR')})"
 
@@ -99,7 +99,7 @@ add("vcf_normalize", f'SELECT row_id, chrom, "start", "end", CAST(reflength AS B
 )
 add(
     "vcf_split",
-    r"""SELECT file, line_no, c[1] AS chrom, TRY_CAST(c[2] AS BIGINT) AS pos, c[3] AS id, c[8] AS info,
+    r"""SELECT file, line_no, c[1] AS chrom, CASE WHEN regexp_full_match(c[2], '\d+') THEN TRY_CAST(c[2] AS BIGINT) END AS pos, c[3] AS id, c[8] AS info,
       CASE WHEN len(c) < 8 THEN 'short' WHEN NOT coalesce(regexp_full_match(c[2], '\d+'), false) THEN 'pos' ELSE 'ok' END AS status
     FROM (SELECT callset AS file, line_no, string_split(regexp_replace(raw_line, '\r\z', ''), chr(9)) AS c, raw_line FROM vcf_raw) WHERE NOT starts_with(raw_line, '#') AND trim(raw_line) <> ''""",
 )(lambda s, d: vcf.split_records(lines(s, d)).select("file", "line_no", "chrom", "pos", "id", "info", "status"))
@@ -307,10 +307,10 @@ add("region_merge", f'SELECT chrom, a AS "start", z AS "end" FROM {_ISLANDS} i')
 def windows(s: SparkSession, d: str) -> DataFrame:
     """One region for each order: 200 bases on the contig that its key names."""
     o = table(s, d, "orders")
-    return o.select(F.concat(F.lit("s"), (F.col("o_orderkey") % 97 + 1).cast("string")).alias("chrom"), F.col("o_orderkey").alias("region_id"), (F.col("o_orderkey") % 9000 + 300).alias("start"), (F.col("o_orderkey") % 9000 + 500).alias("end"))
+    return o.select(F.concat(F.lit("s"), (F.col("o_orderkey") % 97 + 1).cast("string")).alias("chrom"), F.col("o_orderkey").alias("region_id"), (F.col("o_orderkey") % 190000 + 300).alias("start"), (F.col("o_orderkey") % 190000 + 500).alias("end"))
 
 
-WINDOWS = '(SELECT concat(\'s\', CAST(o_orderkey % 97 + 1 AS VARCHAR)) AS chrom, o_orderkey AS region_id, o_orderkey % 9000 + 300 AS "start", o_orderkey % 9000 + 500 AS "end" FROM orders)'
+WINDOWS = '(SELECT concat(\'s\', CAST(o_orderkey % 97 + 1 AS VARCHAR)) AS chrom, o_orderkey AS region_id, o_orderkey % 190000 + 300 AS "start", o_orderkey % 190000 + 500 AS "end" FROM orders)'
 _SPAN = f'(SELECT region_id, w.chrom, w."start", w."end", query_entry, min(comp) AS comp FROM (SELECT w.*, query_entry, comp, bool_or(ref_start < w."start" - 20 AND ref_end > w."start" - 20 + 29) AS l, bool_or(ref_start < w."end" + 20 - 29 AND ref_end > w."end" + 20) AS r FROM {WINDOWS} w JOIN {ALIGNMENTS} a ON a.ref_entry = w.chrom GROUP BY ALL) w WHERE l AND r GROUP BY ALL)'
 add("spanning_pairs", f"SELECT region_id, query_entry, comp FROM {_SPAN} x")(lambda s, d: V.spanning_pairs(windows(s, d), alignments(s, d), 20, 30, 1 << 11).select("region_id", "query_entry", "comp"))
 add("uncovered_regions", f"SELECT region_id FROM {WINDOWS} w WHERE region_id NOT IN (SELECT region_id FROM {_SPAN} x)")(lambda s, d: V.uncovered(windows(s, d), V.spanning_pairs(windows(s, d), alignments(s, d), 20, 30, 1 << 11)).select("region_id"))
@@ -356,8 +356,8 @@ add("inversions", f"SELECT align_no, ref_end AS pos, rs2 - 1 AS sv_end, svlen, r
 
 
 def refined(s: SparkSession, d: str) -> commands.Refined:
-    edges = alignments(s, d).select(F.col("ref_entry").alias("chrom")).distinct().withColumn("contig_len", F.lit(12_000).cast("bigint"))
-    return commands.refine(alignments(s, d), windows(s, d), edges, 20, 30)
+    edges = alignments(s, d).select(F.col("ref_entry").alias("chrom")).distinct().withColumn("contig_len", F.lit(220_000).cast("bigint"))
+    return commands.refine(alignments(s, d), windows(s, d), edges, 20, 30, bin_size=1 << 12)
 
 
 add("refine_status")(lambda s, d: refined(s, d).status)
@@ -382,7 +382,7 @@ add("delta_bed", f"SELECT ref_entry AS chrom, ref_start - 1 AS \"start\", ref_en
 add("sam_rows", f"SELECT query_entry, CASE WHEN comp = 1 THEN 16 ELSE 0 END AS flag, ref_entry, ref_start AS pos, 40 AS mapq, concat(CASE WHEN h > 0 THEN CAST(h AS VARCHAR) || 'H' ELSE '' END, cigar, CASE WHEN t > 0 THEN CAST(t AS VARCHAR) || 'H' ELSE '' END) AS cigar FROM (SELECT *, CASE WHEN comp = 1 THEN query_len - query_start ELSE query_start - 1 END AS h, CASE WHEN comp = 1 THEN query_end - 1 ELSE query_len - query_end END AS t FROM {ALIGNMENTS} a)")(
     lambda s, d: sinks.sam_rows(alignments(s, d))
 )
-add("plot_segments", f"SELECT align_no FROM {ALIGNMENTS} a WHERE ref_entry = 's7' AND ref_start < ref_end AND ref_start <= 6000 AND 2000 <= ref_end")(lambda s, d: commands.plot_segments(alignments(s, d), ("s7", 2000, 6000)).select("align_no"))
+add("plot_segments", f"SELECT align_no FROM {ALIGNMENTS} a WHERE ref_entry = 's7' AND ref_start < ref_end AND ref_start <= 90000 AND 20000 <= ref_end")(lambda s, d: commands.plot_segments(alignments(s, d), ("s7", 20000, 90000)).select("align_no"))
 add("axis_extents", f"WITH a AS {_GROUPED}, r AS (SELECT *, count(*) OVER (PARTITION BY ref_entry, query_entry) AS n, row_number() OVER (PARTITION BY ref_entry, query_entry ORDER BY ref_start, align_no) AS up, row_number() OVER (PARTITION BY ref_entry, query_entry ORDER BY ref_end DESC, align_no) AS down FROM a) SELECT ref_entry, query_entry, min(CASE WHEN n <= 4 OR up > 1 THEN ref_start END) AS ref_from, max(CASE WHEN n <= 4 OR down > 1 THEN ref_end END) AS ref_to, min(least(query_start, query_end)) AS query_from, max(greatest(query_start, query_end)) AS query_to FROM r GROUP BY ALL")(
     lambda s, d: commands.axis_extents(alignments(s, d), True)
 )

@@ -151,11 +151,11 @@ class Refined:
     status: DataFrame
 
 
-def refine(alignments: DataFrame, regions: DataFrame, contigs: DataFrame, buffer: int = 0, segment: int = 50, max_size: int = 0) -> Refined:
+def refine(alignments: DataFrame, regions: DataFrame, contigs: DataFrame, buffer: int = 0, segment: int = 50, max_size: int = 0, bin_size: int = V.BIN) -> Refined:
     """Variants, homozygous-reference stretches and uncovered regions from alignments of contigs (``region_id, chrom, start, end`` regions)."""
     inside = V.away_from_edges(regions, contigs, buffer)
     usable = inside.where("status = 'ok'").drop("status")
-    pairs = durable(V.spanning_pairs(usable, alignments, buffer, segment), "pairs")
+    pairs = durable(V.spanning_pairs(usable, alignments, buffer, segment, bin_size), "pairs")
     slices = durable(A.spanning(A.region_slices(pairs, alignments.drop("chrom"), buffer, segment), buffer), "slices")
     status = A.region_status(slices)
     on = slices.where("ref_entry = chrom")

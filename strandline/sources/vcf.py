@@ -33,7 +33,7 @@ def split_records(lines: DataFrame) -> DataFrame:
     status = F.when(F.size("c") < 8, "short").when(~at(1).rlike(r"^\d+\z"), "pos").otherwise("ok")
     return rows.select(
         "file", "line_no", "line",
-        at(0).alias("chrom"), at(1).try_cast("bigint").alias("pos"), *(at(i).alias(n) for i, n in enumerate(CORE) if i > 1),
+        at(0).alias("chrom"), F.when(at(1).rlike(r"^\d+\z"), at(1)).try_cast("bigint").alias("pos"), *(at(i).alias(n) for i, n in enumerate(CORE) if i > 1),
         at(8).alias("format"), F.slice("c", 10, 1 << 20).alias("samples"), status.alias("status"),
     )
 
