@@ -25,7 +25,7 @@ from strandline.operators import intervals as V
 from strandline.operators import scoring
 from strandline.operators.bandjoin import band_join, band_self_pairs
 from strandline.plans import commands
-from strandline.session import table
+from strandline.session import durable, table
 from strandline.sources import fasta, sinks, tabular, vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,8 +197,8 @@ def call_matches(s: SparkSession, d: str) -> DataFrame:
 
 
 def benchmarked(s: SparkSession, d: str) -> scoring.Benchmark:
-    rows = svs(s, d).withColumn("id", F.col("row_id"))
-    return scoring.score(rows.where("side = 0"), rows.where("side = 1"), call_matches(s, d))
+    rows = durable(svs(s, d).select("row_id", "side", F.col("row_id").alias("id")), "records")
+    return scoring.score(rows.where("side = 0"), rows.where("side = 1"), durable(call_matches(s, d), "matches"))
 
 
 add("band_join_pairs", f"SELECT test_key, truth_key FROM ({_PAIR})")(lambda s, d: call_pairs(s, d).select("test_key", "truth_key"))

@@ -43,7 +43,7 @@ WIDEN_INFO = (
 def number(x: Column) -> Column:
     """15 significant digits, without trailing zeros; null prints as NaN."""
     digits = F.format_string("%.15g", x.cast("double"))
-    plain = F.when(digits.contains("e"), digits).when(digits.contains("."), F.regexp_replace(digits, r"\.?0+\z", "")).otherwise(digits)
+    plain = F.when(digits.contains("e"), F.regexp_replace(digits, r"\.?0*e", "e")).when(digits.contains("."), F.regexp_replace(digits, r"\.?0+\z", "")).otherwise(digits)
     return F.when(x.isNull(), "NaN").otherwise(plain)
 
 
