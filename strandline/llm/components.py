@@ -19,12 +19,11 @@ Every round is a table in the shared folder; nothing is collected to the driver
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.graph import local_forest
 from strandline.session import drop_durable, durable
 
 CELL_EDGES = 400_000
@@ -33,41 +32,6 @@ MISSING_IDS = ("", ".", "NA")  # fixed values of the data: ids written so are mi
 MAX_ROUNDS = 60
 
 
-def _local_forest(local_vertices: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[str, str] = {}
-
-        def root(x: str) -> str:
-            top = x
-            while (up := parent[top]) != top:
-                top = up
-            while (up := parent[x]) != top:
-                parent[x], x = top, up
-            return top
-
-        def forest() -> Iterator[pa.RecordBatch]:
-            rows = [(v, r) for v in parent if (r := root(v)) != v]
-            for at in range(0, len(rows), 100_000):
-                part = rows[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in part], pa.string()), pa.array([r for _, r in part], pa.string())], ["v", "r"])
-            parent.clear()
-
-        for batch in batches:
-            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parent.setdefault(u, u)
-                parent.setdefault(v, v)
-                a, b = root(u), root(v)
-                if a < b:
-                    parent[b] = a
-                elif b < a:
-                    parent[a] = b
-            if len(parent) > local_vertices:
-                yield from forest()
-        yield from forest()
-
-    return run
-
-
 def component_parents(edges: DataFrame, cell_edges: int = CELL_EDGES, local_vertices: int = LOCAL_VERTICES) -> DataFrame:
     """``v, m``: the least vertex of its component for every vertex that isn't the least itself.
 
@@ -79,7 +43,7 @@ def component_parents(edges: DataFrame, cell_edges: int = CELL_EDGES, local_vert
         side = max(1, math.ceil(math.sqrt(left / cell_edges)))
         cells = now.select("u", "v", F.pmod(F.xxhash64("u"), F.lit(side)).alias("row"), F.pmod(F.xxhash64("v"), F.lit(side)).alias("col"))
         cells = cells.repartition(1) if side == 1 else cells.hint("rebalance", "row", "col")
-        local = cells.select("u", "v").mapInArrow(_local_forest(local_vertices), "v string, r string")
+        local = cells.select("u", "v").mapInArrow(local_forest(local_vertices), "v string, r string")
         # At most two representatives for each block of the grid meet at a vertex.
         met = local.groupBy("v").agg(F.min("r").alias("m"), F.collect_set("r").alias("all"))
         met = durable(met, "met")
