@@ -1,8 +1,8 @@
 """Differences between two copies of a keyed table (problem 4).
 
 Both copies keep the latest row of each key (map-side combine, so repeated rows of a hot key vanish
-before the shuffle). The rows of a copy are laid out in the same ranges of hashed keys and sorted by
-key within. Chunks are content-defined: one ends where the rolling hash over the last ``WINDOW``
+before the shuffle). The rows of both copies are laid out in the same ranges of hashed keys, about
+``RANGE_ROWS`` rows each, and sorted by key within. Chunks are content-defined: one ends where the rolling hash over the last ``WINDOW``
 keys meets a condition, so an inserted or missing row moves the cuts of its own chunk only. A chunk's
 fingerprint is its row count and two folded 64-bit hashes of its rows. Chunks whose fingerprints the
 other copy has too are equal and drop out by an anti-join; only the rows of the rest are compared.
@@ -14,12 +14,14 @@ equals null.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.session import durable
 
-RANGES = 1024  # ranges of hashed keys; the same on both sides whatever the data
+RANGE_ROWS = 20_000  # rows in a range of hashed keys, about; a range is sorted by one task
 WINDOW = 4
 CUT_MASK = 31  # a chunk ends at one row in 32
 MISSING = ("", ".", "NA")  # fixed values of the data: spellings of a missing value
@@ -45,9 +47,9 @@ def latest(df: DataFrame, key: str, time: str, values: dict[str, Column]) -> Dat
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(named).alias("x")).select(key, *(F.col(f"x.{k}").alias(k) for k in values))
 
 
-def chunked(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """The rows with the number of their chunk within their range."""
-    hashed = rows.withColumns({"range": F.pmod(F.xxhash64(key), F.lit(RANGES)), "kh": F.xxhash64(key, F.lit(7)), "h1": F.xxhash64(key, *(F.coalesce(F.col(f).cast("string"), F.lit("\0")) for f in fields))})
+def chunked(rows: DataFrame, key: str, fields: list[str], ranges: int) -> DataFrame:
+    """The rows with the number of their chunk within their range. Both copies must have the same number of ranges."""
+    hashed = rows.withColumns({"range": F.pmod(F.xxhash64(key), F.lit(ranges)), "kh": F.xxhash64(key, F.lit(7)), "h1": F.xxhash64(key, *(F.coalesce(F.col(f).cast("string"), F.lit("\0")) for f in fields))})
     hashed = hashed.withColumn("h2", F.xxhash64(F.col("h1"), F.lit(11), *(F.col(f) for f in fields), F.col(key)))
     ordered = Window.partitionBy("range").orderBy(key)
     rolling = F.bit_xor(F.shiftright("kh", 3)).over(ordered.rowsBetween(-(WINDOW - 1), 0))
@@ -60,9 +62,10 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     return rows.groupBy("range", "chunk").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h1").alias("f1"), F.bit_xor("h2").alias("f2"))
 
 
-def differences(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``key, kind, diff_field`` of two tables with the key and the same value columns, one row a key."""
-    sides = [durable(chunked(x, key, fields), "chunks") for x in (a, b)]
+def differences(a: DataFrame, b: DataFrame, key: str, fields: list[str], rows: int) -> DataFrame:
+    """``key, kind, diff_field`` of two tables with the key and the same value columns, one row a key; ``rows`` is about how many either has."""
+    ranges = max(1, math.ceil(rows / RANGE_ROWS))
+    sides = [durable(chunked(x, key, fields, ranges), "chunks") for x in (a, b)]
     prints = [fingerprints(x) for x in sides]
     seal = ["range", "n", "f1", "f2"]
     loose = []
@@ -81,4 +84,4 @@ def call_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Differences of POS, SVTYPE and SVLEN between the typed copy ``a`` and the text export ``b``."""
     left = latest(a, "call_id", "updated_at", {"pos": F.col("pos"), "svtype": _tidy(F.col("svtype")), "svlen": F.col("svlen")})
     right = latest(b, "call_id", "updated_at", {"pos": whole_number(F.col("pos")), "svtype": _tidy(F.col("svtype")), "svlen": whole_number(F.col("svlen"))})
-    return differences(left, right, "call_id", ["pos", "svtype", "svlen"])
+    return differences(left, right, "call_id", ["pos", "svtype", "svlen"], max(a.count(), b.count()))

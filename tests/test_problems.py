@@ -119,12 +119,12 @@ def test_differences_equal_a_full_comparison(spark):
     b |= {f"n{i}": (1, "INS", 1) for i in range(40)}
     schema = "call_id string, pos bigint, svtype string, svlen bigint"
     frames = [spark.createDataFrame([(k, *v) for k, v in x.items()], schema) for x in (a, b)]
-    got = sorted(tuple(r) for r in compare.differences(*frames, "call_id", ["pos", "svtype", "svlen"]).collect())
+    got = sorted(tuple(r) for r in compare.differences(*frames, "call_id", ["pos", "svtype", "svlen"], 60_000).collect())
     want = [(k, "only_a", "none") for k in a.keys() - b.keys()] + [(k, "only_b", "none") for k in b.keys() - a.keys()]
     want += [(k, "differs", n) for k in a.keys() & b.keys() for n, x, y in zip(("POS", "SVTYPE", "SVLEN"), a[k], b[k]) if x != y]
     assert got == sorted(want) and len(got) > 100
     # Most chunks are equal and drop out before any row is compared.
-    left, right = (compare.fingerprints(compare.chunked(f, "call_id", ["pos", "svtype", "svlen"])) for f in frames)
+    left, right = (compare.fingerprints(compare.chunked(f, "call_id", ["pos", "svtype", "svlen"], 3)) for f in frames)
     assert left.join(right, ["range", "n", "f1", "f2"], "left_anti").count() < left.count()
 
 
