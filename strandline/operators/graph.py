@@ -84,7 +84,6 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = durable(small, "stars")
-        after.count()
         drop_durable(now)
         now = after
     raise RuntimeError(f"components did not become stable within {MAX_ROUNDS} rounds")

@@ -205,7 +205,7 @@ add("band_join_pairs", f"SELECT test_key, truth_key FROM ({_PAIR})")(lambda s, d
 add("band_self_pairs", f"SELECT a.row_id AS a_row_id, b.row_id AS b_row_id FROM {SVS} a JOIN {SVS} b ON a.chrom = b.chrom AND a.status = 'ok' AND b.status = 'ok' AND a.pos > 0 AND b.pos > 0 AND abs(a.pos - b.pos) <= 20 AND (a.pos < b.pos OR (a.pos = b.pos AND a.row_id < b.row_id))")(
     lambda s, d: band_self_pairs(svs(s, d), ["chrom"], "pos", ["row_id"], [], 20).select("a_row_id", "b_row_id")
 )
-add("find_matches", f"SELECT count(*) AS n, sum(abs(a.pos - b.pos)) AS total FROM {CALLS} a JOIN {CALLS} b ON a.chrom = b.chrom AND a.side = 0 AND b.side = 1 AND abs(a.pos - b.pos) < 300")(
+add("find_matches", f"SELECT count(*) AS n, CAST(sum(abs(a.pos - b.pos)) AS BIGINT) AS total FROM {CALLS} a JOIN {CALLS} b ON a.chrom = b.chrom AND a.side = 0 AND b.side = 1 AND abs(a.pos - b.pos) < 300")(
     lambda s, d: commands.find_matches(calls(s, d).where("side = 0"), calls(s, d).where("side = 1"), 300).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("a_pos") - F.col("b_pos"))).alias("total"))
 )
 add("zip_records", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no, row_id) AS n FROM {CALLS} c) SELECT n, a.row_id AS a_row_id, b.row_id AS b_row_id FROM (SELECT * FROM r WHERE file LIKE 'cs0000%') a FULL JOIN (SELECT * FROM r WHERE file LIKE 'cs0001%') b USING (n)")(
@@ -496,8 +496,25 @@ def _relational(s: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- sinks
 
 add("flat_table", f"SELECT row_id, chrom, pos, length(ref) AS ref, length(alt) AS alt, list_filter(list_transform(string_split(info, ';'), lambda x: trim(x)), lambda x: starts_with(x, 'SVTYPE=') AND len(string_split(x, '=')) = 2)[-1][8:] AS svtype FROM {CALLS} c")(
-    lambda s, d: calls(s, d).select("row_id", "chrom", "pos", F.length("ref").alias("ref"), F.length("alt").alias("alt"), I.info_value(F.col("info"), "SVTYPE").alias("svtype"))
+    lambda s, d: sinks.flat_table(calls(s, d), ["SVTYPE"], keep=["row_id"]).select("row_id", "chrom", "pos", "ref", "alt", F.col("SVTYPE").alias("svtype"))
 )
+add("genotype_pivot", f"WITH g AS (SELECT row_id AS target_id, sample, array_to_string(list_transform(list_distinct(list(coalesce(contig, '?'))), lambda x: '0'), '/') AS genotype FROM (SELECT DISTINCT a.row_id, h.sample, contig FROM {_WIDE} a JOIN {_STRETCH} h ON a.chrom = h.chrom AND h.hr_start < wide_start AND h.hr_end > wide_end) GROUP BY ALL) SELECT target_id, coalesce(max(CASE WHEN sample = 'NX-00000' THEN genotype END), '.') AS first_sample, coalesce(max(CASE WHEN sample = 'NX-00001' THEN genotype END), '.') AS second_sample FROM g GROUP BY target_id")(
+    lambda s, d: G.genotype_table(G.genotype_strings(G.reference_alleles(wide_calls(s, d), stretches(s, d))), ["NX-00000", "NX-00001"]).select("target_id", F.col("NX-00000").alias("first_sample"), F.col("NX-00001").alias("second_sample"))
+)
+add("last_genotypes", f"SELECT locus, source AS read_name, max(score) AS score FROM {_GENO} g WHERE (locus, source, CAST(read_name AS BIGINT)) IN (SELECT (locus, source, max(CAST(read_name AS BIGINT))) FROM {_GENO} h GROUP BY locus, source) GROUP BY ALL")(
+    lambda s, d: G.last_genotypes(genotypes(s, d).withColumns({"order": F.col("read_name").cast("bigint"), "read_name": F.col("source")}), "order").select("locus", "read_name", "score")
+)
+add("haplotype_build", "SELECT doc_id, concat(substr(text, 11, 0), 'GGG', substr(text, 14, 12)) AS hap_a, concat(substr(text, 11, 10), 'T', substr(text, 26, 0)) AS hap_b FROM documents WHERE length(text) >= 30")(lambda s, d: _haplotypes(s, d))
+
+
+def _haplotypes(s: SparkSession, d: str) -> DataFrame:
+    """Two variants in the text of every document: three letters at 11 replaced, five at 21 deleted but for one."""
+    docs = table(s, d, "documents").where("length(text) >= 30").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("a_chrom"), "text", "doc_id")
+    big = lambda n: F.lit(n).cast("bigint")
+    pairs = docs.withColumns({"b_chrom": F.col("a_chrom"), "a_pos": big(11), "a_end": big(13), "a_alt": F.lit("GGG"), "b_pos": big(21), "b_end": big(25), "b_alt": F.lit("T")})
+    return D.haplotypes(pairs, fasta.slicer(fasta.chunk_text(docs, "a_chrom", "text"))).select("doc_id", "hap_a", "hap_b")
+
+
 add("vcf_text", f"SELECT row_id, concat_ws(chr(9), coalesce(chrom, '.'), coalesce(CAST(pos AS VARCHAR), '.'), coalesce(id, '.'), coalesce(ref, '.'), coalesce(alt, '.'), '.', coalesce(filter, '.'), coalesce(info, '.'), format, genotype) AS line FROM {CALLS} c")(
     lambda s, d: sinks.vcf_lines(calls(s, d).withColumns({"qual": F.lit(None).cast("string"), "samples": F.filter("samples", lambda x: x.isNotNull())}), ["row_id"])
 )

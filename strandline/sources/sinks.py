@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import cigar as C
+from strandline.functions.info import info_value
 from strandline.functions.sequence import wrap
 from strandline.operators.distances import HEADER
 
@@ -136,12 +137,10 @@ def sam_header(contigs: list[tuple[str, int]]) -> list[str]:
     return ["@HD\tVN:1.6\tSO:coordinate", *(f"@SQ\tSN:{n}\tLN:{k}" for n, k in contigs), "@PG\tID:strandline"]
 
 
-def flat_table(records: DataFrame, keys: list[str], sequences: bool = False) -> DataFrame:
-    """One column for each INFO key beside the core columns; alleles as lengths or as sequences."""
-    from strandline.functions.info import info_value
-
-    allele = lambda c: F.col(c) if sequences else F.length(c)
-    return records.select("chrom", "pos", "id", allele("ref").alias("ref"), allele("alt").alias("alt"), "qual", "filter", *(info_value(F.col("info"), k).alias(k) for k in keys))
+def flat_table(records: DataFrame, keys: list[str], sequences: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """One column for each INFO key beside the core columns (and those to ``keep``); alleles as lengths or as sequences."""
+    allele = lambda c: F.col(c) if sequences else F.length(c).cast("bigint")
+    return records.select(*(keep or []), "chrom", "pos", "id", allele("ref").alias("ref"), allele("alt").alias("alt"), "qual", "filter", *(info_value(F.col("info"), k).alias(k) for k in keys))
 
 
 def fasta_lines(sequences: DataFrame, width: int = 50) -> DataFrame:
