@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from strandline.session import durable
 
 K = 12  # bases in a window
-BANDS = 32  # permutations; at a likeness of 0.5 a pair is missed with 0.75 ** 32 = 1e-4
+BANDS = 48  # permutations; at a likeness of 0.5 a pair is missed with 0.75 ** 48 = 1e-6
 LIKENESS = 0.5
 MIN_BASES = 150
 SEED = 20240229
