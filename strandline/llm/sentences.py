@@ -57,7 +57,8 @@ _INVISIBLE = "­​‌⁠﻿"
 _EMOJI = "[\U0001f000-\U0001fbff☀-➿⬀-⯿⌚-⏿⃣️‍]"
 _TAIL = re.compile(f"(?:[{re.escape(HARD + SOFT)}]| ?{_EMOJI}+|[)\\]}}）］】」』》〉”»›＂]|[\"“’](?=\\s|$))*")
 _RUN = re.compile(f"[{re.escape(HARD + SOFT)}]+")
-_PART = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:(?:\r\n|\n|\r)[^\S\r\n]*)+")
+_BREAK = r"(?:\r\n|\r(?!\n)|(?<!\r)\n)"  # never one half of a pair
+_PART = re.compile(rf"{_BREAK}[^\S\r\n]*(?:{_BREAK}[^\S\r\n]*)+")
 _EVENT = re.compile(f"[{re.escape(HARD + SOFT + GREEK_QUESTION)}]|[{re.escape(''.join(OPENERS))}\"＂]|(?<=[฀-๿{_INVISIBLE}])\\s+")
 _MARKS_OF_PAIRS = re.compile(f"[{re.escape(''.join(OPENERS) + ''.join(CLOSERS - {'’'}))}]")
 _HELD = re.compile(r"(.)\1+")

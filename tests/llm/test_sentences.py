@@ -35,6 +35,14 @@ def test_any_white_space_parts_sentences(joint):
     assert [text[a:b] for a, b in S.spans(text)] == ["One is here.", "Two is there!"]
 
 
+@pytest.mark.parametrize("one", ["\n", "\r\n", "\r", " \r\n "])
+def test_one_line_break_does_not_part_a_sentence_but_a_blank_line_does(one):
+    text = f"Depois de uma{one}semana adorei. Has anyone else{one}tried it?"
+    assert len(S.spans(text)) == 2
+    blank = f"Depois de uma{one}{one.lstrip()}semana"
+    assert [blank[a:b] for a, b in S.spans(blank)] == ["Depois de uma", "semana"]
+
+
 def test_nothing_is_lost_and_nothing_overlaps():
     for joint, parts in CASES:
         text = joint.join(parts * 3)
