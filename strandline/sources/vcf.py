@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import info as I
 from strandline.functions.sequence import IUPAC
+from strandline.session import durable
 
 CORE = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
 
@@ -126,10 +127,11 @@ def with_running_ids(records: DataFrame, prefix: str, order: list) -> DataFrame:
     """Gives missing ids (null or ``.``) ``prefix`` and a running number over ``order``.
 
     Numbers run over the records without an id. They are counted by range partitions, so no single
-    task sorts the whole table.
+    task sorts the whole table. The partitions are stored, as ranges drawn anew could differ.
     """
     missing = F.col("id").isNull() | (F.col("id") == ".")
     ranged = records.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id(), "_lacks": missing})
+    ranged = durable(ranged, "ranges")
     counts = ranged.where("_lacks").groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.sum(F.col("_lacks").cast("bigint")).over(Window.partitionBy("_part").orderBy("_seq"))
