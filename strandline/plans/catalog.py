@@ -367,7 +367,7 @@ _GROUPED = f"(SELECT * FROM {ALIGNMENTS} a)"
 add("longest_alignments", f"WITH a AS {_GROUPED}, p AS (SELECT DISTINCT query_entry, unnest([least(query_start, query_end), greatest(query_start, query_end)]) AS p FROM a), best AS (SELECT DISTINCT arg_min(align_no, (lo - hi, align_no)) AS align_no FROM p JOIN (SELECT query_entry, align_no, least(query_start, query_end) AS lo, greatest(query_start, query_end) AS hi FROM a) x ON x.query_entry = p.query_entry AND lo <= p AND p <= hi GROUP BY p.query_entry, p) SELECT align_no, align_no NOT IN (SELECT align_no FROM best) AS redundant FROM a")(
     lambda s, d: V.longest_at_endpoints(alignments(s, d), "query_entry", "query_start", "query_end", "align_no", 1 << 11).select("align_no", "redundant")
 )
-add("end_alignments")(lambda s, d: commands.end_alignments(alignments(s, d)))
+add("end_alignments", f"WITH a AS (SELECT *, ref_start = 1 AND query_start = 1 AS l, ref_end = ref_len AND query_end = query_len AS r, mismatches / list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MID]', 1), lambda x: CAST(x AS BIGINT))) AS rate FROM {ALIGNMENTS} a) SELECT ref_entry, query_entry, arg_max(align_no, (rate, align_no)) FILTER (WHERE l) AS left_align, arg_max(align_no, (rate, align_no)) FILTER (WHERE r) AS right_align, bool_or(l AND r) AS end_to_end FROM a GROUP BY ALL")(lambda s, d: commands.end_alignments(alignments(s, d)))
 add(
     "liftover",
     f"SELECT align_no, CASE WHEN comp = 1 THEN query_start - 25 ELSE query_start + 25 END AS query_pos FROM {ALIGNMENTS} a WHERE CAST(regexp_extract(cigar, '^(\\d+)M', 1) AS BIGINT) > 25",
@@ -459,7 +459,13 @@ add("genotype_reference", f"SELECT DISTINCT row_id AS target_id, h.sample, conti
 add("genotype_strings", f"SELECT row_id AS target_id, sample, array_to_string(list_transform(list_distinct(list(coalesce(contig, '?'))), lambda x: '0'), '/') AS genotype FROM (SELECT DISTINCT a.row_id, h.sample, contig FROM {_WIDE} a JOIN {_STRETCH} h ON a.chrom = h.chrom AND h.hr_start < wide_start AND h.hr_end > wide_end) GROUP BY ALL")(
     lambda s, d: G.genotype_strings(G.reference_alleles(wide_calls(s, d), stretches(s, d)))
 )
-add("back_genotype")(lambda s, d: commands.back_genotype(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1"), stretches(s, d), 100))
+_BACK = f"""WITH a AS (SELECT * FROM {_WIDE} x WHERE side = 0), b AS (SELECT * FROM {_WIDE} y WHERE side = 1),
+  exact AS (SELECT DISTINCT a.row_id AS target_id, b.sample, b.row_id AS contig FROM a JOIN b USING (chrom, wide_start, wide_end, svtype, svlen)),
+  near AS (SELECT DISTINCT a.row_id AS target_id, b.sample, b.row_id AS contig FROM a JOIN b ON a.chrom = b.chrom AND abs((a.wide_start + a.wide_end) / 2 - (b.wide_start + b.wide_end) / 2) < 100 ANTI JOIN exact e ON e.target_id = a.row_id AND e.sample = b.sample),
+  ref AS (SELECT DISTINCT a.row_id AS target_id, h.sample, contig FROM a JOIN {_STRETCH} h ON a.chrom = h.chrom AND h.hr_start < wide_start AND h.hr_end > wide_end),
+  alleles AS (SELECT target_id, sample, '1' AS allele FROM exact UNION ALL SELECT target_id, sample, '1' FROM near UNION ALL SELECT target_id, sample, '0' FROM ref)
+  SELECT target_id, sample, string_agg(allele, '/' ORDER BY allele) AS genotype FROM alleles GROUP BY ALL"""
+add("back_genotype", _BACK)(lambda s, d: commands.back_genotype(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1"), stretches(s, d), 100))
 _GENO = "(SELECT CAST(user_id AS BIGINT) AS locus, event_type AS source, CAST(event_id AS VARCHAR) AS read_name, CASE WHEN event_id % 3 = 0 THEN 'A' ELSE 'C' END AS allele1, CASE WHEN event_id % 4 = 0 THEN 'A' ELSE 'C' END AS allele2, event_id % 50 AS score FROM events)"
 
 
@@ -519,13 +525,13 @@ add("vcf_text", f"SELECT row_id, concat_ws(chr(9), coalesce(chrom, '.'), coalesc
     lambda s, d: sinks.vcf_lines(calls(s, d).withColumns({"qual": F.lit(None).cast("string"), "samples": F.filter("samples", lambda x: x.isNotNull())}), ["row_id"])
 )
 add("distance_text")(lambda s, d: sinks.distance_lines(distances(s, d)))
-add("report_text")(lambda s, d: _report(benchmarked(s, d).metrics))
+add("report_text", _COUNTS + " SELECT concat('Recall: ', printf('%5.2f', 100 * recall_), '%', chr(10), 'Precision: ', printf('%5.2f', 100 * precision_), '%') AS report FROM (SELECT *, ptp / (ptp + fp) AS precision_, dtp / (dtp + fn) AS recall_ FROM t, u)")(lambda s, d: _report(benchmarked(s, d).metrics))
 add("merged_info")(lambda s, d: _merged(s, d))
 
 
 def _report(metrics: DataFrame) -> DataFrame:
     shown = lambda c: F.coalesce(F.format_string("%5.2f", 100 * F.col(c)), F.lit("NaN"))
-    return metrics.select(F.concat_ws("\n", F.concat(F.lit("Recall: "), shown("recall"), F.lit("%")), F.concat(F.lit("Precision: "), shown("precision"), F.lit("%")), F.concat(F.lit("F1: "), sinks.number(F.col("f1")))).alias("report"))
+    return metrics.select(F.concat_ws("\n", F.concat(F.lit("Recall: "), shown("recall"), F.lit("%")), F.concat(F.lit("Precision: "), shown("precision"), F.lit("%"))).alias("report"))
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:

@@ -156,7 +156,8 @@ def refine(alignments: DataFrame, regions: DataFrame, contigs: DataFrame, buffer
     inside = V.away_from_edges(regions, contigs, buffer)
     usable = inside.where("status = 'ok'").drop("status")
     pairs = durable(V.spanning_pairs(usable, alignments, buffer, segment, bin_size), "pairs")
-    slices = durable(A.spanning(A.region_slices(pairs, alignments.drop("chrom"), buffer, segment), buffer), "slices")
+    needed = alignments.select("align_no", "ref_entry", "query_entry", "ref_start", "ref_end", "query_start", "query_end", "comp", "cigar")
+    slices = durable(A.spanning(A.region_slices(pairs, needed, buffer, segment), buffer), "slices")
     status = A.region_status(slices)
     on = slices.where("ref_entry = chrom")
     coverage = on.where("spans").select("chrom", F.col("ref_start").alias("r_start"), F.col("ref_end").alias("r_end"), "query_entry", "query_start", "query_end")
