@@ -28,8 +28,8 @@ dr mr mrs ms mx prof st rev gen col capt lt sgt hon pres gov sen rep messrs mt f
 e.g i.e vs viz cf approx al resp incl excl est
 hr fr frau bzw ca z.b z. b d.h d. h u.a u. a o.ä evtl ggf inkl vgl sog zzgl abzgl dipl ing zz
 mme mlle mgr env c.-à-d p.ex p. ex réf
-sr sra srta dña d. dª p.ej p. ej aprox ud uds vd vds núm lic ing arq
-dott sig sig.ra ecc.to
+sr sra srta dña p.ej p. ej aprox ud uds vd vds núm lic ing arq
+dott sig sig.ra
 dra exmo exma profa
 π.χ π. χ δηλ κ κα κος περ αρ τηλ
 د أ م ص ج
@@ -39,7 +39,7 @@ jan feb apr jun jul aug sept sep oct okt nov dez
 """.split("\n")
 NUMERIC = "no nos nr nrn nº p pp pg pág págs sec sect ch chap fig figs abb tab art cap vol bd s seite ver v n núm ref par z kap εικ σελ".split()
 MAY = "co inc ltd corp bros ave blvd rd jr u.s e.u u.k u.n u.s.a d.c ph.d m.d b.a m.a esq gmbh e.v s.a s.l e.u.a ee.uu dept".split()
-LATE = "etc usw p.m a.m u.s.w u.v.m ff ecc κ.λπ κ.ά κλπ p. m a. m".replace("p. m a. m", "").split()
+LATE = "etc usw p.m a.m u.s.w u.v.m ff ecc κ.λπ κ.ά κλπ".split()
 MONTHS = frozenset(
     "januar jänner februar märz april mai juni juli august september oktober november dezember jan feb apr jun jul aug sep sept okt nov dez "
     "januari februari mars maj juni augusti januar marts tammikuuta helmikuuta ledna února března dubna května června července srpna září října listopadu prosince "
