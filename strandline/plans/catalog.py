@@ -31,7 +31,8 @@ from strandline.sources import fasta, sinks, tabular, vcf
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-NEAR = 50  # bases between paired calls
+NEAR = 50  # bases between paired calls where the SQL pairs them too
+BENCHMARK, MERGE, FIND = commands.BenchmarkParams.max_dist, commands.MergeParams.max_dist, 100_000  # the commands' own windows, of the queries named *_whole
 
 CALLS = "(SELECT row_id, callset AS file, line_no, regexp_replace(chrom, '^chr', '') AS chrom, pos, call_id AS id, trim(ref_allele) AS ref, trim(alt_allele) AS alt, filter_tag AS filter, info, format_keys AS format, genotype, CAST(substr(callset, 3, 4) AS INT) % 2 AS side FROM svcalls)"
 _SVTYPE = "nullif(regexp_extract(info, 'SVTYPE=([^;\\s]+)', 1), '')"
@@ -186,19 +187,19 @@ _MAR = "greatest(greatest(a_end, b_end) - least(a_pos, b_pos) + 1, greatest(a_en
 MATCHES = f"(SELECT test_key, truth_key FROM ({_PAIR}) WHERE {_GAP} <= 0.2 * {_DENOM})"
 
 
-def call_pairs(s: SparkSession, d: str) -> DataFrame:
+def call_pairs(s: SparkSession, d: str, width: int = NEAR) -> DataFrame:
     rows = svs(s, d)
     side = lambda k, n, key: rows.where(F.col("side") == k).select("chrom", F.col("row_id").alias(key), *(F.col(c).alias(f"{n}_{c}") for c in ("pos", "end", "reflength", "altlength")), F.col("chrom").alias(f"{n}_chrom"))
-    return band_join(side(0, "a", "test_key"), side(1, "b", "truth_key"), ["chrom"], "a_pos", "b_pos", NEAR)
+    return band_join(side(0, "a", "test_key"), side(1, "b", "truth_key"), ["chrom"], "a_pos", "b_pos", width)
 
 
-def call_matches(s: SparkSession, d: str) -> DataFrame:
-    return call_pairs(s, d).where(D.potential_match(0.2, 1.0)).select("test_key", "truth_key")
+def call_matches(s: SparkSession, d: str, width: int = NEAR) -> DataFrame:
+    return call_pairs(s, d, width).where(D.potential_match(0.2, 1.0)).select("test_key", "truth_key")
 
 
-def benchmarked(s: SparkSession, d: str) -> scoring.Benchmark:
+def benchmarked(s: SparkSession, d: str, width: int = NEAR) -> scoring.Benchmark:
     rows = durable(svs(s, d).select("row_id", "side", F.col("row_id").alias("id")), "records")
-    return scoring.score(rows.where("side = 0"), rows.where("side = 1"), durable(call_matches(s, d), "matches"))
+    return scoring.score(rows.where("side = 0"), rows.where("side = 1"), durable(call_matches(s, d, width), "matches"))
 
 
 add("band_join_pairs", f"SELECT test_key, truth_key FROM ({_PAIR})")(lambda s, d: call_pairs(s, d).select("test_key", "truth_key"))
@@ -236,6 +237,19 @@ add("false_negatives", f"SELECT row_id FROM {SVS} x WHERE status = 'ok' AND pos
 add("multiple_matches", f"SELECT test_key, count(*) AS n_matches, string_agg(CAST(truth_key AS VARCHAR), ',' ORDER BY truth_key) AS ids FROM {MATCHES} GROUP BY test_key HAVING count(*) > 1")(
     lambda s, d: scoring.multiple_matches(call_matches(s, d), "test_key", "truth_key")
 )
+# The same over the commands' own windows. There are no reference bases in the tables, so a match is one by size here too.
+add("band_join_pairs_whole")(lambda s, d: call_pairs(s, d, BENCHMARK).select("test_key", "truth_key"))
+add("band_self_pairs_whole")(lambda s, d: band_self_pairs(svs(s, d), ["chrom"], "pos", ["row_id"], [], MERGE).select("a_row_id", "b_row_id"))
+add("find_matches_whole")(
+    lambda s, d: commands.find_matches(calls(s, d).where("side = 0"), calls(s, d).where("side = 1"), FIND).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("a_pos") - F.col("b_pos"))).alias("total"))
+)
+add("potential_match_whole")(
+    lambda s, d: call_pairs(s, d, BENCHMARK).select("test_key", "truth_key", D.potential_match(0.2, 1.0).alias("close_size"), D.affected_length().alias("marlength"), D.prohibitive_shift(0.2).alias("prohibitive"))
+)
+add("benchmark_metrics_whole")(lambda s, d: benchmarked(s, d, BENCHMARK).metrics.select("ptp", "fp", "dtp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1"))))
+add("false_positives_whole")(lambda s, d: benchmarked(s, d, BENCHMARK).false_positives.select("row_id"))
+add("false_negatives_whole")(lambda s, d: benchmarked(s, d, BENCHMARK).false_negatives.select("row_id"))
+add("multiple_matches_whole")(lambda s, d: scoring.multiple_matches(call_matches(s, d, BENCHMARK), "test_key", "truth_key"))
 add("classic_match", f"SELECT pair_id FROM {GOOD_PAIRS} p WHERE {CLASSIC}")(lambda s, d: distances(s, d).where(D.classic_match()).select("pair_id"))
 add("rate_match", f"SELECT pair_id FROM {GOOD_PAIRS} p WHERE subsdist <= 0.01 AND indeldist <= 0.1")(lambda s, d: distances(s, d).where(D.rate_match(0.01, 0.1)).select("pair_id"))
 
@@ -526,6 +540,7 @@ add("vcf_text", f"SELECT row_id, concat_ws(chr(9), coalesce(chrom, '.'), coalesc
 )
 add("distance_text")(lambda s, d: sinks.distance_lines(distances(s, d)))
 add("report_text", _COUNTS + " SELECT concat('Recall: ', printf('%5.2f', 100 * recall_), '%', chr(10), 'Precision: ', printf('%5.2f', 100 * precision_), '%') AS report FROM (SELECT *, ptp / (ptp + fp) AS precision_, dtp / (dtp + fn) AS recall_ FROM t, u)")(lambda s, d: _report(benchmarked(s, d).metrics))
+add("report_text_whole")(lambda s, d: _report(benchmarked(s, d, BENCHMARK).metrics))
 add("merged_info")(lambda s, d: _merged(s, d))
 
 

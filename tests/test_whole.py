@@ -1,0 +1,60 @@
+"""The queries over the commands' own windows and whole values, beside nested loops over the normalized rows."""
+
+from collections import Counter
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.plans import catalog
+from strandline.plans import queries as core
+
+DATA = Path("/root/testdata/sf0.01")
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables here")
+ALL = core.queries()
+
+
+def run(spark, name):
+    return ALL[name](spark, str(DATA)).collect()
+
+
+def near(rows, width, a_side=0, b_side=1):
+    by = {}
+    for r in rows:
+        by.setdefault(r.chrom, ([], []))[r.side].append(r)
+    return [(a, b) for sides in by.values() for a in sides[a_side] for b in sides[b_side] if abs(a.pos - b.pos) <= width]
+
+
+def test_benchmark_pairs_over_the_whole_window(spark):
+    rows = [r for r in catalog.svs(spark, str(DATA)).collect() if r.chrom is not None]
+    pairs = near(rows, 50_000)
+    assert any(abs(a.pos - b.pos) > catalog.NEAR for a, b in pairs)
+    key = lambda p: (p[0].row_id, p[1].row_id)
+    assert sorted((r.test_key, r.truth_key) for r in run(spark, "band_join_pairs_whole")) == sorted(map(key, pairs))
+    gap = lambda a, b: abs((a.altlength - a.reflength) - (b.altlength - b.reflength))
+    shared = lambda a, b: (max(a.reflength, a.altlength) + max(b.reflength, b.altlength)) / 2
+    close = {key(p) for p in pairs if gap(*p) <= 0.2 * shared(*p)}
+    got = run(spark, "potential_match_whole")
+    assert {(r.test_key, r.truth_key) for r in got if r.close_size} == close and len(got) == len(pairs)
+    mine, theirs = ({r.row_id for r in rows if r.side == k} for k in (0, 1))
+    everyone = catalog.svs(spark, str(DATA)).groupBy("side").count().collect()
+    without = {r.side: r["count"] for r in everyone}
+    metrics = run(spark, "benchmark_metrics_whole")[0]
+    hit, found = {a for a, _ in close}, {b for _, b in close}
+    assert (metrics.ptp, metrics.fp, metrics.dtp, metrics.fn) == (len(hit), without[0] - len(hit), len(found), without[1] - len(found))
+    missed = {r.row_id for r in run(spark, "false_positives_whole")}
+    assert missed & mine == mine - hit and not missed & hit
+    assert {r.row_id for r in run(spark, "false_negatives_whole")} & theirs == theirs - found
+    several = {k: n for k, n in Counter(a for a, _ in close).items() if n > 1}
+    assert {r.test_key: r.n_matches for r in run(spark, "multiple_matches_whole")} == several
+    assert run(spark, "report_text_whole")[0].report == f"Recall: {100 * metrics.recall:5.2f}%\nPrecision: {100 * metrics.precision:5.2f}%"
+
+
+def test_self_pairs_and_found_matches_over_the_whole_window(spark):
+    rows = [r for r in catalog.svs(spark, str(DATA)).select("row_id", "chrom", "pos").collect() if r.chrom is not None]
+    want = {tuple(sorted((a.row_id, b.row_id))) for i, a in enumerate(rows) for b in rows[i + 1 :] if a.chrom == b.chrom and abs(a.pos - b.pos) <= 2_000}
+    got = [tuple(sorted((r.a_row_id, r.b_row_id))) for r in run(spark, "band_self_pairs_whole")]
+    assert len(got) == len(set(got)) and set(got) == want
+    rows = [r for r in catalog.calls(spark, str(DATA)).select("row_id", "chrom", "pos", "side").where(F.col("pos").isNotNull() & F.col("chrom").isNotNull()).collect()]
+    gaps = [abs(a.pos - b.pos) for a, b in near(rows, 99_999)]
+    assert tuple(run(spark, "find_matches_whole")[0]) == (len(gaps), sum(gaps))
