@@ -257,19 +257,27 @@ _ACGT = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
 _LAG = f"(SELECT doc_id, substr(h, 1, 120) AS h, substr(lag(h) OVER (PARTITION BY item_id ORDER BY doc_id), 1, 120) AS g FROM (SELECT doc_id, item_id, {_ACGT} AS h FROM documents WHERE text IS NOT NULL))"
 
 
-def _neighbour_texts(s: SparkSession, d: str) -> DataFrame:
+def _neighbour_texts(s: SparkSession, d: str, most: int | None = None) -> DataFrame:
+    """Each text's bases as ``h`` and those of the one before it as ``g``; ``most`` cuts both, where the SQL does."""
     from pyspark.sql import Window
 
     h = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
     rows = table(s, d, "documents").where("text is not null").select("doc_id", "item_id", h.alias("h"))
-    return rows.select("doc_id", F.substring("h", 1, 120).alias("h"), F.substring(F.lag("h").over(Window.partitionBy("item_id").orderBy("doc_id")), 1, 120).alias("g")).where("g is not null")
+    cut = lambda c: c if most is None else F.substring(c, 1, most)
+    return rows.select("doc_id", cut(F.col("h")).alias("h"), cut(F.lag("h").over(Window.partitionBy("item_id").orderBy("doc_id"))).alias("g")).where("g is not null")
 
 
-add("edit_distance", f"SELECT doc_id, CAST(levenshtein(h, g) AS BIGINT) AS edits FROM {_LAG} WHERE g IS NOT NULL")(lambda s, d: _neighbour_texts(s, d).select("doc_id", F.levenshtein("h", "g").cast("bigint").alias("edits")))
+def _aligned_texts(texts: DataFrame) -> DataFrame:
+    return D.aligned(texts.select("doc_id", F.col("h").alias("hap_a"), F.col("g").alias("hap_b")))
+
+
+add("edit_distance", f"SELECT doc_id, CAST(levenshtein(h, g) AS BIGINT) AS edits FROM {_LAG} WHERE g IS NOT NULL")(lambda s, d: _neighbour_texts(s, d, 120).select("doc_id", F.levenshtein("h", "g").cast("bigint").alias("edits")))
+add("edit_distance_whole")(lambda s, d: _neighbour_texts(s, d).select("doc_id", F.levenshtein("h", "g").cast("bigint").alias("edits")))
 add("aligned_distance", f"SELECT doc_id, CAST(levenshtein(h, g) AS BIGINT) AS edit_distance FROM {_LAG} WHERE g IS NOT NULL")(
-    lambda s, d: D.aligned(_neighbour_texts(s, d).select("doc_id", F.col("h").alias("hap_a"), F.col("g").alias("hap_b"))).select("doc_id", "edit_distance")
+    lambda s, d: _aligned_texts(_neighbour_texts(s, d, 120)).select("doc_id", "edit_distance")
 )
-add("alignment_path")(lambda s, d: D.aligned(_neighbour_texts(s, d).select("doc_id", F.col("h").alias("hap_a"), F.col("g").alias("hap_b"))).select("doc_id", "edit_distance", "max_shift", "subs", "indels"))
+add("aligned_distance_whole")(lambda s, d: _aligned_texts(_neighbour_texts(s, d)).select("doc_id", "edit_distance"))
+add("alignment_path")(lambda s, d: _aligned_texts(_neighbour_texts(s, d)).select("doc_id", "edit_distance", "max_shift", "subs", "indels"))
 
 # ---------------------------------------------------------------- graph and clusters
 

@@ -58,3 +58,27 @@ def test_self_pairs_and_found_matches_over_the_whole_window(spark):
     rows = [r for r in catalog.calls(spark, str(DATA)).select("row_id", "chrom", "pos", "side").where(F.col("pos").isNotNull() & F.col("chrom").isNotNull()).collect()]
     gaps = [abs(a.pos - b.pos) for a, b in near(rows, 99_999)]
     assert tuple(run(spark, "find_matches_whole")[0]) == (len(gaps), sum(gaps))
+
+
+def levenshtein(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+def test_distances_of_whole_texts(spark):
+    texts = {}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").orderBy("doc_id").collect():
+        texts.setdefault(r.item_id, []).append((r.doc_id, "".join(x for x in r.text.upper() if x in "ACGT")))
+    pairs = {k: (h, g) for rows in texts.values() for (_, g), (k, h) in zip(rows, rows[1:])}
+    assert any(max(map(len, p)) > 120 for p in pairs.values())
+    want = {k: levenshtein(*p) for k, p in pairs.items()}
+    assert want != {k: levenshtein(h[:120], g[:120]) for k, (h, g) in pairs.items()}
+    assert {r.doc_id: r.edits for r in run(spark, "edit_distance_whole")} == want
+    assert {r.doc_id: r.edit_distance for r in run(spark, "aligned_distance_whole")} == want
+    paths = run(spark, "alignment_path")
+    assert {r.doc_id: r.edit_distance for r in paths} == want and all(r.subs + r.indels == r.edit_distance for r in paths)
