@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import distances as D
 from strandline.operators.bandjoin import band_join, overlap_join
 
 EXACT = ("chrom", "wide_start", "wide_end", "svtype", "svlen")
+_ALLELES = ("pos", "end", "ref", "alt", "reflength", "altlength")
 
 
 def exact_genotypes(target: DataFrame, samples: DataFrame) -> DataFrame:
@@ -16,18 +18,32 @@ def exact_genotypes(target: DataFrame, samples: DataFrame) -> DataFrame:
     return target.select("target_id", *EXACT).join(theirs, list(EXACT)).select("target_id", "sample", "contig", F.lit("1").alias("allele"), F.lit("EXACT").alias("how"))
 
 
-def nearby_genotypes(target: DataFrame, samples: DataFrame, max_dist: int, done: DataFrame, accepted=None) -> DataFrame:
-    """Alleles from variants whose widened mean lies less than ``max_dist`` away, the first in file order by target, sample and contig.
+def nearby_pairs(target: DataFrame, samples: DataFrame, max_dist: int, done: DataFrame, extra=None) -> DataFrame:
+    """Pairs whose widened means lie less than ``max_dist`` apart, as ``a_*`` and ``b_*``; a target and sample that matched exactly are passed over."""
+    side = lambda rows, s, *more: rows.select("chrom", *more, F.col("wide_mean").alias(f"{s}_mean"), F.col("chrom").alias(f"{s}_chrom"), *(F.col(c).alias(f"{s}_{c}") for c in _ALLELES))
+    pairs = band_join(side(target, "a", "target_id"), side(samples, "b", "sample", "contig", "line_no"), ["chrom"], "a_mean", "b_mean", max_dist, strict=True, extra=extra)
+    return pairs.join(done.select("target_id", "sample"), ["target_id", "sample"], "left_anti")
 
-    Pairs that matched exactly are passed over; ``accepted`` is a condition on the pair (``svlen``
-    and ``s_svlen`` and all else of both sides), as a rule a distance record that says MATCH.
+
+def any_nearby(pairs: DataFrame) -> DataFrame:
+    """An allele 1 for each contig of :func:`nearby_pairs`, whatever its variant is."""
+    return pairs.select("target_id", "sample", "contig", F.lit("1").alias("allele"), F.lit("NEARBY").alias("how")).distinct()
+
+
+def nearby_genotypes(target: DataFrame, samples: DataFrame, max_dist: int, done: DataFrame, slices=None) -> DataFrame:
+    """One allele 1 for a target and sample: the first variant in file order, less than ``max_dist`` away by the widened mean, that matches.
+
+    It matches if it is a potential match by size and its distance record says MATCH. The record
+    needs reference bases (``slices``); without them the size alone decides. Symbolic alleles, whose
+    length isn't known, never match.
     """
-    mine = target.select("target_id", "chrom", "wide_mean", "svtype", "svlen")
-    theirs = samples.select("chrom", "sample", "contig", F.col("wide_mean").alias("s_mean"), F.col("svtype").alias("s_svtype"), F.col("svlen").alias("s_svlen"), "line_no")
-    pairs = band_join(mine, theirs, ["chrom"], "wide_mean", "s_mean", max_dist, strict=True, extra=accepted)
-    pairs = pairs.join(done.select("target_id", "sample"), ["target_id", "sample"], "left_anti")
-    first = pairs.groupBy("target_id", "sample", "contig").agg(F.min("line_no").alias("line_no"))
-    return first.select("target_id", "sample", "contig", F.lit("1").alias("allele"), F.lit("NEARBY").alias("how"))
+    pairs = nearby_pairs(target, samples, max_dist, done, D.potential_match())
+    if slices is not None:
+        keys = ("target_id", "sample", "contig", "line_no")
+        aligned = D.aligned(D.haplotypes(pairs, slices)).withColumns({"a_id": F.struct(*keys), "b_id": F.lit(None).cast("string")})
+        pairs = D.distance_record(aligned).where(F.col("match_type").contains("MATCH")).select("id1.*")
+    first = pairs.groupBy("target_id", "sample").agg(F.min(F.struct("line_no", "contig")).alias("f"))
+    return first.select("target_id", "sample", "f.contig", F.lit("1").alias("allele"), F.lit("NEARBY").alias("how"))
 
 
 def reference_alleles(target: DataFrame, coverage: DataFrame, bin_size: int = 1 << 18) -> DataFrame:

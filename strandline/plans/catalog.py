@@ -465,15 +465,18 @@ _WIDE = f"(SELECT row_id, line_no, file AS sample, regexp_extract(info, 'REFWIDE
 
 
 def wide_calls(s: SparkSession, d: str) -> DataFrame:
-    rows = vcf.genotypable(calls(s, d)).where("status = 'ok'")
-    return rows.select(F.col("row_id").alias("target_id"), F.col("row_id").cast("string").alias("contig"), "line_no", F.col("file").alias("sample"), F.col("widened.chrom").alias("chrom"), F.col("widened.start").alias("wide_start"), F.col("widened.end").alias("wide_end"), F.col("widemean").alias("wide_mean"), "svtype", "svlen", "side", "ref", "alt")
+    rows = vcf.genotypable(vcf.normalized(calls(s, d))).where("status = 'ok'")
+    return rows.select(F.col("row_id").alias("target_id"), F.col("row_id").cast("string").alias("contig"), "line_no", F.col("file").alias("sample"), F.col("widened.chrom").alias("chrom"), F.col("widened.start").alias("wide_start"), F.col("widened.end").alias("wide_end"), F.col("widemean").alias("wide_mean"), "svtype", "svlen", "side", "pos", "end", "ref", "alt", "reflength", "altlength", "deleted_to")
 
 
 add("genotype_exact", f"SELECT DISTINCT a.row_id AS target_id, b.sample, CAST(b.row_id AS VARCHAR) AS contig FROM {_WIDE} a JOIN {_WIDE} b USING (chrom, wide_start, wide_end, svtype, svlen) WHERE a.side = 0 AND b.side = 1")(
     lambda s, d: G.exact_genotypes(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1")).select("target_id", "sample", "contig")
 )
 add("genotype_nearby", f"WITH a AS (SELECT * FROM {_WIDE} x WHERE side = 0), b AS (SELECT * FROM {_WIDE} y WHERE side = 1) SELECT DISTINCT a.row_id AS target_id, b.sample, CAST(b.row_id AS VARCHAR) AS contig FROM a JOIN b ON a.chrom = b.chrom AND abs((a.wide_start + a.wide_end) / 2 - (b.wide_start + b.wide_end) / 2) < 100 AND NOT EXISTS (SELECT 1 FROM b e WHERE e.sample = b.sample AND e.chrom = a.chrom AND e.wide_start = a.wide_start AND e.wide_end = a.wide_end AND e.svtype = a.svtype AND e.svlen = a.svlen)")(
-    lambda s, d: (lambda a, b: G.nearby_genotypes(a, b, 100, G.exact_genotypes(a, b)).select("target_id", "sample", "contig"))(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1"))
+    lambda s, d: (lambda a, b: G.any_nearby(G.nearby_pairs(a, b, 100, G.exact_genotypes(a, b))).select("target_id", "sample", "contig"))(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1"))
+)
+add("genotype_nearby_whole")(
+    lambda s, d: (lambda a, b: G.nearby_genotypes(a, b, commands.BACK_DIST, G.exact_genotypes(a, b)).select("target_id", "sample", "contig"))(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1"))
 )
 add("genotype_reference", f"SELECT DISTINCT row_id AS target_id, h.sample, contig FROM {_WIDE} a JOIN {_STRETCH} h ON a.chrom = h.chrom AND h.hr_start < wide_start AND h.hr_end > wide_end")(
     lambda s, d: G.reference_alleles(wide_calls(s, d), stretches(s, d)).select("target_id", "sample", "contig")
@@ -487,7 +490,17 @@ _BACK = f"""WITH a AS (SELECT * FROM {_WIDE} x WHERE side = 0), b AS (SELECT * F
   ref AS (SELECT DISTINCT a.row_id AS target_id, h.sample, contig FROM a JOIN {_STRETCH} h ON a.chrom = h.chrom AND h.hr_start < wide_start AND h.hr_end > wide_end),
   alleles AS (SELECT target_id, sample, '1' AS allele FROM exact UNION ALL SELECT target_id, sample, '1' FROM near UNION ALL SELECT target_id, sample, '0' FROM ref)
   SELECT target_id, sample, string_agg(allele, '/' ORDER BY allele) AS genotype FROM alleles GROUP BY ALL"""
-add("back_genotype", _BACK)(lambda s, d: commands.back_genotype(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1"), stretches(s, d), 100))
+
+
+def _back_near(s: SparkSession, d: str) -> DataFrame:
+    """As the SQL has it: any variant less than 100 bases away counts."""
+    a, b = wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1")
+    exact = G.exact_genotypes(a, b)
+    return G.genotype_strings(exact.unionByName(G.any_nearby(G.nearby_pairs(a, b, 100, exact))).unionByName(G.reference_alleles(a, stretches(s, d))))
+
+
+add("back_genotype", _BACK)(_back_near)
+add("back_genotype_whole")(lambda s, d: commands.back_genotype(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1"), stretches(s, d), None))
 _GENO = "(SELECT CAST(user_id AS BIGINT) AS locus, event_type AS source, CAST(event_id AS VARCHAR) AS read_name, CASE WHEN event_id % 3 = 0 THEN 'A' ELSE 'C' END AS allele1, CASE WHEN event_id % 4 = 0 THEN 'A' ELSE 'C' END AS allele2, event_id % 50 AS score FROM events)"
 
 

@@ -224,11 +224,20 @@ def trim_alleles(ref: Column, alt: Column) -> Column:
     return F.struct(F.substring(ref, F.lit(1), p).alias("prefix"), cut(ref).alias("ref"), cut(alt).alias("alt"), F.right(ref, q).alias("suffix"))
 
 
-def back_genotype(target: DataFrame, samples: DataFrame, coverage: DataFrame, max_dist: int = 10_000, skip_ns: bool = False, accepted: Column | None = None) -> DataFrame:
-    """``target_id, sample, genotype`` of the target's variants in all samples."""
+BACK_DIST = 10_000
+
+
+def back_genotype(target: DataFrame, samples: DataFrame, coverage: DataFrame, slices: Slices | None, max_dist: int = BACK_DIST, skip_ns: bool = False) -> DataFrame:
+    """``target_id, sample, genotype`` of the target's variants in all samples; records in both the normalized and the genotypable form.
+
+    A nearby variant counts if it matches by size and by the distance record. ``slices`` gives the
+    reference bases for the record; only where there are none at all, pass None and let the size decide.
+    """
     rows = target if not skip_ns else target.where(~(F.col("ref").contains("NNNNNN") | F.col("alt").contains("NNNNNN")))
+    if slices is not None:
+        rows, samples = vcf.with_deleted_bases(rows, slices), vcf.with_deleted_bases(samples, slices)
     exact = G.exact_genotypes(rows, samples)
-    near = G.nearby_genotypes(rows, samples, max_dist, exact, accepted)
+    near = G.nearby_genotypes(rows, samples, max_dist, exact, slices)
     return G.genotype_strings(exact.unionByName(near).unionByName(G.reference_alleles(rows, coverage)))
 
 

@@ -82,3 +82,18 @@ def test_distances_of_whole_texts(spark):
     assert {r.doc_id: r.edit_distance for r in run(spark, "aligned_distance_whole")} == want
     paths = run(spark, "alignment_path")
     assert {r.doc_id: r.edit_distance for r in paths} == want and all(r.subs + r.indels == r.edit_distance for r in paths)
+
+
+def test_nearby_genotypes_by_size(spark):
+    a, b = (catalog.wide_calls(spark, str(DATA)).where(f"side = {k}").collect() for k in (0, 1))
+    exact = lambda x: (x.chrom, x.wide_start, x.wide_end, x.svtype, x.svlen)
+    done = {(x.target_id, y.sample) for x in a for y in b if exact(x) == exact(y)}
+    pairs = [(x, y) for x in a for y in b if x.chrom == y.chrom and abs(x.wide_mean - y.wide_mean) < 10_000 and (x.target_id, y.sample) not in done]
+    first = {}
+    for x, y in sorted(pairs, key=lambda p: (p[1].line_no, p[1].contig)):
+        if None not in (x.altlength, y.altlength) and 2 * abs(x.altlength - x.reflength - y.altlength + y.reflength) <= max(x.altlength, x.reflength) + max(y.altlength, y.reflength):
+            first.setdefault((x.target_id, y.sample), y.contig)
+    assert {(x.target_id, y.sample) for x, y in pairs} > set(first)
+    assert {(r.target_id, r.sample): r.contig for r in run(spark, "genotype_nearby_whole")} == first
+    ones = {(r.target_id, r.sample) for r in run(spark, "back_genotype_whole") if "1" in r.genotype}
+    assert ones == done | set(first)
