@@ -223,6 +223,14 @@ def _zipped(rows: DataFrame) -> DataFrame:
     return a.join(b, "n", "full")
 
 
+def _compared(s: SparkSession, d: str) -> DataFrame:
+    """Every even callset beside the next odd one."""
+    rows = calls(s, d).withColumn("pair", F.floor(F.substring("file", 3, 4).cast("int") / 2))
+    both = commands.compare_in_order(rows.where("side = 0"), rows.where("side = 1"), pair=("pair",), order=("line_no", "row_id"), keep=("row_id",))
+    return both.select("pair", F.col("n").cast("bigint").alias("n"), "a_row_id", "b_row_id", "status", "avgsize", "sizediff", "posdiff", "marlength")
+
+
+add("zip_records_whole")(_compared)
 add("potential_match", f"SELECT test_key, truth_key, {_GAP} <= {_DENOM} * 0.2 AS close_size, CAST({_MAR} AS BIGINT) AS marlength, abs(a_altlength - b_altlength) > 0.2 * {_MAR} AS prohibitive FROM ({_PAIR})")(
     lambda s, d: call_pairs(s, d).select("test_key", "truth_key", D.potential_match(0.2, 1.0).alias("close_size"), D.affected_length().alias("marlength"), D.prohibitive_shift(0.2).alias("prohibitive"))
 )

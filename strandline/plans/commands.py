@@ -123,19 +123,22 @@ def merge(records: DataFrame, slices: Slices, params: MergeParams = MergeParams(
     return records.join(picked.drop("cluster"), "id")
 
 
-def compare_in_order(first: DataFrame, second: DataFrame, slices: Slices | None = None, ignore_length: bool = False) -> DataFrame:
+def compare_in_order(first: DataFrame, second: DataFrame, slices: Slices | None = None, ignore_length: bool = False, pair: tuple[str, ...] = (), order: tuple[str, ...] = ("line_no",), keep: tuple[str, ...] = ()) -> DataFrame:
     """The n-th record of one file with the n-th of the other (by ``line_no``), as distance records.
 
+    Several pairs of files are told apart by the columns ``pair``; ``keep`` are further columns for
+    ``a_*`` and ``b_*``.
+
     ``status`` is ``missing`` where one side ends early, ``DIFFCHROMS``, or why a record can't be
     compared. Without ``slices`` only the columns that need no bases are there.
     """
-    order = Window.partitionBy("file").orderBy("line_no")
+    numbers = Window.partitionBy("file").orderBy(*order)
     sides = []
     for rows, side in ((first, "a"), (second, "b")):
-        form = vcf.comparable(rows, ignore_length).withColumns({"reflength": F.length("ref").cast("bigint"), "altlength": F.length("alt").cast("bigint"), "n": F.row_number().over(order)})
-        sides.append(form.select("n", *(F.col(c).alias(f"{side}_{c}") for c in (*_SIDE, "chrom", "status"))))
-    both = sides[0].join(sides[1], "n", "full")
-    status = F.when(F.col("a_chrom").isNull() | F.col("b_chrom").isNull(), "missing").when(F.col("a_chrom") != F.col("b_chrom"), "DIFFCHROMS").when(F.col("a_status") != "ok", F.col("a_status")).when(F.col("b_status") != "ok", F.col("b_status")).otherwise("ok")
+        form = vcf.comparable(rows, ignore_length).withColumns({"reflength": F.length("ref").cast("bigint"), "altlength": F.length("alt").cast("bigint"), "n": F.row_number().over(numbers)})
+        sides.append(form.select(*pair, "n", *(F.col(c).alias(f"{side}_{c}") for c in (*_SIDE, "chrom", "status", *keep))))
+    both = sides[0].join(sides[1], [*pair, "n"], "full")
+    status = F.when(F.col("a_status").isNull() | F.col("b_status").isNull(), "missing").when(~F.col("a_chrom").eqNullSafe(F.col("b_chrom")), "DIFFCHROMS").when(F.col("a_status") != "ok", F.col("a_status")).when(F.col("b_status") != "ok", F.col("b_status")).otherwise("ok")
     both = both.withColumn("status", status)
     if slices is None:
         return both.withColumns({"avgsize": (D.sizes("a") + D.sizes("b")) / 2, "sizediff": D.sizes("a") - D.sizes("b"), "posdiff": F.col("a_pos") - F.col("b_pos"), "marlength": D.affected_length()})

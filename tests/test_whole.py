@@ -97,3 +97,31 @@ def test_nearby_genotypes_by_size(spark):
     assert {(r.target_id, r.sample): r.contig for r in run(spark, "genotype_nearby_whole")} == first
     ones = {(r.target_id, r.sample) for r in run(spark, "back_genotype_whole") if "1" in r.genotype}
     assert ones == done | set(first)
+
+
+def test_all_callsets_are_compared_in_order(spark):
+    files = {}
+    for r in catalog.calls(spark, str(DATA)).select("file", "line_no", "row_id", "chrom", "pos", "ref", "alt", "info").collect():
+        files.setdefault(r.file, []).append(r)
+    for rows in files.values():
+        rows.sort(key=lambda r: (r.line_no, r.row_id))
+    number = {int(f[2:6]): f for f in files}
+    assert len(number) == len(files) > 2
+    want = {}
+    for k in {n // 2 for n in number}:
+        a, b = (files.get(number.get(2 * k + i), []) for i in (0, 1))
+        for n in range(max(len(a), len(b))):
+            want[k, n + 1] = (a[n] if n < len(a) else None, b[n] if n < len(b) else None)
+    rows = run(spark, "zip_records_whole")
+    assert sorted((r.pair, r.n) for r in rows) == sorted(want)
+    for r in rows:
+        a, b = want[r.pair, r.n]
+        assert (r.a_row_id, r.b_row_id) == (a and a.row_id, b and b.row_id)
+        assert (r.status == "missing") == (a is None or b is None)
+        if a and b:
+            assert (r.status == "DIFFCHROMS") == (a.chrom != b.chrom)
+            if None not in (a.pos, b.pos):
+                assert r.posdiff == a.pos - b.pos
+            if None not in (a.ref, a.alt, b.ref, b.alt):
+                assert r.sizediff == len(a.alt) - len(a.ref) - len(b.alt) + len(b.ref)
+    assert {"ok", "missing", "DIFFCHROMS"} <= {r.status for r in rows}
