@@ -550,6 +550,17 @@ add("flat_table", f"SELECT row_id, chrom, pos, length(ref) AS ref, length(alt) A
 add("genotype_pivot", f"WITH g AS (SELECT row_id AS target_id, sample, array_to_string(list_transform(list_distinct(list(coalesce(contig, '?'))), lambda x: '0'), '/') AS genotype FROM (SELECT DISTINCT a.row_id, h.sample, contig FROM {_WIDE} a JOIN {_STRETCH} h ON a.chrom = h.chrom AND h.hr_start < wide_start AND h.hr_end > wide_end) GROUP BY ALL) SELECT target_id, coalesce(max(CASE WHEN sample = 'NX-00000' THEN genotype END), '.') AS first_sample, coalesce(max(CASE WHEN sample = 'NX-00001' THEN genotype END), '.') AS second_sample FROM g GROUP BY target_id")(
     lambda s, d: G.genotype_table(G.genotype_strings(G.reference_alleles(wide_calls(s, d), stretches(s, d))), ["NX-00000", "NX-00001"]).select("target_id", F.col("NX-00000").alias("first_sample"), F.col("NX-00001").alias("second_sample"))
 )
+
+
+def _pivot(s: SparkSession, d: str) -> DataFrame:
+    """A row for each target and a column for each sample that has stretches; ``.`` where nothing is known."""
+    rows, known = wide_calls(s, d), stretches(s, d)
+    samples = sorted(r["sample"] for r in known.select("sample").where("sample is not null").distinct().collect())  # samples are few
+    found = G.genotype_table(G.genotype_strings(G.reference_alleles(rows, known)), samples)
+    return rows.select("target_id").join(found, "target_id", "left").na.fill(".", samples)
+
+
+add("genotype_pivot_whole")(_pivot)
 add("last_genotypes", f"SELECT locus, source AS read_name, max(score) AS score FROM {_GENO} g WHERE (locus, source, CAST(read_name AS BIGINT)) IN (SELECT (locus, source, max(CAST(read_name AS BIGINT))) FROM {_GENO} h GROUP BY locus, source) GROUP BY ALL")(
     lambda s, d: G.last_genotypes(genotypes(s, d).withColumns({"order": F.col("read_name").cast("bigint"), "read_name": F.col("source")}), "order").select("locus", "read_name", "score")
 )

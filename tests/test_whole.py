@@ -125,3 +125,13 @@ def test_all_callsets_are_compared_in_order(spark):
             if None not in (a.ref, a.alt, b.ref, b.alt):
                 assert r.sizediff == len(a.alt) - len(a.ref) - len(b.alt) + len(b.ref)
     assert {"ok", "missing", "DIFFCHROMS"} <= {r.status for r in rows}
+
+
+def test_pivot_has_all_samples_and_targets(spark):
+    want = {r.target_id: {} for r in catalog.wide_calls(spark, str(DATA)).select("target_id").collect()}
+    samples = {r["sample"] for r in catalog.stretches(spark, str(DATA)).select("sample").distinct().collect()}
+    for r in run(spark, "genotype_strings"):
+        want[r.target_id][r["sample"]] = r.genotype
+    assert {k for row in want.values() for k in row} - {"NX-00000", "NX-00001"}
+    got = {r.target_id: r.asDict() for r in run(spark, "genotype_pivot_whole")}
+    assert got == {t: {"target_id": t, **{x: row.get(x, ".") for x in samples}} for t, row in want.items()}
