@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.plans import commands
 from strandline.session import ship
 from strandline.sources import alignments, fasta, sinks, tabular, vcf
+from strandline.sources.fasta import Slices
 
 
 def _records(spark: SparkSession, paths: list[str]):
@@ -105,12 +106,24 @@ def _vcf2tdf(spark: SparkSession, o: argparse.Namespace) -> None:
     sinks.flat_table(rows, keys, o.sequences).write.mode("overwrite").option("sep", "\t").option("header", True).csv(o.out)
 
 
+def _extended_delta(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame, str, Slices]:
+    """The delta file's alignments, carried on over exact matches, the path of the reference and the slices of the query; sequence files that aren't given are those that the delta file names."""
+    from strandline.operators.alignments import extended
+
+    named = spark.read.text(o.delta).first().value.split()
+    paths = [fasta.resolve(given or name) for given, name in zip((o.ref_fasta, o.query_fasta), named, strict=True)]
+    ref, query = (fasta.slicer(fasta.chunks(spark, p)) for p in paths)
+    return extended(alignments.read_delta(spark, [o.delta]), ref, query), paths[0], query
+
+
 def _delta2bed(spark: SparkSession, o: argparse.Namespace) -> None:
-    sinks.delta_bed(alignments.read_delta(spark, [o.delta])).orderBy("chrom", "start").write.mode("overwrite").option("sep", "\t").csv(o.out)
+    sinks.delta_bed(_extended_delta(spark, o)[0]).orderBy("chrom", "start").write.mode("overwrite").option("sep", "\t").csv(o.out)
 
 
 def _delta2sam(spark: SparkSession, o: argparse.Namespace) -> None:
-    sinks.sam_rows(alignments.read_delta(spark, [o.delta])).orderBy("ref_entry", "pos").write.mode("overwrite").option("sep", "\t").csv(o.out)
+    rows, ref, query = _extended_delta(spark, o)
+    header = [] if o.noheader else sinks.sam_header(sorted((r.chrom, r.contig_len) for r in fasta.contigs(spark, ref).collect()))
+    sinks.write_lines(spark, sinks.sam_lines(query(rows, "query_entry", "query_start", "query_end", "seq")), o.out, ["ref_entry", "pos", "line"], header)
 
 
 def _findmatches(spark: SparkSession, o: argparse.Namespace) -> None:
@@ -140,8 +153,9 @@ def parser() -> argparse.ArgumentParser:
     command("widen", _widen, ("variants", "ref"), {"prefix": (str, "widened"), "buffer": (int, 10_000), "maxlength": (int, 100_000)})
     command("vcffilter", _vcffilter, ("vcf", "out"), {"region": (str, None), "minlen": (int, None), "maxlen": (int, None), "svtype": (str, None)})
     command("vcf2tdf", _vcf2tdf, ("vcf", "out"), {}, ("sequences",))
-    command("delta2bed", _delta2bed, ("delta", "out"))
-    command("delta2sam", _delta2sam, ("delta", "out"))
+    sequences = {"ref_fasta": (str, None), "query_fasta": (str, None)}
+    command("delta2bed", _delta2bed, ("delta", "out"), sequences)
+    command("delta2sam", _delta2sam, ("delta", "out"), sequences, ("noheader",))
     command("findmatches", _findmatches, ("first", "second", "out"), {"maxwindow": (int, 100_000)})
     return top
 

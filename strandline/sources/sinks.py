@@ -125,12 +125,19 @@ def delta_bed(alignments: DataFrame) -> DataFrame:
     return alignments.select(F.col("ref_entry").alias("chrom"), (F.col("ref_start") - 1).alias("start"), F.col("ref_end").alias("end"), F.col("query_entry").alias("name"), F.format_string("%3.1f", identity).alias("score"), F.when(F.col("comp") == 1, "+").otherwise("-").alias("strand"))
 
 
-def sam_rows(alignments: DataFrame, mapq: int = 40) -> DataFrame:
-    """The first six SAM columns of alignments; what the alignment leaves of the query is clipped (H)."""
+def sam_lines(alignments: DataFrame) -> DataFrame:
+    """SAM lines of alignments with the query's bases ``seq``, on the reference's strand."""
+    columns = sam_rows(alignments, keep=("seq",))
+    rest = (F.lit("*"), F.lit("0"), F.lit("0"), F.coalesce("seq", F.lit("*")), F.lit("*"))
+    return columns.select("ref_entry", "pos", F.concat_ws("\t", *(F.col(c).cast("string") for c in columns.columns if c != "seq"), *rest).alias("line"))
+
+
+def sam_rows(alignments: DataFrame, mapq: int = 40, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The first six SAM columns of alignments; what the alignment leaves of the query is clipped (H). ``keep`` are columns to add."""
     head = F.when(F.col("comp") == 1, F.col("query_len") - F.col("query_start")).otherwise(F.col("query_start") - 1)
     tail = F.when(F.col("comp") == 1, F.col("query_end") - 1).otherwise(F.col("query_len") - F.col("query_end"))
     clipped = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("H"))).otherwise("")
-    return alignments.select("query_entry", F.when(F.col("comp") == 1, 16).otherwise(0).alias("flag"), "ref_entry", F.col("ref_start").alias("pos"), F.lit(mapq).alias("mapq"), F.concat(clipped(head), "cigar", clipped(tail)).alias("cigar"))
+    return alignments.select("query_entry", F.when(F.col("comp") == 1, 16).otherwise(0).alias("flag"), "ref_entry", F.col("ref_start").alias("pos"), F.lit(mapq).alias("mapq"), F.concat(clipped(head), "cigar", clipped(tail)).alias("cigar"), *keep)
 
 
 def sam_header(contigs: list[tuple[str, int]]) -> list[str]:
