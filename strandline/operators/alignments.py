@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from strandline.functions.cigar import lift_to_query, lift_to_ref
 from strandline.functions.sequence import reverse_complement
+from strandline.session import durable
 
 
 def region_slices(pairs: DataFrame, alignments: DataFrame, buffer: int, segment: int) -> DataFrame:
@@ -138,6 +139,7 @@ def inversions(alignments: DataFrame, keys: list[str], order: list[str]) -> Data
     return rows.withColumns({"status": F.coalesce(status, F.lit("ok")), "wide_from": F.col("ref_start_1"), "wide_to": F.col("ref_end_1"), "svtype": F.lit("INV")})
 
 
+MAX_REACH = 1 << 20  # bases of the longest window of one step
 _EXTENSION = T.StructType([T.StructField("left", T.LongType()), T.StructField("right", T.LongType())])
 
 
@@ -157,11 +159,22 @@ def _extension(ref_before: pd.Series, query_before: pd.Series, ref_after: pd.Ser
 
 
 def extended(alignments: DataFrame, ref_slices, query_slices, reach: int = 2_000) -> DataFrame:
-    """Alignments carried on over exactly matching bases, to the right and to the left; the outer M runs of the CIGAR grow.
+    """Alignments carried on over exactly matching bases, to the right and to the left, up to a mismatch, an N of the reference or the end of a sequence; the outer M runs of the CIGAR grow.
 
-    Up to ``reach`` bases are looked at on either side; an alignment that goes on beyond that is one
-    that the aligner would have carried on itself. Windows end at the ends of both sequences.
+    ``reach`` bases are looked at on either side; those that match to the end of that window are
+    looked at again, with windows twice as long each time (up to MAX_REACH), until none does.
     """
+    rows = durable(_extended_once(alignments, ref_slices, query_slices, reach), "extended")
+    done = rows.where("not _more")
+    while not rows.where("_more").isEmpty():
+        reach = max(reach, min(2 * reach, MAX_REACH))
+        rows = durable(_extended_once(rows.where("_more").drop("_more"), ref_slices, query_slices, reach), "extended")
+        done = done.unionByName(rows.where("not _more"))
+    return done.drop("_more")
+
+
+def _extended_once(alignments: DataFrame, ref_slices, query_slices, reach: int) -> DataFrame:
+    """Adds ``_more``: whether an end went on to the end of its window of ``reach`` bases."""
     comp = F.col("comp") == 1
     right_room = F.least(F.lit(reach), F.when(comp, F.col("query_end") - 1).otherwise(F.lit(reach)))
     left_room = F.least(F.lit(reach), F.col("ref_start") - 1, F.when(comp, F.lit(reach)).otherwise(F.col("query_start") - 1))
@@ -181,6 +194,7 @@ def extended(alignments: DataFrame, ref_slices, query_slices, reach: int = 2_000
         {
             "ref_start": F.col("ref_start") - F.col("_x.left"), "ref_end": F.col("ref_end") + F.col("_x.right"),
             "query_start": F.col("query_start") - sign * F.col("_x.left"), "query_end": F.col("query_end") + sign * F.col("_x.right"), "cigar": cigar,
+            "_more": (F.col("_x.left") == reach) | (F.col("_x.right") == reach),
         }
     )
-    return out.select(*alignments.columns)
+    return out.select(*alignments.columns, "_more")
