@@ -61,8 +61,6 @@ _BREAK = r"(?:\r\n|\r(?!\n)|(?<!\r)\n)"  # never one half of a pair
 _PART = re.compile(rf"{_BREAK}[^\S\r\n]*(?:{_BREAK}[^\S\r\n]*)+")
 _EVENT = re.compile(f"[{re.escape(HARD + SOFT + GREEK_QUESTION)}]|[{re.escape(''.join(OPENERS))}\"＂]|(?<=[฀-๿{_INVISIBLE}])\\s+")
 _MARKS_OF_PAIRS = re.compile(f"[{re.escape(''.join(OPENERS) + ''.join(CLOSERS - {'’'}))}]")
-_HELD = re.compile(r"(.)\1+")
-_NOTHING = {ord(c): None for c in _INVISIBLE}
 _WORD = re.compile(r"[^\W\d_]+")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 _ADDRESS_ENDS = frozenset("example com org net edu gov io de fr es info html php jpg png pdf txt co uk".split())
@@ -123,23 +121,24 @@ def _caseless(char: str) -> bool:
 def _pairs(text: str) -> dict[int, int]:
     """Begin -> end of the quotations and brackets that close; the automaton's stack."""
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}  # of each kind on the stack
     closed: dict[int, int] = {}
+
+    def push(kind: str, at: int) -> None:
+        places.setdefault(kind, []).append(len(stack))
+        stack.append((kind, at))
+
     for m in _MARKS_OF_PAIRS.finditer(text):
         char, at = m.group(), m.start()
-        if char in '"＂':
-            depth = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if stack[k][0] == char), None)
-            if depth is None:
-                stack.append((char, at))
-            else:
-                closed[stack[depth][1]] = at
-                del stack[depth:]
-            continue
-        depth = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if stack[k][0] == char or (char == "”" and stack[k][0] == "“")), None)
+        depth = max((places[k][-1] for k in ("”“" if char == "”" else char) if places.get(k)), default=None)
         if depth is not None:
             closed[stack[depth][1]] = at
-            del stack[depth:]
+            while len(stack) > depth:
+                places[stack.pop()[0]].pop()
+        elif char in '"＂':
+            push(char, at)
         elif char in OPENERS:
-            stack.append((OPENERS[char], at))
+            push(OPENERS[char], at)
     return closed
 
 
@@ -151,18 +150,49 @@ def _next_visible(text: str, at: int) -> int:
 
 
 def _last_letter(text: str, at: int, floor: int) -> str:
-    for i in range(at - 1, max(floor, at - 200) - 1, -1):
+    for i in range(at - 1, floor - 1, -1):
         if text[i].isalpha():
             return text[i]
     return ""
 
 
+def _thai_final(text: str, at: int, floor: int) -> bool:
+    """Whether a final word ends at ``at``, through invisible characters and held letters."""
+    said = ""
+    for i in range(at - 1, floor - 1, -1):
+        char = text[i]
+        if char in _INVISIBLE or char == said[:1]:
+            continue
+        said = char + said
+        if said in THAI_FINALS:
+            return True
+        if not any(x.endswith(said) for x in THAI_FINALS):
+            return False
+    return False
+
+
+class _Token:
+    """What stands between the blanks around ``at``."""
+
+    def __init__(self, text: str, at: int) -> None:
+        left = right = at
+        while left and not text[left - 1].isspace():
+            left -= 1
+        while right < len(text) and not text[right].isspace():
+            right += 1
+        token = text[left:right]
+        labels = [x for x in re.split(r"[.\s]", token.strip(".,!?;:")) if x]
+        self.left, self.right = left, right
+        self.is_address = "://" in token or "@" in token
+        self.is_host = len(labels) >= 3 or bool(labels) and (labels[-1] in _ADDRESS_ENDS or labels[0] in ("www", "help"))
+
+
 def _is_emoji(char: str) -> bool:
     return "\U0001f000" <= char <= "\U0001fbff" or "☀" <= char <= "➿" or "⬀" <= char <= "⯿"
 
 
-def _stop_ends(text: str, at: int, begin: int, small: bool) -> bool:
-    """Whether the single full stop at ``at`` ends the sentence that began at ``begin``."""
+def _stop_ends(text: str, at: int, begin: int, small: bool, tokens: list[_Token]) -> bool:
+    """Whether the single full stop at ``at`` ends the sentence that began at ``begin``. ``tokens`` keeps the last token looked up."""
     n = len(text)
     after = text[at + 1] if at + 1 < n else ""
     before = text[at - 1] if at else " "
@@ -205,14 +235,9 @@ def _stop_ends(text: str, at: int, begin: int, small: bool) -> bool:
         if len(head) <= 2 and m and m.group().lower() in MONTHS:
             return False
     if touching:
-        left = at
-        while left > max(0, at - 100) and not text[left - 1].isspace():
-            left -= 1
-        right = at
-        while right < min(n, at + 100) and not text[right].isspace():
-            right += 1
-        token = text[left:right]
-        if "://" in token or "@" in token:
+        if not tokens or not tokens[0].left <= at < tokens[0].right:
+            tokens[:] = [_Token(text, at)]
+        if tokens[0].is_address:
             return False
         if after.isupper():
             return True
@@ -220,8 +245,7 @@ def _stop_ends(text: str, at: int, begin: int, small: bool) -> bool:
             return not head or _caseless(before) or before.isdigit() or unicodedata.category(before)[0] == "M"
         if not small or not after.isalpha():
             return False
-        labels = [x for x in re.split(r"[.\s]", token.strip(".,!?;:")) if x]
-        return not (len(labels) >= 3 or labels[-1] in _ADDRESS_ENDS or labels[0] in ("www", "help"))
+        return not tokens[0].is_host
     return True
 
 
@@ -259,6 +283,7 @@ def _part_spans(text: str) -> Iterator[tuple[int, int]]:
     small = text.lower() == text and text.upper() != text
     begin = at = 0
     greek = -1
+    tokens: list[_Token] = []
     while (m := _EVENT.search(text, at)) is not None:
         i, char = m.start(), m.group()[0]
         end = -1
@@ -273,8 +298,7 @@ def _part_spans(text: str) -> Iterator[tuple[int, int]]:
                 end = at
         elif char.isspace():
             at = m.end()
-            said = _HELD.sub(r"\1", text[max(begin, i - 40) : i].translate(_NOTHING))
-            if said.endswith(THAI_FINALS):
+            if _thai_final(text, i, begin):
                 end = i
         elif char in GREEK_QUESTION:
             at = i + 1
@@ -291,7 +315,7 @@ def _part_spans(text: str) -> Iterator[tuple[int, int]]:
                 nexts = text[at : at + 1]
                 end = at if nexts != "=" else -1
             elif marks in (".", "．"):
-                if _stop_ends(text, i, _next_visible(text, begin), small):
+                if _stop_ends(text, i, _next_visible(text, begin), small, tokens):
                     end = at
             elif _ellipsis_ends(text, at):
                 end = at

@@ -69,3 +69,26 @@ def test_query_on_nulls_and_empty_tables(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, begin_char bigint")
     assert sorted(tuple(r) for r in S.sentence_spans(df).collect()) == [(4, 0, 4), (4, 0, 4), (4, 5, 9), (4, 5, 9)]
     assert S.sentence_spans(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "joint, parts",
+    [
+        (" ", ["He wrote “Sad :( :( :( :( :( :( :( :( :( :( today. No luck.” and left.", "So it is."]),
+        (" ", ["See https://" + "a" * 150 + ".Html for more.", "So it is."]),
+        (" ", ["ดี" + "ค่" + "ะ" * 60, "ดีครับ"]),
+        ("", ["店員さんに「はい" + "！" * 250 + "」と言われました。", "本当です。"]),
+    ],
+)
+def test_nothing_is_too_far_to_be_seen(joint, parts):
+    text = joint.join(parts)
+    assert [text[a:b] for a, b in S.spans(text)] == parts
+
+
+@pytest.mark.parametrize("text", ["(" * 200_000 + "”" * 200_000, ("“(" * 50_000) + ("”" * 50_000), "a." * 200_000, "ะ​ ​ " * 100_000, "x@" + ".A" * 200_000, "「！」" * 100_000])
+def test_long_searches_take_linear_time(text):
+    from time import process_time
+
+    began = process_time()
+    S.spans(text)
+    assert process_time() - began < 20
