@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,32 @@ MAX_ROUNDS = 60
 LOCAL_VERTICES = 1_000_000
 
 
+def least_roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of the vertices 0..n-1 the least vertex it is linked with: roots hook onto lesser roots, then all paths are halved."""
+    parent = np.arange(n)
+    while len(u):
+        a, b = parent[u], parent[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+    return parent
+
+
+def forest_of(u: pa.Array, v: pa.Array) -> tuple[pa.Array, pa.Array, int]:
+    """``v, r`` (vertex, least vertex of its tree, by byte order) of the edges, and the number of their vertices."""
+    coded = pa.concat_arrays([u, v]).dictionary_encode()
+    words = coded.dictionary
+    order = pc.array_sort_indices(words).to_numpy()
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    ends = rank[coded.indices.to_numpy()]
+    parent = least_roots(ends[: len(u)], ends[len(u) :], len(words))
+    under = np.flatnonzero(parent != np.arange(len(words)))
+    return words.take(pa.array(order[under])), words.take(pa.array(order[parent[under]])), len(words)
+
+
 def local_forest(most_vertices: int):
     """Union-find over the edges of a task: from each edge list (two string columns) only the pairs
     (vertex, least vertex of its local tree) are kept, as ``v, r``.
@@ -23,35 +51,27 @@ def local_forest(most_vertices: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[str, str] = {}
-
-        def root(x: str) -> str:
-            top = x
-            while (up := parent[top]) != top:
-                top = up
-            while (up := parent[x]) != top:
-                parent[x], x = top, up
-            return top
-
-        def forest() -> Iterator[pa.RecordBatch]:
-            rows = [(v, r) for v in parent if (r := root(v)) != v]
-            for at in range(0, len(rows), 100_000):
-                part = rows[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in part], pa.string()), pa.array([r for _, r in part], pa.string())], ["v", "r"])
-            parent.clear()
+        ends: tuple[list[pa.Array], list[pa.Array]] = ([], [])
+
+        def reduced() -> tuple[pa.Array, pa.Array, int]:
+            out = forest_of(*(pa.concat_arrays(x) for x in ends))
+            ends[0][:], ends[1][:] = [out[0]], [out[1]]
+            return out
+
+        def emitted() -> Iterator[pa.RecordBatch]:
+            v, r = ends[0][0].cast(pa.string()), ends[1][0].cast(pa.string())
+            for at in range(0, len(v), 100_000):
+                yield pa.RecordBatch.from_arrays([v[at : at + 100_000], r[at : at + 100_000]], ["v", "r"])
+            ends[0].clear(), ends[1].clear()
 
         for batch in batches:
-            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parent.setdefault(u, u)
-                parent.setdefault(v, v)
-                a, b = root(u), root(v)
-                if a < b:
-                    parent[b] = a
-                elif b < a:
-                    parent[a] = b
-            if len(parent) > most_vertices:
-                yield from forest()
-        yield from forest()
+            for kept, column in zip(ends, batch.columns):
+                kept.append(column.cast(pa.large_string()))
+            if sum(map(len, ends[0])) > most_vertices and reduced()[2] > most_vertices // 2:
+                yield from emitted()
+        if ends[0]:
+            reduced()
+            yield from emitted()
 
     return run
 
