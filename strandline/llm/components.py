@@ -7,42 +7,45 @@ and one column of the grid, so it gets at most twice as many representatives as
 they are exchanged by vertex, the least becomes its parent, the others are linked with that parent,
 and parents are replaced by their own parents. This repeats until no parent changes.
 
-The grid's side follows from the number of edges left, so that a cell has about ``cell_edges`` of
-them; contraction shrinks the edges, and with them the grid, down to one cell. A hot vertex is
-spread over all cells of its row, and cells that stay too large are split by adaptive execution
-(``REBALANCE``), which is sound as union-find on any part of the edges yields valid links. Local
-state is bounded: beyond ``local_vertices`` vertices the forest is emitted and begun anew.
+The grid is the same in every run and round: its side is the root of the number of shuffle
+partitions, so there are about as many cells as tasks. A hot vertex is spread over all cells of its
+row or column; an edge repeated very often is one edge after the partial aggregation of the scan.
+Local state is bounded: beyond ``local_vertices`` vertices the forest is emitted and begun anew,
+which is sound as union-find on any part of the edges yields valid links.
 
-Every round is a table in the shared folder; nothing is collected to the driver but three counts.
+Every round is a table in the shared folder; nothing is collected to the driver.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.graph import local_forest
 from strandline.session import drop_durable, durable
 
-CELL_EDGES = 400_000
 LOCAL_VERTICES = 1_000_000
 MISSING_IDS = ("", ".", "NA")  # fixed values of the data: ids written so are missing
 MAX_ROUNDS = 60
 
 
-def component_parents(edges: DataFrame, cell_edges: int = CELL_EDGES, local_vertices: int = LOCAL_VERTICES) -> DataFrame:
+def grid_side(spark: SparkSession) -> int:
+    """Blocks of vertices on either axis of the grid, two at least."""
+    return max(2, math.ceil(math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def component_parents(edges: DataFrame, side: int | None = None, local_vertices: int = LOCAL_VERTICES) -> DataFrame:
     """``v, m``: the least vertex of its component for every vertex that isn't the least itself.
 
     ``edges`` has two string columns ``u, v``. Loops, repeated and reversed edges change nothing.
     """
-    now = durable(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    left = now.count()
+    side = side or grid_side(edges.sparkSession)
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    now, stored = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), False
     for _ in range(MAX_ROUNDS):
-        side = max(1, math.ceil(math.sqrt(left / cell_edges)))
-        cells = now.select("u", "v", F.pmod(F.xxhash64("u"), F.lit(side)).alias("row"), F.pmod(F.xxhash64("v"), F.lit(side)).alias("col"))
-        cells = cells.repartition(1) if side == 1 else cells.hint("rebalance", "row", "col")
+        cells = now.select("u", "v", (block("u") * side + block("v")).alias("cell")).repartition(side * side, "cell")
         local = cells.select("u", "v").mapInArrow(local_forest(local_vertices), "v string, r string")
         # At most two representatives for each block of the grid meet at a vertex.
         met = local.groupBy("v").agg(F.min("r").alias("m"), F.collect_set("r").alias("all"))
@@ -51,22 +54,23 @@ def component_parents(edges: DataFrame, cell_edges: int = CELL_EDGES, local_vert
         jumped = met.join(up, "m", "left").select("v", F.coalesce("m2", "m").alias("m"), F.col("m2").isNotNull().alias("moved"))
         hooks = met.where(F.size("all") > 1).select(F.explode("all").alias("v"), "m").where("v <> m").select("v", "m", F.lit(True).alias("moved"))
         after = durable(jumped.unionByName(hooks), "parents")
-        left, moved = after.agg(F.count(F.lit(1)), F.count_if("moved")).first()
-        drop_durable(now)
+        moved = not after.where("moved").isEmpty()
+        if stored:
+            drop_durable(now)
         drop_durable(met)
         if not moved:
             return after.select("v", "m")
-        now = after.select(F.col("m").alias("u"), "v")
+        now, stored = after.select(F.col("m").alias("u"), "v"), True
     raise RuntimeError(f"parents did not become stable within {MAX_ROUNDS} rounds")
 
 
-def linked_groups(pairs: DataFrame, cell_edges: int = CELL_EDGES) -> DataFrame:
+def linked_groups(pairs: DataFrame, side: int | None = None) -> DataFrame:
     """``call_id, group_id`` for every id in ``id1, id2, linked``.
 
     ``linked`` tells whether the row links its ids (null: it doesn't). Rows with a missing id must
     be gone. An id that nothing links is a group of its own; an empty table gives no row.
     """
-    parents = component_parents(pairs.where("linked").select(F.col("id1").alias("u"), F.col("id2").alias("v")), cell_edges)
+    parents = component_parents(pairs.where("linked").select(F.col("id1").alias("u"), F.col("id2").alias("v")), side)
     ids = pairs.select(F.explode(F.array("id1", "id2")).alias("call_id")).distinct()
     return ids.join(parents.withColumnRenamed("v", "call_id"), "call_id", "left").select("call_id", F.coalesce("m", "call_id").alias("group_id"))
 
