@@ -1,11 +1,15 @@
 """Sentence boundaries in many languages and scripts (problem 9).
 
-A text is parted at empty or blank lines; each part goes through a pushdown automaton whose events
-are the final marks of all scripts, quotation marks and brackets, and (in Thai) blanks. A stack
-pairs nested quotations and brackets; what never closes within its part is not on the stack, so a
-stray quote hides nothing. A paired quotation or bracket is crossed as one symbol. Abbreviations are
-kept in a trie of reversed spellings that is walked back from a full stop. Numbers at the beginning
-of a sentence are list levels. The output are offsets in code points.
+A text is parted at empty or blank lines; each part is read once by a pushdown automaton whose
+symbols are the final marks of all scripts, quotation marks and brackets, the stops of list levels,
+and (in Thai) blanks. Its stack holds an open quotation or bracket in each frame, together with the
+state from before it: where the sentence began and how many boundaries there were. A boundary found
+inside a frame is provisional: when the frame closes, the state from before comes back, so quoted or
+bracketed text stays whole, and the mark before the closing one decides whether the sentence ends
+there. A frame that never closes keeps what was found in it, so a stray mark hides nothing. A list
+level (``1.``, ``1.2.``, ``IV.``) is a state that a sentence begins in and that lasts while one
+number after the other comes. Abbreviations are kept in a trie of reversed spellings that is walked
+back from a full stop. The output are offsets in code points.
 
 Defined results: null, empty and blank texts give no row; offsets never include white space at the
 ends; a rest without a mark is a sentence; repeated documents repeat their rows.
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,8 +50,11 @@ MONTHS = frozenset(
     "januari februari mars maj juni augusti januar marts tammikuuta helmikuuta ledna února března dubna května června července srpna září října listopadu prosince "
     "stycznia lutego marca kwietnia maja czerwca lipca sierpnia września października listopada grudnia".split()
 )
-AND_WORDS = frozenset("and but or then und aber oder y e pero et puis mais ou mas και κι αλλά ed ma".split())
-THAI_FINALS = ("ครับ", "ค่ะ", "คะ", "ค๊ะ", "คับ", "ครับผม", "จ้ะ", "จ้า", "จ๊ะ", "ฮะ", "นะ", "ขอรับ")
+AND_WORDS = frozenset(
+    "and but or nor then und aber oder denn sondern y e ni pero sino et puis mais ou donc mas nem então και κι ή αλλά όμως ed ma oppure maar och eller og ale".split()
+)
+# Particles that close a Thai statement or question: polite ones, softening ones, tags of questions.
+THAI_FINALS = ("ครับ", "ครับผม", "คับ", "ฮะ", "ขอรับ", "ค่ะ", "คะ", "ค๊ะ", "จ้ะ", "จ้า", "จ๊ะ", "จ๋า", "นะ", "น่ะ", "น้า", "ล่ะ", "เถอะ", "เถิด", "สิ", "ซิ", "หรอก", "แหละ", "ไหม", "มั้ย", "หรือยัง", "หรือเปล่า", "หรือไม่", "ใช่ไหม", "รึเปล่า", "รึยัง", "เหรอ", "หรอ")
 OPENERS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "«": "»", "„": "“", "‹": "›", "‚": "‘", "〔": "〕"}
 CLOSERS = frozenset(OPENERS.values()) | {"”", '"', "’", "＂"}
 HARD = "!?。！？।॥؟۔‼⁇⁈⁉｡"
@@ -59,11 +67,15 @@ _TAIL = re.compile(f"(?:[{re.escape(HARD + SOFT)}]| ?{_EMOJI}+|[)\\]}}）］】
 _RUN = re.compile(f"[{re.escape(HARD + SOFT)}]+")
 _BREAK = r"(?:\r\n|\r(?!\n)|(?<!\r)\n)"  # never one half of a pair
 _PART = re.compile(rf"{_BREAK}[^\S\r\n]*(?:{_BREAK}[^\S\r\n]*)+")
-_EVENT = re.compile(f"[{re.escape(HARD + SOFT + GREEK_QUESTION)}]|[{re.escape(''.join(OPENERS))}\"＂]|(?<=[฀-๿{_INVISIBLE}])\\s+")
-_MARKS_OF_PAIRS = re.compile(f"[{re.escape(''.join(OPENERS) + ''.join(CLOSERS - {'’'}))}]")
+_PAIRED = frozenset(OPENERS) | CLOSERS - {"’"}
+_EVENT = re.compile(f"[{re.escape(HARD + SOFT + GREEK_QUESTION)}]|[{re.escape(''.join(sorted(_PAIRED)))}]|(?<=[฀-๿{_INVISIBLE}])\\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+_ROMAN = re.compile("(?=.)X{0,3}(?:IX|IV|V?I{0,3})")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
-_ADDRESS_ENDS = frozenset("example com org net edu gov io de fr es info html php jpg png pdf txt co uk".split())
+# Top-level names (those of RFC 2606, the first generic ones, some of countries) and endings of files.
+_NAME_ENDS = frozenset("com org net edu gov mil int info biz app dev io ai co uk de fr es pt it gr jp cn th in sa ae eg us ca eu ch at nl example test invalid localhost".split())
+_FILE_ENDS = frozenset("htm html php asp js css json xml txt csv pdf doc docx xls xlsx ppt png jpg jpeg gif svg mp3 mp4 zip gz tar exe py".split())
+_LABEL = re.compile(r"[a-z0-9](?:[\w\-]*[a-z0-9])?", re.ASCII | re.IGNORECASE)
 
 
 def _trie(groups: dict[str, list[str]]) -> dict:
@@ -118,28 +130,26 @@ def _caseless(char: str) -> bool:
     return char.isalpha() and char.lower() == char.upper()
 
 
-def _pairs(text: str) -> dict[int, int]:
-    """Begin -> end of the quotations and brackets that close; the automaton's stack."""
-    stack: list[tuple[str, int]] = []
-    places: dict[str, list[int]] = {}  # of each kind on the stack
-    closed: dict[int, int] = {}
+class _Stack:
+    """The open quotations and brackets, found by kind without a search; a frame keeps the state to come back to."""
+
+    def __init__(self) -> None:
+        self.frames: list[tuple[str, int, int, int]] = []  # closing mark, place, begin of the sentence, boundaries so far
+        self.places: dict[str, list[int]] = {}
 
-    def push(kind: str, at: int) -> None:
-        places.setdefault(kind, []).append(len(stack))
-        stack.append((kind, at))
+    def push(self, kind: str, at: int, begin: int, found: int) -> None:
+        self.places.setdefault(kind, []).append(len(self.frames))
+        self.frames.append((kind, at, begin, found))
 
-    for m in _MARKS_OF_PAIRS.finditer(text):
-        char, at = m.group(), m.start()
-        depth = max((places[k][-1] for k in ("”“" if char == "”" else char) if places.get(k)), default=None)
-        if depth is not None:
-            closed[stack[depth][1]] = at
-            while len(stack) > depth:
-                places[stack.pop()[0]].pop()
-        elif char in '"＂':
-            push(char, at)
-        elif char in OPENERS:
-            push(OPENERS[char], at)
-    return closed
+    def close(self, char: str) -> tuple[str, int, int, int] | None:
+        """The innermost frame that the mark closes; strays above it go too."""
+        depth = max((self.places[k][-1] for k in ("”“" if char == "”" else char) if self.places.get(k)), default=None)
+        if depth is None:
+            return None
+        frame = self.frames[depth]
+        while len(self.frames) > depth:
+            self.places[self.frames.pop()[0]].pop()
+        return frame
 
 
 def _next_visible(text: str, at: int) -> int:
@@ -181,10 +191,12 @@ class _Token:
         while right < len(text) and not text[right].isspace():
             right += 1
         token = text[left:right]
-        labels = [x for x in re.split(r"[.\s]", token.strip(".,!?;:")) if x]
         self.left, self.right = left, right
         self.is_address = "://" in token or "@" in token
-        self.is_host = len(labels) >= 3 or bool(labels) and (labels[-1] in _ADDRESS_ENDS or labels[0] in ("www", "help"))
+        # The form of a name: labels of Latin letters and digits with nothing but stops between them, before a path or port.
+        labels = re.split(r"[/:?#]", token.strip(".,;!?()[]{}\"'“”«»"), maxsplit=1)[0].split(".")
+        named = len(labels) >= 2 and all(map(_LABEL.fullmatch, labels))
+        self.is_host = named and (len(labels) >= 3 or labels[-1].lower() in _NAME_ENDS | _FILE_ENDS)
 
 
 def _is_emoji(char: str) -> bool:
@@ -192,7 +204,7 @@ def _is_emoji(char: str) -> bool:
 
 
 def _stop_ends(text: str, at: int, begin: int, small: bool, tokens: list[_Token]) -> bool:
-    """Whether the single full stop at ``at`` ends the sentence that began at ``begin``. ``tokens`` keeps the last token looked up."""
+    """Whether the single full stop at ``at`` ends the sentence that began at ``begin`` (or whose list level reaches there). ``tokens`` keeps the last token looked up."""
     n = len(text)
     after = text[at + 1] if at + 1 < n else ""
     before = text[at - 1] if at else " "
@@ -228,9 +240,9 @@ def _stop_ends(text: str, at: int, begin: int, small: bool, tokens: list[_Token]
     letters = unicodedata.normalize("NFC", head)
     if len(letters) == 1 and letters.isalpha() and (follows.isalnum()) and letters != "I":
         return False
+    if word == begin and not touching and (head.isdigit() or _ROMAN.fullmatch(head)):
+        return False  # the level of a list
     if head.isdigit():
-        if word == begin and not touching:
-            return False  # the level of a list
         m = _WORD.match(text, upto)
         if len(head) <= 2 and m and m.group().lower() in MONTHS:
             return False
@@ -279,50 +291,65 @@ def _close_ends(text: str, opened: int, closed: int, begin: int, small: bool) ->
 
 def _part_spans(text: str) -> Iterator[tuple[int, int]]:
     n = len(text)
-    pairs = _pairs(text)
+    stack = _Stack()
     small = text.lower() == text and text.upper() != text
-    begin = at = 0
-    greek = -1
+    begin, free = 0, 0  # the sentence's begin, and from where on marks count
+    level = -1  # how far the list level at the sentence's begin reaches
+    ends: list[int] = []
+    greek: list[int] | None = None
     tokens: list[_Token] = []
-    while (m := _EVENT.search(text, at)) is not None:
+    for m in _EVENT.finditer(text):
         i, char = m.start(), m.group()[0]
         end = -1
-        if char in OPENERS or char in '"＂':
-            shut = pairs.get(i)
-            if shut is None:
-                at = i + 1
+        if char in _PAIRED:
+            frame = stack.close(char)
+            if frame is None:
+                if char in OPENERS or char in '"＂':
+                    stack.push(OPENERS.get(char, char), i, begin, len(ends))
                 continue
-            at = shut + 1
-            inner = text[i + 1 : shut].rstrip()
-            if inner and inner[-1] in HARD + SOFT and not (at < n and text[at] in HARD + SOFT) and _close_ends(text, i, shut, begin, small):
-                end = at
+            _, opened, begin, found = frame
+            del ends[found:]
+            free, level = i + 1, -1
+            last = i
+            while last > opened + 1 and text[last - 1].isspace():
+                last -= 1
+            if last > opened + 1 and text[last - 1] in HARD + SOFT and not (free < n and text[free] in HARD + SOFT) and _close_ends(text, opened, i, begin, small):
+                end = free
+        elif i < free:
+            continue
         elif char.isspace():
-            at = m.end()
+            free = m.end()
             if _thai_final(text, i, begin):
                 end = i
         elif char in GREEK_QUESTION:
-            at = i + 1
-            if greek < begin:  # looked up once for each sentence
-                hit = _GREEK.search(text, begin)
-                greek = hit.start() if hit else n
-            if greek < i:
-                end = at
+            free = i + 1
+            if greek is None:
+                greek = [x.start() for x in _GREEK.finditer(text)]
+            at = bisect_left(greek, begin)
+            if at < len(greek) and greek[at] < i:
+                end = free
         else:
             run = _RUN.match(text, i)
-            at = run.end()
+            free = run.end()
             marks = run.group()
             if any(c in HARD for c in marks):
-                nexts = text[at : at + 1]
-                end = at if nexts != "=" else -1
+                end = free if text[free : free + 1] != "=" else -1
             elif marks in (".", "．"):
-                if _stop_ends(text, i, _next_visible(text, begin), small, tokens):
-                    end = at
-            elif _ellipsis_ends(text, at):
-                end = at
+                since = max(_next_visible(text, begin), level)
+                if _stop_ends(text, i, since, small, tokens):
+                    end = free
+                elif text[since:i].isdigit():
+                    level = free
+            elif _ellipsis_ends(text, free):
+                end = free
         if end >= 0:
             end = _TAIL.match(text, end).end()
-            yield begin, end
-            begin, at = end, max(at, end)
+            ends.append(end)
+            begin, free, level = end, max(free, end), -1
+    begin = 0
+    for end in ends:
+        yield begin, end
+        begin = end
     if begin < n:
         yield begin, n
 

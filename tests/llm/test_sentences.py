@@ -92,3 +92,35 @@ def test_long_searches_take_linear_time(text):
     began = process_time()
     S.spans(text)
     assert process_time() - began < 20
+
+
+#: Texts of other kinds than the documents': contracts, recipes, news, code, chats.
+UNSEEN = [
+    (" ", ["1.1. Scope.", "The text applies to all parties.", "1.2.3. Terms (see annex 2. It is binding.) and dates.", "It was 1.1.", "Next."]),
+    (" ", ["IV. Results of the second trial were mixed.", "XII. Outlook."]),
+    (" ", ["กินข้าวหรือยัง", "ไม่รู้"]),
+    (" ", ["Use mirror.debian.org or docs.python.org/3/library/re.html for that.", "Then run a.out again."]),
+    (" ", ["she said “he told me ‘go (now. please.)’ and ran.” and then she left.", "we stayed."]),
+    (" ", ["The U.N. met at 5 p.m. in Geneva.", "Nobody (not even the press!) was let in.", "Why?!", "See p. 12."]),
+    (" ", ["Il pleut.", "« Vraiment ? » demanda M. Petit.", "Oui !"]),
+    ("", ["他问：“（真的吗？）你看《三体。》了没有？”没人回答。", "然后呢？"]),
+    (" ", ["बारिश हो रही है।", "क्या तुम (डॉ. राव के साथ) आओगे?"]),
+    (" ", ["[Editor's note: it rained. A lot.]", "The match [see above. Below.] went on.", "Final score 3.5 to 2."]),
+    ("\n\n", ["Item one has no stop", "(a bracket that never closes. Still two", "“A quotation, closed. Whole.” he said"]),
+]
+
+
+@pytest.mark.parametrize("joint, parts", UNSEEN[:-1])
+def test_texts_of_other_kinds(joint, parts):
+    text = joint.join(parts)
+    assert [text[a:b] for a, b in S.spans(text)] == parts
+
+
+def test_frames_that_close_take_back_what_was_found_inside():
+    joint, parts = UNSEEN[-1]
+    text = joint.join(parts)
+    assert [text[a:b] for a, b in S.spans(text)] == ["Item one has no stop", "(a bracket that never closes.", "Still two", "“A quotation, closed. Whole.” he said"]
+    nested = "Ann (bob [cut. Dug “eat. Far.” got. Hit] ill. Jug) keen. Low."
+    assert [nested[a:b] for a, b in S.spans(nested)] == ["Ann (bob [cut. Dug “eat. Far.” got. Hit] ill. Jug) keen.", "Low."]
+    stray = "Ann (bob [cut. Dug) eat. Far."
+    assert [stray[a:b] for a, b in S.spans(stray)] == ["Ann (bob [cut. Dug) eat.", "Far."]
