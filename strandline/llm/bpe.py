@@ -192,12 +192,24 @@ class Encoder:
             self.bytes_of = {v: k for k, v in self.ranks.items()}
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
 
+    def widths(self) -> np.ndarray:
+        """Bytes of each token."""
+        if not hasattr(self, "bytes_by_id"):
+            self.bytes_by_id = np.zeros(max(self.ranks.values()) + 1, np.int64)
+            for token, i in self.ranks.items():
+                self.bytes_by_id[i] = len(token)
+        return self.bytes_by_id
+
+    def begins(self, ids: list[int]) -> np.ndarray:
+        """The first byte of each token in the text's UTF-8 form: the slices keep their order and lose nothing, so offsets follow from the ids."""
+        sizes = self.widths()[ids] if ids else np.zeros(0, np.int64)
+        return np.cumsum(sizes) - sizes
+
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """Begin and end of each token in the text's UTF-8 bytes."""
-        if not hasattr(self, "bytes_of"):
-            self.bytes_of = {v: k for k, v in self.ranks.items()}
-        ends = np.cumsum([0, *(len(self.bytes_of[i]) for i in self.encode_batch([text])[0])]).tolist()
-        return list(zip(ends[:-1], ends[1:]))
+        ids = self.encode_batch([text])[0]
+        begins = self.begins(ids)
+        return list(zip(begins.tolist(), (begins + self.widths()[ids]).tolist())) if ids else []
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -228,11 +240,14 @@ def _encode_run(enc: Encoder, run: list[str | None]) -> Iterator[list[int] | Non
         yield None if text is None else next(ids) if text else []
 
 
-def _ids(path: str):
+def _ids(path: str, with_offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = list(encode_texts(batch.column(1).to_pylist(), path))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            columns = {"doc_id": batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))}
+            if with_offsets:
+                columns["begin_bytes"] = pa.array([None if x is None else encoder(path).begins(x) for x in ids], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -246,9 +261,10 @@ def _counts(path: str, width: int):
     return run
 
 
-def token_ids(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``doc_id, ids`` of every document."""
-    return documents.select("doc_id", "text").mapInArrow(_ids(path), "doc_id bigint, ids array<int>")
+def token_ids(documents: DataFrame, path: str = VOCABULARY, with_offsets: bool = False) -> DataFrame:
+    """``doc_id, ids`` of every document, and ``begin_bytes`` (the first byte of each token in the UTF-8 text) if asked for."""
+    more = ", begin_bytes array<bigint>" if with_offsets else ""
+    return documents.select("doc_id", "text").mapInArrow(_ids(path, with_offsets), f"doc_id bigint, ids array<int>{more}")
 
 
 def token_counts(documents: DataFrame, keys: list[str], path: str = VOCABULARY) -> DataFrame:

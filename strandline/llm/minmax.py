@@ -12,7 +12,8 @@ Plan
 3. Texts that share a band are candidates: a sort-merge self join on the band key, which spills and
    which adaptive execution splits where a key is hot.
 4. Candidates are verified exactly on their window sets.
-5. Pairs of distinct texts are expanded to pairs of records.
+5. Pairs of distinct texts are expanded to pairs of records, or, without expanding anything, linked to
+   groups by the grid of problem 6, with the class of copies of each record.
 
 Defined results: rows whose id or either allele is null, and alleles with other letters than
 A, C, G, T, N, take no part; an empty table gives an empty result; ids are compared as numbers, the
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.components import component_parents
 from strandline.session import durable
 
 K = 12  # bases in a window
@@ -198,14 +200,48 @@ def near_duplicate_texts(texts: DataFrame, k: int = K, bands: int = BANDS, liken
     )
 
 
+def distinct_texts(records: DataFrame) -> DataFrame:
+    """``allele, rep, n``: every distinct text with its least id and its number of rows, as a stored table."""
+    return durable(records.groupBy("allele").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("n")), "texts")
+
+
+def copies(records: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rep, row_id`` of all rows of texts that came more than once, found by a 128-bit digest instead of the text."""
+    copied = texts.where("n > 1").select("rep", F.unhex(F.md5("allele")).alias("digest"))
+    return records.select("row_id", F.unhex(F.md5("allele")).alias("digest")).join(copied, "digest").select("rep", "row_id")
+
+
+def near_duplicate_groups(calls: DataFrame, k: int = K, bands: int = BANDS, likeness: float = LIKENESS, min_bases: int = MIN_BASES) -> DataFrame:
+    """``row_id, class_id, group_id, links``, one row for each record that takes part.
+
+    ``class_id`` is the least id among the records of the same allele, ``links`` the number of other
+    alleles that are near it, and ``group_id`` the least id of all records that are linked directly or
+    through others. Nothing here grows with the square of the copies.
+    """
+    records = sequence_records(calls, min_bases)
+    texts = distinct_texts(records)
+    pairs = durable(near_duplicate_texts(texts, k, bands, likeness), "links")
+    text = lambda c: F.col(c).cast("string")
+    parents = component_parents(pairs.select(text("rep_1").alias("u"), text("rep_2").alias("v"))).select(F.col("v").cast("bigint").alias("rep"), F.col("m").alias("tree"))
+    links = pairs.select(F.explode(F.array("rep_1", "rep_2")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    classes = texts.select("rep", "n").join(parents, "rep", "left").join(links, "rep", "left").withColumns({"tree": F.coalesce("tree", text("rep")), "links": F.coalesce("links", F.lit(0).cast("bigint"))})
+    classes = durable(classes, "classes")
+    least = classes.groupBy("tree").agg(F.min("rep").alias("group_id"))
+    grouped = classes.join(least, "tree")
+    alone = grouped.where("n = 1").select(F.col("rep").alias("row_id"), F.col("rep").alias("class_id"), "group_id", "links")
+    several = copies(records, texts).join(grouped.where("n > 1"), "rep").select("row_id", F.col("rep").alias("class_id"), "group_id", "links")
+    return alone.unionByName(several)
+
+
 def near_duplicate_calls(calls: DataFrame, k: int = K, bands: int = BANDS, likeness: float = LIKENESS, min_bases: int = MIN_BASES) -> DataFrame:
-    """``row_id_1, row_id_2``: all pairs of records whose alleles have at least this likeness."""
+    """``row_id_1, row_id_2``: all pairs of records whose alleles have at least this likeness.
+
+    The pairs of records are what is asked for here; :func:`near_duplicate_groups` has one row a record.
+    """
     records = sequence_records(calls, min_bases)
-    texts = durable(records.groupBy("allele").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("n")), "texts")
+    texts = distinct_texts(records)
     pairs = near_duplicate_texts(texts, k, bands, likeness)
-    # The other rows of texts that came more than once, found by a 128-bit digest instead of the text.
-    copied = texts.where("n > 1").select("rep", F.unhex(F.md5("allele")).alias("digest"))
-    members = records.select("row_id", F.unhex(F.md5("allele")).alias("digest")).join(copied, "digest").select("rep", "row_id")
+    members = copies(records, texts)
     one, two = (members.select(F.col("rep").alias(f"rep_{i}"), F.col("row_id").alias(f"m_{i}")) for i in (1, 2))
     spread = (
         pairs.join(one, "rep_1", "left")

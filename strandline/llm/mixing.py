@@ -7,11 +7,13 @@ With a given total a source that would need more than ``max_repeats`` uses is he
 
 A document is used ``floor(rate)`` times for certain; the fractional rest is rounded by the pivotal
 method: two fractional documents meet, and mass moves at random from the one to the other until one
-of them is integral (0 or 1 more use). Documents meet in the order of their size, the
-largest first, so mass moves between documents of nearly one size and the token sum hardly changes. Within a bucket of a source one document may stay fractional;
-these residuals go up a reduction tree, ``FAN_IN`` buckets to a node, and a single coin decides
-about the last one of each source. Randomness is a hash of the two ids and the seed, so a task that
-runs again after a loss decides alike.
+of them is integral (0 or 1 more use). Within a bucket the documents meet in pairs, neighbours by
+size, then the residuals of the pairs meet, and so on, so mass moves between documents of nearly one
+size and the token sum hardly changes; all pairs of a round are one array operation. The one document
+of a bucket that stays fractional goes up a reduction tree, ``FAN_IN`` buckets to a node, and a single
+coin decides about the last one of each source. Randomness is a hash of the two ids and the seed, so
+a task that runs again after a loss decides alike. Buckets have about ``BUCKET_DOCS`` documents of
+one source, so a source that holds most rows is settled by many tasks.
 
 Defined results: documents without tokens (null or empty text) have no use; documents of sources
 without a target don't come out; sources without documents are reported with 0; a target share that
@@ -21,79 +23,74 @@ is null or not above 0 and ``max_repeats`` that is null or below 1 give no uses.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.bpe import VOCABULARY, token_counts
 from strandline.session import durable
 
-BUCKET_DOCS = 50_000
+BUCKET_DOCS = 4_096
 FAN_IN = 32
 SEED = 8
 
 _SCHEMA = "doc_id bigint, source string, n_tokens bigint, base bigint, p double, bucket bigint, open boolean"
 
 
-def _coin(seed: int, a: int, b: int) -> float:
-    return xxhash.xxh64_intdigest(f"{a}:{b}", seed) / 2**64
+def _coins(seed: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Uniform numbers, one for each pair of ids."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
 
 
-def pivotal_step(p: float, q: float, u: float) -> tuple[float, float]:
-    """One meeting of two fractional probabilities; ``u`` is uniform. Keeps their sum and expectations."""
+def pivotal_step(p: np.ndarray, q: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Meetings of fractional probabilities; ``u`` is uniform. Keeps their sums and expectations."""
     total = p + q
-    if total < 1:
-        return (total, 0.0) if u * total < p else (0.0, total)
-    rest = total - 1
-    if rest >= 1:
-        return 1.0, 1.0
-    return (1.0, rest) if u * (2 - total) < 1 - q else (rest, 1.0)
-
-
-def _pivotal(seed: int):
-    """Over rows sorted by (source, bucket): decides all but at most one document of each bucket."""
-
-    def settled(x: float) -> float:
-        return x if 1e-12 < x < 1 - 1e-12 else float(round(x))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the fractional document that waits for a partner
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, source, n, base, p, bucket, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                if held is not None and (held[1], held[5]) != (source, bucket):
-                    out.append((*held, True))
-                    held = None
-                row = (doc, source, n, base, settled(p), bucket)
-                if not 0 < row[4] < 1:
-                    out.append((*row, False))
-                elif held is None:
-                    held = row
-                else:
-                    mine, theirs = pivotal_step(held[4], row[4], _coin(seed, held[0], doc))
-                    pair = ((*held[:4], settled(mine), bucket), (*row[:4], settled(theirs), bucket))
-                    held = None
-                    for each in pair:
-                        if 0 < each[4] < 1:
-                            held = each
-                        else:
-                            out.append((*each, False))
-            if out:
-                yield _rows(out)
-        if held is not None:
-            yield _rows([(*held, True)])
+    rest = np.clip(total - 1, 0, 1)
+    low, high = np.minimum(total, 1.0), np.where(total < 1, 0.0, rest)
+    # The first gets the greater part with a probability that keeps its expectation.
+    first = np.where(total < 1, u * total < p, u * (2 - total) < 1 - q)
+    return np.where(first, low, high), np.where(first, high, low)
+
+
+def _settled(p: np.ndarray) -> np.ndarray:
+    return np.where((p > 1e-12) & (p < 1 - 1e-12), p, np.round(p))
+
+
+def pivotal(p: np.ndarray, ids: np.ndarray, seed: int) -> np.ndarray:
+    """Rounds probabilities in the given order until one at most is fractional."""
+    p = _settled(p)
+    left = np.flatnonzero((p > 0) & (p < 1))
+    with np.errstate(over="ignore"):
+        while len(left) > 1:
+            half = len(left) // 2
+            a, b = left[0 : 2 * half : 2], left[1 : 2 * half : 2]
+            mine, theirs = (_settled(x) for x in pivotal_step(p[a], p[b], _coins(seed, ids[a], ids[b])))
+            p[a], p[b] = mine, theirs
+            open_a, open_b = (mine > 0) & (mine < 1), (theirs > 0) & (theirs < 1)
+            left = np.concatenate([np.where(open_a, a, b)[open_a | open_b], left[2 * half :]])
+    return p
+
+
+def _bucket(seed: int):
+    """Settles the documents of one bucket of a source; a bucket is small."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, sizes = (rows.column(c).fill_null(-1).to_numpy() for c in ("doc_id", "n_tokens"))
+        order = np.lexsort((ids, -sizes))
+        p = pivotal(rows.column("p").to_numpy()[order], ids[order], seed)
+        done = rows.take(pa.array(order))
+        at = done.schema.get_field_index
+        done = done.set_column(at("p"), "p", pa.array(p))
+        return done.set_column(at("open"), "open", pa.array((p > 0) & (p < 1)))
 
     return run
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "source", "n_tokens", "base", "p", "bucket", "open"])
-
-
 def rates(available: dict[str, int], targets: list[tuple[str, float, int]], total: int | None = None) -> dict[str, float]:
     """Expected uses of a document for each source that has tokens and a target."""
     usable = [(s, t, m) for s, t, m in targets if s is not None and t and t > 0 and m and m >= 1 and available.get(s)]
@@ -124,17 +121,15 @@ def mixed_uses(sizes: DataFrame, targets: DataFrame, total: int | None = None, s
         F.pmod(F.xxhash64("doc_id"), F.coalesce("buckets", F.lit(1))).cast("bigint").alias("bucket"),
         F.lit(True).alias("open"),
     )
-    settled, left = None, max([1, *(b for *_, b in plan)])
-    now = joined
+    settled, now, left = joined.where("p = 0"), joined.where("p > 0"), max([1, *(b for *_, b in plan)])
     while True:
-        level = now.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("n_tokens"), "doc_id").mapInArrow(_pivotal(seed), _SCHEMA)
+        level = now.groupBy("source", "bucket").applyInArrow(_bucket(seed), _SCHEMA)
         if left == 1:
             last = level.withColumn("p", F.when(F.col("open"), (_uniform(seed) < F.col("p")).cast("double")).otherwise(F.col("p")))
-            settled = last if settled is None else settled.unionByName(last)
+            settled = settled.unionByName(last)
             break
         level = durable(level, "mix")
-        closed = level.where(~F.col("open"))
-        settled = closed if settled is None else settled.unionByName(closed)
+        settled = settled.unionByName(level.where(~F.col("open")))
         now = level.where("open").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
         left = math.ceil(left / FAN_IN)
     return settled.select("doc_id", "source", "n_tokens", (F.col("base") + F.round("p").cast("bigint")).alias("uses"))

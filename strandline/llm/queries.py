@@ -13,8 +13,10 @@ from strandline.session import table
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: minmax.near_duplicate_calls(table(s, d, "svcalls")),
+        "p1_groups": lambda s, d: minmax.near_duplicate_groups(table(s, d, "svcalls")),
         "p6_found": lambda s, d: components.call_groups(table(s, d, "dist_pairs")),
         "p7_ids": lambda s, d: bpe.token_ids(table(s, d, "documents")),
+        "p7_offsets": lambda s, d: bpe.token_ids(table(s, d, "documents"), with_offsets=True),
         "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_shares": lambda s, d: mixing.mix_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_found": lambda s, d: sentences.sentence_spans(table(s, d, "documents")),

@@ -61,3 +61,16 @@ def test_query_on_nulls_empty_and_long_texts(spark, reference):
     counts = {r.doc_id: r.n_tokens for r in bpe.token_counts(df.selectExpr("doc_id", "text", "1 n_tokens"), ["doc_id"]).collect()}
     assert counts[1] == counts[2] == 0 and counts[4] == len(got[4][1])
     assert bpe.token_ids(df.limit(0)).count() == 0
+
+
+def test_offsets_come_with_the_ids_and_decode_the_text(spark):
+    rows = [(i, x) for i, x in enumerate([*TEXTS[:-1], None])]
+    got = {r.doc_id: r for r in bpe.token_ids(spark.createDataFrame(rows, "doc_id bigint, text string"), with_offsets=True).collect()}
+    enc = bpe.Encoder()
+    for i, text in rows:
+        if text is None:
+            assert got[i].ids is None and got[i].begin_bytes is None
+            continue
+        data = text.encode()
+        ends = [*got[i].begin_bytes[1:], len(data)]
+        assert [enc.ranks[data[a:b]] for a, b in zip(got[i].begin_bytes, ends)] == got[i].ids

@@ -61,6 +61,20 @@ def test_pairs_equal_brute_force(spark):
     want = sorted((i, j) for n, (i, a) in enumerate(long) for j, b in long[n + 1 :] if likeness(a, b) >= 0.5)
     assert len(want) > 20
     assert got == want
+    root = {i: i for i, _ in long}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in want:
+        a, b = sorted((top(i), top(j)))
+        root[b] = a
+    same = {a: min(i for i, x in long if x == a) for _, a in long}
+    near = {a: {b for b in same if b != a and likeness(a, b) >= 0.5} for a in same}
+    found = sorted(tuple(r) for r in M.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert found[: len(long)] == [(i, same[a], top(i), len(near[a])) for i, a in long] and found[len(long) :] == [(1004, 1004, 1004, 0)]
 
 
 def test_hot_text_and_empty_table(spark):
@@ -68,3 +82,5 @@ def test_hot_text_and_empty_table(spark):
     got = M.near_duplicate_calls(spark.createDataFrame([(i, "A", text, "", "") for i in range(30)], SCHEMA))
     assert sorted(tuple(r) for r in got.collect()) == [(i, j) for i in range(30) for j in range(i + 1, 30)]
     assert M.near_duplicate_calls(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert sorted(tuple(r) for r in M.near_duplicate_groups(spark.createDataFrame([(i, "A", text, "", "") for i in range(30)], SCHEMA)).collect()) == [(i, 0, 0, 0) for i in range(30)]
+    assert M.near_duplicate_groups(spark.createDataFrame([], SCHEMA)).count() == 0

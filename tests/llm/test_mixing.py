@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from strandline.llm import mixing as X
@@ -28,7 +29,7 @@ def test_pivotal_step_keeps_sum_and_expectation():
         assert first / n == pytest.approx(p, abs=2e-3)
 
 
-@pytest.mark.parametrize("bucket", [50_000, 40])
+@pytest.mark.parametrize("bucket", [50_000, 40, 7])
 def test_shares_are_met_within_the_caps(spark, monkeypatch, bucket):
     monkeypatch.setattr(X, "BUCKET_DOCS", bucket)
     monkeypatch.setattr(X, "FAN_IN", 4)
@@ -62,3 +63,23 @@ def test_report_and_empty_tables(spark):
     empty = X.mix_shares(docs.limit(0), targets(spark)).collect()
     assert len(empty) == len(TARGETS) and all(r.actual_share == 0 for r in empty)
     assert X.mix(docs.limit(0), targets(spark)).count() == 0
+
+
+def test_rounding_keeps_the_sum_and_leaves_one_fractional():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 1000, 4097):
+        p = rng.random(n)
+        got = X.pivotal(p.copy(), np.arange(n), 8)
+        assert ((got > 0) & (got < 1)).sum() <= 1 and got.sum() == pytest.approx(p.sum())
+    many = [X.pivotal(np.full(9, 0.3), np.arange(9), seed) for seed in range(3000)]
+    assert np.mean(many, axis=0) == pytest.approx(np.full(9, 0.3), abs=0.03)
+
+
+def test_hot_source_is_settled_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(X, "BUCKET_DOCS", 64)
+    monkeypatch.setattr(X, "FAN_IN", 2)
+    rows = [(i, "web" if i % 20 else "app", 10 + i % 7) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    uses = X.mixed_uses(df, spark.createDataFrame([("web", 0.5, 3), ("app", 0.5, 3)], "source string, target_share double, max_repeats int")).collect()
+    used = {s: sum(u.uses * u.n_tokens for u in uses if u.source == s) for s in ("web", "app")}
+    assert used["web"] == pytest.approx(used["app"], rel=0.01) and len(uses) == 4000
