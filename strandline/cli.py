@@ -6,12 +6,14 @@ Arguments with blanks stay whole. Results are folders of text parts in order.
 from __future__ import annotations
 
 import argparse
+from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.plans import commands
-from strandline.session import ship
+from strandline.session import durable, ship
 from strandline.sources import alignments, fasta, sinks, tabular, vcf
 from strandline.sources.fasta import Slices
 
@@ -36,18 +38,27 @@ def _benchmark(spark: SparkSession, o: argparse.Namespace) -> None:
     sinks.write_lines(spark, result.false_negatives, f"{o.prefix}.fn.vcf", ["chrom", "pos", "line"])
     from strandline.operators.scoring import report_lines
 
-    print("\n".join(report_lines(result.metrics.first())))
+    if known is None:
+        sinks.write_lines(spark, sinks.distance_lines(result.distances), f"{o.prefix}.distances", ["line"], [sinks.distance_header(True)])
+    text = report_lines(result.metrics.first())
+    spark.createDataFrame([(x,) for x in text], "line string").coalesce(1).write.mode("overwrite").text(f"{o.prefix}.report")
+    print("\n".join(text))
 
 
 def _merge(spark: SparkSession, o: argparse.Namespace) -> None:
     paths = tabular.file_list([o.variants] if o.variants else [], [o.fof] if o.fof else [])
     params = commands.MergeParams(o.maxdist, o.relshift, o.relsizediff, o.reldist, o.minsize, o.max_subs_rate if o.newdist else None, o.max_indel_rate if o.newdist else None)
     known = tabular.distances(spark.read.text(o.distance_file).withColumnRenamed("value", "line")) if o.distance_file else None
-    merged = commands.merge(_records(spark, paths), fasta.slicer(fasta.chunks(spark, fasta.resolve(o.ref))), params, known)
+    merged = commands.merge(_records(spark, paths), fasta.slicer(fasta.chunks(spark, fasta.resolve(o.ref))), params, known, o.delimiter, o.seqspecific)
+    if known is None:
+        sinks.write_lines(spark, sinks.distance_lines(merged.distances), f"{o.prefix}.distances", ["line"], [sinks.distance_header()])
+    if o.skip_clusters:
+        return
     header = _header(spark, paths[0])
     keys = F.array(*(F.lit(x.split("<ID=")[1].split(",")[0]) for x in header if x.startswith("##INFO=<ID=")), F.lit(""))
-    lines = sinks.vcf_lines(merged.withColumns({"info": sinks.merged_info(F.col("info"), keys), "format": F.lit("."), "samples": F.array(F.lit("."))}), ["chrom", "pos"])
-    sinks.write_lines(spark, lines, f"{o.prefix}.clustered.vcf", ["chrom", "pos", "line"], sinks.with_header_lines(header, sinks.MERGE_INFO))
+    lines = sinks.vcf_lines(merged.clusters.withColumns({"info": sinks.merged_info(F.col("info"), keys, params.by_rates()), "format": F.lit("."), "samples": F.array(F.lit("."))}), ["chrom", "pos"])
+    added = sinks.MERGE_INFO + (sinks.MERGE_RATE_MAXIMA if params.by_rates() else sinks.MERGE_MAXIMA)
+    sinks.write_lines(spark, lines, f"{o.prefix}.clustered.vcf", ["chrom", "pos", "line"], sinks.with_header_lines(header, added))
 
 
 def _comp(spark: SparkSession, o: argparse.Namespace) -> None:
@@ -68,18 +79,88 @@ def _refine(spark: SparkSession, o: argparse.Namespace) -> None:
     else:
         regions = commands.discover_regions(found, o.maxsize or None)
     result = commands.refine(found, regions, contigs, o.buffer if o.buffer is not None else (0 if o.regions else 1000), o.bufseg, o.maxsize)
-    rows = result.variants.withColumns({"refseq": F.lit("N"), "altseq": F.when(F.col("svkind").startswith("SUBS"), "N").otherwise(F.concat(F.lit("<"), "svtype", F.lit(">")))})
+    symbols = {"refseq": F.lit("N"), "altseq": F.when(F.col("svkind").startswith("SUBS"), "N").otherwise(F.concat(F.lit("<"), "svtype", F.lit(">")))}
+    rows = result.variants.unionByName(result.inversions.where("status = 'ok'"), allowMissingColumns=True).withColumns(symbols)
     if o.includeseqs:
-        subs = F.col("svkind").startswith("SUBS")
-        stop = F.when(F.col("svtype") == "DEL", F.col("sv_end")).when(subs, F.col("sv_end")).otherwise(F.col("pos"))
-        rows = ref(rows.drop("refseq", "altseq"), "chrom", F.col("pos"), stop, "refseq")
-        rows = query(rows, "query_entry", F.col("altpos"), F.col("altend"), "altseq")
-        single = (F.col("altpos") == F.col("altend")) & (F.col("comp") == 1)
-        rows = rows.withColumn("altseq", F.when(single, F.translate(F.upper("altseq"), "ACGT", "TGCA")).otherwise(F.upper("altseq"))).where("refseq is not null and altseq is not null")
-    header = [] if o.noheader else [*sinks.REFINE_HEADER, f"#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t{o.samplename}"]
-    sinks.write_lines(spark, sinks.refined_lines(rows), o.outvcf, ["chrom", "pos", "sv_end", "line"], header)
+        rows = allele_sequences(rows, ref, query)
+    lines = sinks.refined_lines(rows)
+    header = [] if o.noheader else sinks.refine_header(o.samplename, date.today().strftime("%Y%m%d"), o.refname)
+    sinks.write_lines(spark, lines, o.outvcf, ["chrom", "pos", "sv_end", "line"], header)
     sinks.write_lines(spark, sinks.coverage_bed(result.coverage), o.outref, ["chrom", "r_start", "r_end", "line"])
     sinks.write_lines(spark, sinks.uncovered_bed(result.uncovered), o.nocov, ["chrom", "start", "end"])
+    if o.svregions:
+        sinks.write_lines(spark, sinks.refined_regions(lines), o.svregions, ["chrom", "pos", "sv_end", "number"])
+
+
+def allele_sequences(rows: DataFrame, ref: Slices, query: Slices) -> DataFrame:
+    """Refined variants with the bases of their alleles as ``refseq, altseq``; those beyond the end of a sequence are left out."""
+    subs, turned = F.col("svkind").startswith("SUBS"), F.col("svtype") == "INV"
+    stop = F.when((F.col("svtype") == "DEL") | subs | turned, F.col("sv_end")).otherwise(F.col("pos"))
+    # The contig's bases of an inversion lie between its ends, read along the strand of the outer alignments.
+    first = F.when(turned & (F.col("comp") == 1), F.col("altend") + 2).otherwise(F.col("altpos"))
+    last = F.when(turned & (F.col("comp") == 1), F.col("altpos")).otherwise(F.col("altend"))
+    rows = ref(rows.drop("refseq", "altseq"), "chrom", F.col("pos"), stop, "refseq")
+    rows = query(rows, "query_entry", first, last, "altseq")
+    single = (F.col("altpos") == F.col("altend")) & (F.col("comp") == 1)
+    return rows.withColumn("altseq", F.when(single, F.translate(F.upper("altseq"), "ACGT", "TGCA")).otherwise(F.upper("altseq"))).where("refseq is not null and altseq is not null")
+
+
+def _backgenotype(spark: SparkSession, o: argparse.Namespace) -> None:
+    listed = tabular.manifest(spark.read.text(o.manifest).withColumnRenamed("value", "line")).collect()  # one row a sample
+    target = next((r for r in listed if r["sample"] == o.target), None)
+    if target is None:
+        raise SystemExit(f"{o.target} is not in {o.manifest}")
+    ref = fasta.slicer(fasta.chunks(spark, fasta.resolve(o.ref)))
+
+    def calls(path: str, sample: str) -> DataFrame:
+        return commands.back_records(_records(spark, [path]), sample)
+
+    def stretches(path: str, sample: str) -> DataFrame:
+        lines = tabular.coverage(spark.read.text(path).withColumnRenamed("value", "line"))
+        return lines.select(F.lit(sample).alias("sample"), "chrom", F.col("start").alias("hr_start"), F.col("end").alias("hr_end"), "contig")
+
+    rows = durable(calls(target["vcf"], o.target), "target")
+    others = [r for r in listed if r["sample"] != o.target]
+    samples = reduce(DataFrame.unionByName, [calls(r["vcf"], r["sample"]) for r in others], rows.limit(0))
+    coverage = reduce(DataFrame.unionByName, [stretches(r["coverage"], r["sample"]) for r in listed])
+    found = commands.back_genotype(rows, samples, coverage, ref, o.maxdist, o.skip_ns)
+    names = [r["sample"] for r in listed]
+    lines = sinks.genotyped_lines(rows.select("target_id", "chrom", "pos", "line_no", "line"), found, names)
+    header = sinks.genotyped_header(_header(spark, target["vcf"]), names, date.today().strftime("%Y%m%d"))
+    sinks.write_lines(spark, lines, o.out, ["line_no"], header)
+
+
+def _showdiff(spark: SparkSession, o: argparse.Namespace) -> None:
+    rows, ref_path, query = _extended_delta(spark, o)
+    gaps = tabular.show_diff_gaps(spark.read.text(o.diffs).withColumnRenamed("value", "line"))
+    found = commands.gap_calls(gaps, rows)
+    if o.includeseqs:
+        ref = fasta.slicer(fasta.chunks(spark, ref_path))
+        ins, dele = F.col("svtype").isin("INS", "DUP"), F.col("svtype").isin("DEL", "CON")
+        found = ref(found.drop("refseq", "altseq"), "chrom", F.col("pos"), F.when(ins, F.col("pos")).otherwise(F.col("sv_end")), "refseq")
+        found = ref(found, "chrom", F.col("pos"), F.col("pos"), "_base")
+        found = query(found, "query_entry", F.col("altpos"), F.col("altend"), "_alt")
+        single = (F.col("altpos") == F.col("altend")) & (F.col("comp") == 1)
+        turned = F.when(single, F.translate(F.upper("_alt"), "ACGT", "TGCA")).otherwise(F.upper("_alt"))
+        found = found.withColumns({"refseq": F.upper("refseq"), "altseq": F.when(dele, F.upper("_base")).otherwise(turned)})
+    header = [] if o.noheader else ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
+    sinks.write_lines(spark, sinks.gap_lines(found), o.out, ["chrom", "pos", "sv_end", "line"], header)
+
+
+def _plotaligns(spark: SparkSession, o: argparse.Namespace) -> None:
+    text = spark.read.text(o.coords or o.delta)
+    rows = tabular.coords(text.withColumnRenamed("value", "line")).withColumn("align_no", F.monotonically_increasing_id()) if o.coords else alignments.read_delta(spark, [o.delta])
+    region = lambda x: (lambda chrom, span: (chrom, *map(int, span.split("-"))))(*x.rsplit(":", 1))
+    found = durable(commands.plot_segments(rows, region(o.refregion), region(o.queryregion) if o.queryregion else None, o.either), "segments")
+    found.select("ref_entry", "query_entry", "ref_start", "ref_end", "query_start", "query_end").orderBy("ref_entry", "query_entry", "ref_start").write.mode("overwrite").option("sep", "\t").csv(f"{o.prefix}.segments")
+    one = found.select("ref_entry", "query_entry").orderBy("ref_entry", "query_entry").first()
+    if one is None:
+        return
+    mine = found.where((F.col("ref_entry") == one[0]) & (F.col("query_entry") == one[1]))
+    segments = [tuple(r) for r in mine.select("ref_start", "ref_end", "query_start", "query_end").orderBy("ref_start", "query_start").collect()]  # those of one plotted region
+    extent = commands.axis_extents(mine, True).select("ref_from", "ref_to", "query_from", "query_to").first()
+    script = sinks.plot_script(segments, one[0], one[1], tuple(extent), o.prefix, o.format, o.title)
+    spark.createDataFrame([(x,) for x in script], "line string").coalesce(1).write.mode("overwrite").text(f"{o.prefix}.R")
 
 
 def _widen(spark: SparkSession, o: argparse.Namespace) -> None:
@@ -147,15 +228,18 @@ def parser() -> argparse.ArgumentParser:
 
     rates = {"max_subs_rate": (float, None), "max_indel_rate": (float, None), "distance_file": (str, None)}
     command("benchmark", _benchmark, ("ref", "test", "truth"), {"maxdist": (int, 50_000), "minsize": (int, 0), "minreadsupport": (int, None), "minreadfrac": (float, None), "prefix": (str, "benchmark"), "includebed": (str, None), "testfilter": (str, None), "truthfilter": (str, None), "normshift": (float, 0.2), "normsizediff": (float, 0.2), "normdist": (float, 0.2), **rates}, ("newdist",))
-    command("merge", _merge, ("ref",), {"variants": (str, None), "fof": (str, None), "maxdist": (int, 2_000), "relshift": (float, 0.2), "relsizediff": (float, 0.2), "reldist": (float, 0.2), "minsize": (int, 0), "prefix": (str, "merged"), **(rates | {"max_subs_rate": (float, 0.2), "max_indel_rate": (float, 0.2)})}, ("newdist",))
+    command("merge", _merge, ("ref",), {"variants": (str, None), "fof": (str, None), "maxdist": (int, 2_000), "relshift": (float, 0.2), "relsizediff": (float, 0.2), "reldist": (float, 0.2), "minsize": (int, 0), "prefix": (str, "merged"), "delimiter": (str, ":"), **(rates | {"max_subs_rate": (float, 0.2), "max_indel_rate": (float, 0.2)})}, ("newdist", "skip_clusters", "seqspecific"))
     command("comp", _comp, ("ref", "first", "second"), {"prefix": (str, "svcomp")}, ("ignore_length",))
-    command("refine", _refine, ("ref_fasta", "query_fasta"), {"delta": (str, None), "bam": (str, None), "regions": (str, None), "outvcf": (str, "refined.vcf"), "outref": (str, "refined.homref.bed"), "nocov": (str, "refined.nocov.bed"), "buffer": (int, None), "bufseg": (int, 50), "maxsize": (int, 0), "samplename": (str, "SAMPLE")}, ("includeseqs", "noheader"))
+    command("refine", _refine, ("ref_fasta", "query_fasta"), {"delta": (str, None), "bam": (str, None), "regions": (str, None), "outvcf": (str, "refined.vcf"), "outref": (str, "refined.homref.bed"), "nocov": (str, "refined.nocov.bed"), "buffer": (int, None), "bufseg": (int, 50), "maxsize": (int, 0), "samplename": (str, "SAMPLE"), "refname": (str, None), "svregions": (str, None)}, ("includeseqs", "noheader"))
     command("widen", _widen, ("variants", "ref"), {"prefix": (str, "widened"), "buffer": (int, 10_000), "maxlength": (int, 100_000)})
     command("vcffilter", _vcffilter, ("vcf", "out"), {"region": (str, None), "minlen": (int, None), "maxlen": (int, None), "svtype": (str, None)})
     command("vcf2tdf", _vcf2tdf, ("vcf", "out"), {}, ("sequences",))
     sequences = {"ref_fasta": (str, None), "query_fasta": (str, None)}
     command("delta2bed", _delta2bed, ("delta", "out"), sequences)
     command("delta2sam", _delta2sam, ("delta", "out"), sequences, ("noheader",))
+    command("backgenotype", _backgenotype, ("ref", "target", "manifest", "out"), {"maxdist": (int, commands.BACK_DIST)}, ("skip_ns",))
+    command("showdiff", _showdiff, ("delta", "diffs", "out"), sequences, ("includeseqs", "noheader"))
+    command("plotaligns", _plotaligns, ("refregion",), {"coords": (str, None), "delta": (str, None), "queryregion": (str, None), "prefix": (str, "aligns"), "format": (str, "pdf"), "title": (str, "Alignments")}, ("either",))
     command("findmatches", _findmatches, ("first", "second", "out"), {"maxwindow": (int, 100_000)})
     return top
 

@@ -1,35 +1,38 @@
 """Global alignment of two sequences with unit costs: edit distance, gaps and shift of an optimal path.
 
 Myers' bit-vector recurrence computes one column of the dynamic programming matrix with a handful of
-operations on big integers. The vertical differences of all columns are kept while they fit, and the
-path is traced through them; larger problems are halved (Hirschberg). Common ends are stripped first.
+operations on big integers. Every k-th column is kept (k the root of their number), and the path is
+traced back block by block through columns computed once more from the one kept before them, so the
+memory is that of 2 k columns at every size. Common ends are stripped first.
 Of several optimal paths the one is taken that, traced back from the end, prefers a diagonal, then a
 base of the first sequence alone (I), then one of the second (D).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KEPT_BITS = 400_000_000  # bits of differences kept for one trace
-MAX_CELLS = 40_000_000_000  # beyond that an alignment fails (null)
+def _masks(a: str) -> dict[str, int]:
+    """For each letter the bits of its places in ``a``."""
+    places: dict[str, bytearray] = {c: bytearray(len(a) // 8 + 1) for c in set(a)}
+    for i, char in enumerate(a):
+        places[char][i >> 3] |= 1 << (i & 7)
+    return {c: int.from_bytes(x, "little") for c, x in places.items()}
 
 
-def _columns(a: str, b: str):
-    """Vertical positive and negative differences of the columns 0..len(b) over the rows of ``a``."""
-    m = len(a)
+def _columns(masks: dict[str, int], m: int, b: str, column: tuple[int, int]):
+    """Vertical positive and negative differences over the rows 1..m: of ``column``, then of the one after each letter of ``b``."""
     full = (1 << m) - 1
-    peq: dict[str, int] = {}
-    for i, char in enumerate(a):
-        peq[char] = peq.get(char, 0) | (1 << i)
-    pv, mv = full, 0
+    pv, mv = column
     yield pv, mv
     for char in b:
-        eq = peq.get(char, 0)
+        eq = masks.get(char, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | (full & ~(xh | pv))
@@ -41,76 +44,64 @@ def _columns(a: str, b: str):
         yield pv, mv
 
 
-def _last_column(a: str, b: str) -> list[int]:
-    """Distances of all prefixes of ``a`` to the whole of ``b``."""
-    for pv, mv in _columns(a, b):
-        pass
-    value, out = len(b), [len(b)]
-    for p, q in zip(bin(pv | (1 << len(a)))[:2:-1], bin(mv | (1 << len(a)))[:2:-1]):
-        value += (p == "1") - (q == "1")
-        out.append(value)
-    return out
-
-
-def _trace(a: str, b: str) -> list[str]:
-    columns = list(_columns(a, b))
+def _path(a: str, b: str, block: int | None = None) -> list[str]:
+    """The operations of the path; ``block`` is the number of columns between two that are kept."""
     i, j = len(a), len(b)
     out: list[str] = []
-    # D(i, j) - D(i-1, j) is a bit of column j; differences along a row follow from two columns.
-    depth = _last_column(a, b)[-1]
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            out.append("M")
-            continue
-        pv, mv = columns[j]
-        bit = 1 << (i - 1)
-        up = depth - (1 if pv & bit else -1 if mv & bit else 0)  # D(i-1, j)
-        pl, ml = columns[j - 1]
-        # D(i-1, j-1): between 0 and 1 below the larger of its neighbours.
-        low = (1 << (i - 1)) - 1
-        diagonal = (j - 1) + (pl & low).bit_count() - (ml & low).bit_count()
-        if diagonal + 1 == depth:
-            out.append("M")
-            i, j, depth = i - 1, j - 1, diagonal
-        elif up + 1 == depth:
-            out.append("I")
-            i, depth = i - 1, up
-        else:
-            out.append("D")
-            j, depth = j - 1, depth - 1
+    if i and j:
+        masks, m = _masks(a), i
+        step = block or math.isqrt(j) + 1
+        kept, pv, mv = [], 0, 0
+        for at, (pv, mv) in enumerate(_columns(masks, m, b, ((1 << m) - 1, 0))):
+            if at % step == 0:
+                kept.append((pv, mv))
+        depth = j + pv.bit_count() - mv.bit_count()  # D(i, j)
+        held: list[tuple[int, int]] = []
+        base = j + 1
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                out.append("M")
+                continue
+            if j - 1 < base:  # the columns j-1 and j lie in the block that begins at or before j-1
+                base = (j - 1) // step * step
+                held = list(_columns(masks, m, b[base : base + step], kept[base // step]))
+            (pl, ml), (pv, mv) = held[j - 1 - base], held[j - base]
+            bit = i - 1
+            up = depth - ((pv >> bit) & 1) + ((mv >> bit) & 1)  # D(i-1, j)
+            low = (1 << bit) - 1
+            diagonal = (j - 1) + (pl & low).bit_count() - (ml & low).bit_count()  # D(i-1, j-1)
+            if diagonal + 1 == depth:
+                out.append("M")
+                i, j, depth = i - 1, j - 1, diagonal
+            elif up + 1 == depth:
+                out.append("I")
+                i, depth = i - 1, up
+            else:
+                out.append("D")
+                j, depth = j - 1, depth - 1
     out += "I" * i + "D" * j
     return out[::-1]
 
 
-def _path(a: str, b: str) -> list[str]:
-    if not a or not b:
-        return ["I"] * len(a) + ["D"] * len(b)
-    if 2 * len(a) * (len(b) + 1) <= KEPT_BITS or len(b) == 1:
-        return _trace(a, b)
-    half = len(b) // 2
-    down = _last_column(a, b[:half])
-    up = _last_column(a[::-1], b[half:][::-1])[::-1]
-    split = min(range(len(a) + 1), key=lambda i: down[i] + up[i])
-    return _path(a[:split], b[:half]) + _path(a[split:], b[half:])
+def common_begin(a: str, b: str) -> int:
+    """How many characters both begin with."""
+    n = min(len(a), len(b))
+    x, y = (np.frombuffer(s[:n].encode("utf-32-le"), np.uint32) for s in (a, b))
+    apart = np.flatnonzero(x != y)
+    return int(apart[0]) if len(apart) else n
 
 
-def align(a: str, b: str) -> dict | None:
-    """``edit_distance, max_shift, subs, indels`` and ``cigar`` of two sequences; None if too large.
+def align(a: str, b: str) -> dict:
+    """``edit_distance, max_shift, subs, indels`` and ``cigar`` of two sequences.
 
     I consumes a base of ``a``, D one of ``b``; ``max_shift`` is the signed diagonal (I counts +, D -)
     that is farthest from the start, the first such one.
     """
-    n = min(len(a), len(b))
-    left = 0
-    while left < n and a[left] == b[left]:
-        left += 1
-    right = 0
-    while right < n - left and a[-1 - right] == b[-1 - right]:
-        right += 1
+    left = common_begin(a, b)
+    most = min(len(a), len(b)) - left
+    right = common_begin(a[len(a) - most :][::-1], b[len(b) - most :][::-1])
     x, y = a[left : len(a) - right], b[left : len(b) - right]
-    if len(x) * len(y) > MAX_CELLS:
-        return None
     path = _path(x, y)
     subs = indels = shift = best = 0
     i = j = 0
@@ -142,6 +133,6 @@ METRICS = T.StructType([*(T.StructField(n, T.LongType()) for n in ("edit_distanc
 def align_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     names = ["edit_distance", "max_shift", "subs", "indels", "cigar"]
     for a, b in parts:
-        rows = [(align(x, y) if x is not None and y is not None else None) or dict.fromkeys(names) for x, y in zip(a, b)]
+        rows = [align(x, y) if x is not None and y is not None else dict.fromkeys(names) for x, y in zip(a, b)]
         frame = pd.DataFrame(rows, columns=names)
         yield frame.astype({n: "Int64" for n in names[:4]})

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 OPS = "array<struct<n:int,op:string>>"
 
@@ -111,27 +109,33 @@ def lift(cigar: str, ref_start: int, query_start: int, query_end: int, position:
     return None
 
 
-@F.pandas_udf(T.LongType())
-def lift_to_ref(cigar: pd.Series, ref_start: pd.Series, query_start: pd.Series, query_end: pd.Series, position: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(p) else lift(c, int(r), int(a), int(b), int(p), True) for c, r, a, b, p in zip(cigar, ref_start, query_start, query_end, position)], dtype="Int64")
+def lifted(ops: Column, ref_start: Column, query_start: Column, query_end: Column, position: Column, to_ref: bool) -> Column:
+    """:func:`lift` of parsed operations as one fold: the places reached on both sequences go along, and the first operation that reaches the position gives the result."""
+    sign = F.when(query_start > query_end, F.lit(-1)).otherwise(F.lit(1))
+    kind = "struct<r:bigint,q:bigint,x:bigint>"
+    start = F.struct((ref_start - 1).alias("r"), (query_start - sign).alias("q"), F.lit(None).cast("bigint").alias("x")).cast(kind)
 
+    def step(a: Column, op: Column) -> Column:
+        on_ref = F.when(op["op"].isin("M", "D"), op["n"]).otherwise(0)
+        on_query = F.when(op["op"].isin("M", "I"), op["n"]).otherwise(0)
+        here = (position - a["q"]) * sign if to_ref else position - a["r"]
+        there = on_query if to_ref else on_ref
+        base = F.when(op["op"] == "M", here).otherwise(0)
+        value = a["r"] + base if to_ref else a["q"] + sign * base
+        hit = a["x"].isNull() & (here > 0) & (here <= there)
+        return F.struct((a["r"] + on_ref).alias("r"), (a["q"] + sign * on_query).alias("q"), F.when(hit, value).otherwise(a["x"]).alias("x")).cast(kind)
 
-@F.pandas_udf(T.LongType())
-def lift_to_query(cigar: pd.Series, ref_start: pd.Series, query_start: pd.Series, query_end: pd.Series, position: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(p) else lift(c, int(r), int(a), int(b), int(p), False) for c, r, a, b, p in zip(cigar, ref_start, query_start, query_end, position)], dtype="Int64")
+    return F.aggregate(ops, start, step, lambda a: a["x"])
 
 
-def blocks(ops: Column, ref_start: Column, query_start: Column, reverse: Column) -> Column:
-    """The M blocks as an array of (ref_from, ref_to, query_from): lifting as an equi/range join."""
-    sign = F.when(reverse, F.lit(-1)).otherwise(F.lit(1))
-    start = F.struct(ref_start.cast("bigint").alias("r"), query_start.cast("bigint").alias("q"), F.array().cast("array<struct<ref_from:bigint,ref_to:bigint,query_from:bigint>>").alias("out"))
+def lift_to_ref(ops: str | Column, ref_start: str, query_start: str, query_end: str, position: Column) -> Column:
+    return _lifted(ops, ref_start, query_start, query_end, position, True)
 
-    def step(a: Column, x: Column) -> Column:
-        block = F.array(F.struct(a["r"].alias("ref_from"), (a["r"] + x["n"] - 1).alias("ref_to"), a["q"].alias("query_from")))
-        return F.struct(
-            (a["r"] + F.when(x["op"].isin("M", "D"), x["n"]).otherwise(0)).alias("r"),
-            (a["q"] + sign * F.when(x["op"].isin("M", "I"), x["n"]).otherwise(0)).alias("q"),
-            F.when(x["op"] == "M", F.concat(a["out"], block)).otherwise(a["out"]).alias("out"),
-        )
 
-    return F.aggregate(ops, start, step, lambda a: a["out"])
+def lift_to_query(ops: str | Column, ref_start: str, query_start: str, query_end: str, position: Column) -> Column:
+    return _lifted(ops, ref_start, query_start, query_end, position, False)
+
+
+def _lifted(ops: str | Column, ref_start: str, query_start: str, query_end: str, position: Column, to_ref: bool) -> Column:
+    parsed = F.col(ops) if isinstance(ops, str) else ops
+    return F.when(position.isNotNull(), lifted(parsed, F.col(ref_start), F.col(query_start), F.col(query_end), position, to_ref))

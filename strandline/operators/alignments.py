@@ -9,27 +9,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.functions.cigar import lift_to_query, lift_to_ref
+from strandline.functions.cigar import lift_to_query, lift_to_ref, parse
 from strandline.functions.sequence import reverse_complement
+from strandline.operators.bandjoin import overlap_join
 from strandline.session import durable
 
 
-def region_slices(pairs: DataFrame, alignments: DataFrame, buffer: int, segment: int) -> DataFrame:
+def _key(prefix: str = "") -> Column:
+    """The order of a contig's alignments."""
+    return F.struct(F.col(f"{prefix}ref_start").alias("s"), F.col(f"{prefix}ref_end").alias("e"), F.col(f"{prefix}align_no").alias("n"))
+
+
+def next_starts(asked: DataFrame, alignments: DataFrame, bin_size: int) -> DataFrame:
+    """Adds ``stop``, the first alignment's key on the same contig and chromosome beyond the key ``after``, null without one.
+
+    It lies in the bin where ``after`` begins, or is the first of the next bin that has any: one row
+    a bin is enough to know that.
+    """
+    on = ["query_entry", "chrom"]
+    rows = alignments.select("query_entry", F.col("ref_entry").alias("chrom"), F.floor(F.col("ref_start") / bin_size).alias("_bin"), _key().alias("_k"))
+    looked = asked.withColumn("_bin", F.floor(F.col("after.s") / bin_size))
+    here = looked.select(*on, "_bin", "after").distinct().join(rows, [*on, "_bin"]).where("_k > after").groupBy(*on, "after").agg(F.min("_k").alias("_here"))
+    firsts = rows.groupBy(*on, "_bin").agg(F.min("_k").alias("_k")).unionByName(looked.select(*on, "_bin").distinct(), allowMissingColumns=True)
+    firsts = firsts.groupBy(*on, "_bin").agg(F.min("_k").alias("_k"))
+    later = F.first("_k", ignorenulls=True).over(Window.partitionBy(*on).orderBy("_bin").rowsBetween(1, Window.unboundedFollowing))
+    beyond = firsts.select(*on, "_bin", later.alias("_later"))
+    return looked.join(here, [*on, "after"], "left").join(beyond, [*on, "_bin"], "left").withColumn("stop", F.coalesce("_here", "_later")).drop("_here", "_later", "_bin")
+
+
+def region_slices(pairs: DataFrame, alignments: DataFrame, buffer: int, segment: int, bin_size: int = 1 << 16) -> DataFrame:
     """The alignments of each (region, contig) that reach across the region, as ``n`` = 1, 2, …
 
     They begin with the first on the region's chromosome that ends beyond the left segment and go to
     the one before the first that begins beyond the right one; that one is added if exactly two came
     before it, as it may show an inversion. Alignments to other chromosomes keep their place in the order.
+
+    As a spanning alignment lies over the left segment (``pairs`` are spanned), the first one lies over
+    the base before it too, so it is found by that base. The others are a range of the contig's order,
+    fetched by its bins; only the slices themselves are numbered.
     """
-    left_end, right_start = F.col("start") - buffer + segment - 1, F.col("end") + buffer - segment + 1
-    rows = pairs.select("region_id", "chrom", "start", "end", "query_entry").join(alignments, "query_entry")
-    each = Window.partitionBy("region_id", "query_entry")
-    rows = rows.withColumn("rn", F.row_number().over(each.orderBy("ref_start", "ref_end", "align_no")))
-    here = F.col("ref_entry") == F.col("chrom")
-    rows = rows.withColumn("enter", F.min(F.when(here & (F.col("ref_end") > left_end), F.col("rn"))).over(each))
-    rows = rows.withColumn("stop", F.min(F.when(here & (F.col("ref_start") > right_start) & (F.col("rn") > F.col("enter")), F.col("rn"))).over(each))
-    kept = (F.col("rn") >= F.col("enter")) & (F.col("stop").isNull() | (F.col("rn") < F.col("stop")) | ((F.col("rn") == F.col("stop")) & (F.col("stop") - F.col("enter") == 2)))
-    return rows.where(kept).withColumn("n", F.col("rn") - F.col("enter") + 1).drop("rn", "enter", "stop")
+    keyed = pairs.select("region_id", "chrom", "start", "end", "query_entry")
+    left = keyed.withColumns({"_p": F.col("start") - buffer, "_q": F.col("start") - buffer})
+    here = alignments.select("query_entry", F.col("ref_entry").alias("chrom"), "ref_start", "ref_end", "align_no")
+    over = overlap_join(left, here, ["query_entry", "chrom"], ("_p", "_q"), ("ref_start", "ref_end"), bin_size, F.col("ref_end") > F.col("start") - buffer + segment - 1)
+    entered = over.groupBy("region_id", "chrom", "start", "end", "query_entry").agg(F.min(_key()).alias("enter"))
+    beyond = F.struct((F.col("end") + buffer - segment + 1).cast("bigint").alias("s"), F.lit(2**62).cast("bigint").alias("e"), F.lit(2**62).cast("bigint").alias("n"))
+    ranges = durable(next_starts(entered.withColumn("after", F.greatest(beyond, F.col("enter"))), alignments, bin_size).drop("after"), "ranges")
+    last = alignments.groupBy("query_entry").agg(F.max("ref_start").alias("_last"))
+    asked = ranges.join(last, "query_entry").withColumns({"_from": F.col("enter.s"), "_to": F.coalesce("stop.s", "_last")}).drop("_last")
+    points = alignments.withColumns({"_a": F.col("ref_start"), "_b": F.col("ref_start")})
+    inside = (_key() >= F.col("enter")) & (F.col("stop").isNull() | (_key() <= F.col("stop")))
+    rows = overlap_join(asked, points, ["query_entry"], ("_from", "_to"), ("_a", "_b"), bin_size, inside).drop("_from", "_to", "_a", "_b")
+    each = Window.partitionBy("region_id", "query_entry").orderBy(_key())
+    rows = rows.withColumn("n", F.row_number().over(each))
+    kept = F.col("stop").isNull() | (_key() < F.col("stop")) | (F.col("n") == 3)
+    return rows.where(kept).drop("enter", "stop")
 
 
 def spanning(slices: DataFrame, buffer: int) -> DataFrame:
@@ -64,19 +98,19 @@ def consecutive_breaks(alignments: DataFrame, keys: list[str], order: list[str])
 
 
 def classified(breaks: DataFrame) -> DataFrame:
-    """Adds ``refjump, queryjump, svsize, svkind, repeat_bases`` to breaks (``ref1, ref2, query1, query2, comp``)."""
-    refjump = F.col("ref2") - F.col("ref1") - 1
-    queryjump = F.when(F.col("comp") == 1, F.col("query1") - F.col("query2") - 1).otherwise(F.col("query2") - F.col("query1") - 1)
-    size = F.col("refjump") - F.col("queryjump")
+    """Adds ``ref_gap, query_gap, svsize, svkind, repeat_bases`` to breaks (``ref1, ref2, query1, query2, comp``)."""
+    ref_gap = F.col("ref2") - F.col("ref1") - 1
+    query_gap = F.when(F.col("comp") == 1, F.col("query1") - F.col("query2") - 1).otherwise(F.col("query2") - F.col("query1") - 1)
+    size = F.col("ref_gap") - F.col("query_gap")
     kind = (
         F.when(size == 0, "ARTIFACT")
-        .when((size < 0) & (F.col("refjump") > 0), "SUBSINS")
-        .when((size > 0) & (F.col("queryjump") > 0), "SUBSDEL")
-        .when((F.col("refjump") < 0) & (F.col("queryjump") < 0), F.when(size < 0, "DUP").otherwise("CONTRAC"))
+        .when((size < 0) & (F.col("ref_gap") > 0), "SUBSINS")
+        .when((size > 0) & (F.col("query_gap") > 0), "SUBSDEL")
+        .when((F.col("ref_gap") < 0) & (F.col("query_gap") < 0), F.when(size < 0, "DUP").otherwise("CONTRAC"))
         .otherwise(F.when(size < 0, "SIMPLEINS").otherwise("SIMPLEDEL"))
     )
-    repeat = F.when(F.col("svkind").isin("SIMPLEINS", "DUP"), -F.col("refjump")).when(F.col("svkind").isin("SIMPLEDEL", "CONTRAC"), -F.col("queryjump")).otherwise(0)
-    return breaks.withColumns({"refjump": refjump, "queryjump": queryjump}).withColumns({"svsize": F.abs(size), "svkind": kind}).withColumn("repeat_bases", repeat)
+    repeat = F.when(F.col("svkind").isin("SIMPLEINS", "DUP"), -F.col("ref_gap")).when(F.col("svkind").isin("SIMPLEDEL", "CONTRAC"), -F.col("query_gap")).otherwise(0)
+    return breaks.withColumns({"ref_gap": ref_gap, "query_gap": query_gap}).withColumns({"svsize": F.abs(size), "svkind": kind}).withColumn("repeat_bases", repeat)
 
 
 def break_status(max_size: int = 0) -> Column:
@@ -85,19 +119,20 @@ def break_status(max_size: int = 0) -> Column:
     return F.when((F.col("svsize") == 0) | (F.col("repeat_bases") > 10 * F.col("svsize")), "ARTIFACT").when(big, "MAXSIZE").otherwise("ok")
 
 
-def widened(breaks: DataFrame) -> DataFrame:
+def widened(breaks: DataFrame, left_default: int = 1) -> DataFrame:
     """Adds ``query1p, query2p`` (insertions) and ``ref1p, ref2p`` (deletions): the break's ends lifted through the other alignment, or the neighbouring base where it doesn't reach."""
     ins, dele = F.col("svkind").isin("SIMPLEINS", "DUP"), F.col("svkind").isin("SIMPLEDEL", "CONTRAC")
-    left, right = ("cigar", "ref_start", "query_start", "query_end"), ("r_cigar", "r_ref_start", "r_query_start", "r_query_end")
+    left, right = ("_left_ops", "ref_start", "query_start", "query_end"), ("_right_ops", "r_ref_start", "r_query_start", "r_query_end")
     at = lambda when, c: F.when(when, F.col(c))
-    return breaks.withColumns(
+    parsed = breaks.withColumns({"_left_ops": parse(F.col("cigar")), "_right_ops": parse(F.col("r_cigar"))})
+    return parsed.withColumns(
         {
             "query1p": F.when(ins, F.coalesce(lift_to_query(*right, at(ins, "ref1")), F.col("query2") - 1)),
             "query2p": F.when(ins, F.coalesce(lift_to_query(*left, at(ins, "ref2")), F.col("query1") - 1)),
             "ref1p": F.when(dele, F.coalesce(lift_to_ref(*right, at(dele, "query1")), F.col("ref2") - 1)),
-            "ref2p": F.when(dele, F.coalesce(lift_to_ref(*left, at(dele, "query2")), F.col("ref1") + 1)),
+            "ref2p": F.when(dele, F.coalesce(lift_to_ref(*left, at(dele, "query2")), F.col("ref1") + left_default)),
         }
-    )
+    ).drop("_left_ops", "_right_ops")
 
 
 def output_coordinates(breaks: DataFrame) -> DataFrame:
@@ -136,7 +171,7 @@ def inversions(alignments: DataFrame, keys: list[str], order: list[str]) -> Data
     rows = rows.withColumns({"pos": F.col("ref_end"), "sv_end": F.col("ref_start_2") - 1, "altpos": F.col("query_end"), "altend": F.col("query_start_2") - 1})
     rows = rows.withColumns({"svlen": F.abs(F.col("sv_end") - F.col("pos")) - F.abs(F.col("altend") - F.col("altpos")), "repeat_bases": F.col("ref_end") - F.col("ref_start_1")})
     status = F.when(F.try_divide(2 * F.abs("svlen"), span) >= 0.1, "ASYMMETRIC").when(F.try_divide(2 * F.abs("repeat_bases"), span) >= 5.0, "REPEAT").otherwise("ok")
-    return rows.withColumns({"status": F.coalesce(status, F.lit("ok")), "wide_from": F.col("ref_start_1"), "wide_to": F.col("ref_end_1"), "svtype": F.lit("INV")})
+    return rows.withColumns({"status": F.coalesce(status, F.lit("ok")), "wide_from": F.col("ref_start_1"), "wide_to": F.col("ref_end_1"), "altwide_from": F.col("query_start_1"), "altwide_to": F.col("query_end_1"), "svtype": F.lit("INV"), "svkind": F.lit("INV")})
 
 
 MAX_REACH = 1 << 20  # bases of the longest window of one step

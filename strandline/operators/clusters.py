@@ -17,10 +17,15 @@ def cluster_calls(calls: DataFrame, distances: DataFrame, accepted: Column) -> D
     return clusters.join(exact, "id")
 
 
-def cluster_distances(members: DataFrame, distances: DataFrame, accepted: Column) -> DataFrame:
-    """``cluster, max_shift, max_size, max_edit``: the largest accepted distances within each cluster."""
+#: Largest distances of a cluster: their names and the distances they are of, under either rule.
+MAXIMA = {"max_shift": "relshift", "max_size": "relsizediff", "max_edit": "reldist"}
+RATE_MAXIMA = {"max_subs": "subsdist", "max_indel": "indeldist"}
+
+
+def cluster_distances(members: DataFrame, distances: DataFrame, accepted: Column, by_rates: bool = False) -> DataFrame:
+    """``cluster, max_shift, max_size, max_edit`` (or ``max_subs, max_indel``): the largest accepted distances within each cluster."""
     inside = distances.where(accepted).join(members.select(F.col("id").alias("id1"), "cluster"), "id1")
-    return inside.groupBy("cluster").agg(F.max(F.abs("relshift")).alias("max_shift"), F.max(F.abs("relsizediff")).alias("max_size"), F.max(F.abs("reldist")).alias("max_edit"))
+    return inside.groupBy("cluster").agg(*(F.max(F.abs(c)).alias(n) for n, c in (RATE_MAXIMA if by_rates else MAXIMA).items()))
 
 
 def cluster_sizes(members: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ begins, so a list has a bound that does not grow with the rows, and a crowded lo
 a third of all rows is merged by many tasks:
 
 * every scan task folds its rows into lists (a tree of merges of lists of like size);
-* lists meet by (group, tile, slice of the tasks), then by (group, tile): the reduction tree;
+* lists meet by (group, tile, slice of the tasks), then, sorted, by (group, tile): the reduction tree;
+  a task holds a bounded number of intervals at either step;
 * one row a tile (first base, last base) is enough to carry the end of earlier tiles into the later
   ones; a group has as many tiles as its chromosome is long.
 
@@ -23,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.session import durable
 
 TILE_BITS = 20
+MOST_HELD = 1 << 22  # intervals of a task that are merged at once
 SLICES = 8  # branches of the reduction tree that meet in one list
 _SEP, _NULL = "\x1f", "\x01"
 _STATE = "g string, tile bigint, s bigint, e bigint"
@@ -60,6 +63,35 @@ def merge_lists(group: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.nda
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of what a task holds, of any order. Beyond MOST_HELD intervals they are emitted and begun anew: lists of lists merge alike."""
+    run: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        run.append(batch)
+        held += batch.num_rows
+        if held >= MOST_HELD:
+            yield from _lists(run)
+            run, held = [], 0
+    yield from _lists(run)
+
+
+def _fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole list of each (group, tile), of rows sorted by both: a list is emitted as soon as another key comes, so a task holds one batch and one list."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        groups, tiles = batch.column(0), batch.column(1)
+        last = pc.and_(pc.equal(groups, groups[-1]), pc.equal(tiles, tiles[-1]))
+        cut = batch.num_rows - pc.sum(last).as_py()
+        if cut or (rest and (rest[-1].column(0)[-1], rest[-1].column(1)[-1]) != (groups[-1], tiles[-1])):
+            yield from _lists([*rest, batch[:cut]])
+            rest = []
+        rest = [*_lists([*rest, batch[cut:]])]
+    yield from rest
+
+
+def _lists(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names: dict[tuple[str, int], int] = {}
     tree: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = []
 
@@ -98,7 +130,7 @@ def merged_lists(intervals: DataFrame, tile_bits: int = TILE_BITS, slices: int =
     tiled = intervals.select("g", F.shiftright("s", tile_bits).alias("tile"), "s", "e")
     partial = tiled.mapInArrow(_fold, _STATE).withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(slices)))
     middle = partial.repartition("g", "tile", "slice").select(*_NAMES).mapInArrow(_fold, _STATE)
-    return middle.repartition("g", "tile").mapInArrow(_fold, _STATE)
+    return middle.repartition("g", "tile").sortWithinPartitions("g", "tile").mapInArrow(_fold_sorted, _STATE)
 
 
 def periods_and_gaps(intervals: DataFrame, tile_bits: int = TILE_BITS) -> DataFrame:
@@ -124,6 +156,19 @@ def periods_and_gaps(intervals: DataFrame, tile_bits: int = TILE_BITS) -> DataFr
     return rows.select("g", F.explode(F.when(F.col("before").isNull(), F.array(period)).otherwise(F.array(period, gap))).alias("x")).select("g", "x.*")
 
 
+def overlapping(intervals: DataFrame, group: str, start: str, end: str, tile_bits: int = TILE_BITS) -> DataFrame:
+    """``group, start, end``: the unions of intervals that share a base; neighbours without a common base stay apart.
+
+    On doubled coordinates neighbours do not touch, so the lists above serve here too. An interval
+    that ends before its start counts as if both were exchanged; nulls and starts below 0 are left out.
+    """
+    low, high = F.least(start, end), F.greatest(start, end)
+    rows = intervals.where(F.col(group).isNotNull() & (low >= 0) & F.col(start).isNotNull() & F.col(end).isNotNull())
+    doubled = rows.select(F.col(group).alias("g"), (low * 2).cast("bigint").alias("s"), (high * 2).cast("bigint").alias("e"))
+    found = periods_and_gaps(doubled, tile_bits + 1).where("kind = 'period'")
+    return found.select(F.col("g").alias(group), F.expr("first_base div 2").alias(start), F.expr("last_base div 2").alias(end))
+
+
 def without_prefix(column):
     """A chromosome name without a leading ``chr``."""
     return F.regexp_replace(column, "^chr", "")

@@ -47,16 +47,23 @@ def nearby_genotypes(target: DataFrame, samples: DataFrame, max_dist: int, done:
 
 
 def reference_alleles(target: DataFrame, coverage: DataFrame, bin_size: int = 1 << 18) -> DataFrame:
-    """One allele 0 for each contig of a sample whose homozygous-reference stretch strictly contains the widened interval."""
+    """One allele 0 for each homozygous-reference stretch (sample, contig, start, end) that strictly contains the widened interval."""
     within = (F.col("hr_start") < F.col("wide_start")) & (F.col("hr_end") > F.col("wide_end"))
     points = target.select("target_id", "chrom", "wide_start", "wide_end").withColumns({"_p": F.col("wide_start"), "_q": F.col("wide_start")})
     hits = overlap_join(points, coverage.select("sample", "chrom", "hr_start", "hr_end", "contig"), ["chrom"], ("_p", "_q"), ("hr_start", "hr_end"), bin_size, within)
-    return hits.select("target_id", "sample", "contig", F.lit("0").alias("allele"), F.lit("REF").alias("how")).distinct()
+    rows = hits.select("target_id", "sample", "contig", "hr_start", "hr_end").distinct()
+    return rows.select("target_id", "sample", "contig", F.lit("0").alias("allele"), F.lit("REF").alias("how"))
 
 
 def genotype_strings(alleles: DataFrame) -> DataFrame:
-    """``target_id, sample, genotype``: the alleles of all contigs, sorted and joined by ``/``. A target and sample have as many as contigs cover it."""
-    return alleles.groupBy("target_id", "sample").agg(F.array_join(F.sort_array(F.collect_list("allele")), "/").alias("genotype"))
+    """``target_id, sample, genotype, kinds``: all alleles, sorted and joined by ``/``, and the kind of each (H, or L for a match nearby), joined by commas.
+
+    A target and sample have as many alleles as stretches and matches.
+    """
+    kind = F.when(F.col("how") == "NEARBY", "L").otherwise("H")
+    listed = F.sort_array(F.collect_list(F.struct("allele", kind.alias("kind"))))
+    part = lambda c, by: F.array_join(F.transform("x", lambda y: y[c]), by)
+    return alleles.groupBy("target_id", "sample").agg(listed.alias("x")).select("target_id", "sample", part("allele", "/").alias("genotype"), part("kind", ",").alias("kinds"))
 
 
 def genotype_table(strings: DataFrame, samples: list[str]) -> DataFrame:

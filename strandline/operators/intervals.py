@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.bandjoin import overlap_join
+from strandline.operators.coverage import overlapping
 
 BIN = 1 << 16
 
@@ -28,11 +29,7 @@ def regions_between(alignments: DataFrame, tie: list[str], max_size: int | None
 
 def merge_regions(regions: DataFrame, key: str) -> DataFrame:
     """Islands of overlapping regions; a new one begins where a start lies beyond all ends before it."""
-    order = Window.partitionBy(key).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = (reach.isNull() | (F.col("start") > reach)).cast("int")
-    island = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return regions.withColumn("fresh", fresh).withColumn("island", island).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    return overlapping(regions, key, "start", "end")
 
 
 def spanning_pairs(regions: DataFrame, alignments: DataFrame, buffer: int, segment: int, bin_size: int = BIN) -> DataFrame:
@@ -43,13 +40,13 @@ def spanning_pairs(regions: DataFrame, alignments: DataFrame, buffer: int, segme
         (F.col("end") + buffer - segment + 1).alias("rs"), (F.col("end") + buffer).alias("re"),
     )
     aligned = alignments.select(F.col("ref_entry").alias("chrom"), "query_entry", "comp", "ref_start", "ref_end")
-    flags = []
-    for a, b, name in (("ls", "le", "left"), ("rs", "re", "right")):
-        strict = (F.col("ref_start") < F.col(a)) & (F.col("ref_end") > F.col(b))
-        # A spanning alignment covers the segment's first base, so that base alone is looked up.
-        point = marks.withColumn("_p", F.col(a)).withColumn("_q", F.col(a))
-        flags.append(overlap_join(point, aligned, ["chrom"], ("_p", "_q"), ("ref_start", "ref_end"), bin_size, strict).select("region_id", "chrom", "start", "end", "query_entry", "comp", F.lit(name).alias("side")))
-    both = flags[0].unionByName(flags[1]).groupBy("region_id", "chrom", "start", "end", "query_entry", "comp").agg(F.bool_or(F.col("side") == "left").alias("l"), F.bool_or(F.col("side") == "right").alias("r"))
+    # A spanning alignment covers the segment's first base, so that base alone is looked up; both segments go through one join.
+    spot = lambda side, a, b: F.struct(F.lit(side).alias("side"), F.col(a).alias("p"), F.col(b).alias("q"))
+    spots = marks.select("region_id", "chrom", "start", "end", F.explode(F.array(spot("left", "ls", "le"), spot("right", "rs", "re"))).alias("m"))
+    spots = spots.select("region_id", "chrom", "start", "end", "m.side", F.col("m.p").alias("_p"), F.col("m.p").alias("_p2"), F.col("m.q").alias("_q"))
+    strict = (F.col("ref_start") < F.col("_p")) & (F.col("ref_end") > F.col("_q"))
+    hits = overlap_join(spots, aligned, ["chrom"], ("_p", "_p2"), ("ref_start", "ref_end"), bin_size, strict)
+    both = hits.groupBy("region_id", "chrom", "start", "end", "query_entry", "comp").agg(F.bool_or(F.col("side") == "left").alias("l"), F.bool_or(F.col("side") == "right").alias("r"))
     return both.where("l and r").groupBy("region_id", "chrom", "start", "end", "query_entry").agg(F.min("comp").alias("comp"))
 
 

@@ -1,14 +1,15 @@
 """Several values packed in one field, one row each (problem 3).
 
-A field is cut at its quotation marks. Without any, the whole field is one unquoted piece. With
-some, an array fold walks over the marks and the runs between them: outside a quotation a mark opens
-one, inside the same mark closes it, and a mark right after its closing twin stands for one mark. What
-comes out alternates between unquoted pieces, which are split on whatever is no item, and literals.
-Ordinals follow from the position in the assembled array.
+A field is cut at its quotations: what lies between them are the even pieces, their contents the odd
+ones. Odd pieces are literals; a literal that follows the one before it at once, with the same mark,
+goes on with one mark in between (a doubled mark). Even pieces are split on their delimiters. Array
+functions then put the values together in order, and ordinals follow from the position in the
+assembled array. Two kinds of marks may quote, and either is plain text inside the other, so a
+quotation is looked for as a whole and not by counting marks. Every step is linear in the field.
 
 Defined results: null and empty fields give no row; fields with fewer than two items give none;
 empty quotations are no items; a quotation that never closes reaches to the end of the field; of a
-tag that comes twice in one INFO the first counts.
+tag that comes twice in one INFO the first counts; repeated rows repeat their items.
 """
 
 from __future__ import annotations
@@ -20,64 +21,62 @@ from pyspark.sql import functions as F
 ALT_ITEMS = r"<[^<>]*>|\*|[A-Za-z]*[\[\]][^\[\]\s]+[\[\]][A-Za-z]*|[A-Za-z]+"
 ID_ITEMS = r"[A-Za-z0-9_.\-]+"
 ID_TAGS = ("ClusterIDs", "ExactMatchIDs")
-_TOKENS = r"""["']|[^"']+"""
-_STATE = "struct<open:string,text:string,out:array<struct<quoted:boolean,text:string>>,closed:string>"
+_QUOTATION = r"""(?s)"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)"""
+_ESCAPE, _CUT = "\x1a", "\x1f"
 
 
-def _step(acc: Column, token: Column) -> Column:
-    quote = token.isin('"', "'")
-    inside = acc["open"] != ""
+def even_pieces(field: Column) -> Column:
+    """What lies before, between and after the quotations, one more than there are of them."""
+    return F.split(field, _QUOTATION)
 
-    def state(open_: Column, text: Column, out: Column, closed: Column) -> Column:
-        return F.struct(open_.alias("open"), text.alias("text"), out.alias("out"), closed.alias("closed"))
 
-    def piece(quoted: bool, text: Column) -> Column:
-        return F.array(F.struct(F.lit(quoted).alias("quoted"), text.alias("text")))
+def odd_pieces(field: Column) -> Column:
+    """The quotations, with their marks."""
+    return F.regexp_extract_all(field, F.lit(_QUOTATION), F.lit(0))
 
-    none = F.lit("")
-    count = F.size(acc["out"])
-    return (
-        F.when(inside & quote & (acc["open"] == token), state(none, none, F.concat(acc["out"], piece(True, acc["text"])), token))
-        .when(inside, state(acc["open"], F.concat(acc["text"], token), acc["out"], none))
-        # The twin right after a closing mark: the literal goes on, with one mark in it.
-        .when(quote & (acc["closed"] == token), state(token, F.concat(F.element_at(acc["out"], -1)["text"], token), F.slice(acc["out"], 1, count - 1), none))
-        .when(quote, state(token, none, acc["out"], none))
-        .otherwise(state(none, none, F.concat(acc["out"], piece(False, token)), none))
-    )
+
+def literals(even: Column, odd: Column) -> Column:
+    """Array of ``(at, text)``: the contents of the quotations, doubled marks joined; ``at`` is the number of the even piece before it."""
+    mark = lambda x: F.substring(x, 1, 1)
+    content = F.transform(odd, lambda x: F.regexp_replace(F.regexp_replace(x, "^[\"']", ""), F.concat(mark(x), F.lit(r"\z")), ""))
+    opens = lambda i: (i == 0) | (F.get(even, i) != "") | (mark(F.get(odd, i)) != mark(F.get(odd, i - 1)))
+    numbers = F.when(F.size(odd) > 0, F.sequence(F.lit(0), F.size(odd) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(numbers, opens)
+    upto = lambda k: F.coalesce(F.get(starts, k + 1), F.size(odd))
+    run = lambda i, k: F.slice(content, i + 1, upto(k) - i)
+    joined = lambda i, k: F.when(mark(F.get(odd, i)) == '"', F.array_join(run(i, k), '"')).otherwise(F.array_join(run(i, k), "'"))
+    return F.transform(starts, lambda i, k: F.struct(i.alias("at"), joined(i, k).alias("text")))
 
 
-def pieces(field: Column) -> Column:
-    """Array of ``(quoted, text)``: the literals of the field and what lies between them."""
-    start = F.struct(
-        F.lit("").alias("open"), F.lit("").alias("text"), F.array().cast("array<struct<quoted:boolean,text:string>>").alias("out"), F.lit("").alias("closed")
-    ).cast(_STATE)
-    folded = F.aggregate(F.regexp_extract_all(field, F.lit(_TOKENS), F.lit(0)), start, lambda acc, t: _step(acc, t).cast(_STATE), lambda acc: F.when(acc["open"] != "", F.concat(acc["out"], F.array(F.struct(F.lit(True).alias("quoted"), acc["text"].alias("text"))))).otherwise(acc["out"]))
-    return folded
+def split_items(piece: Column, item_pattern: str) -> Column:
+    """An even piece split on its delimiters, which are whatever is no item; empty strings may come along."""
+    return F.split(F.regexp_replace(piece, f"(?s)({item_pattern})|.", f"$1{_CUT}"), f"{_CUT}+")
 
 
 def packed_items(field: Column, item_pattern: str) -> Column:
     """Array of the items of a field."""
-    plain = F.regexp_extract_all(field, F.lit(item_pattern), F.lit(0))
-    parted = F.flatten(F.transform(pieces(field), lambda p: F.when(p["quoted"], F.array(p["text"])).otherwise(F.regexp_extract_all(p["text"], F.lit(item_pattern), F.lit(0)))))
-    return F.when(field.rlike("[\"']"), F.filter(parted, lambda x: x != "")).otherwise(plain)
+    even, odd = even_pieces(field), odd_pieces(field)
+
+    def assembled(parts: Column) -> Column:
+        found = literals(parts["even"], parts["odd"])
+        # A literal comes after the even piece of its number; even pieces inside a joined literal are empty.
+        plain = F.transform(parts["even"], lambda x, i: F.struct((i * 2).alias("at"), split_items(x, item_pattern).alias("items")))
+        quoted = F.transform(found, lambda x: F.struct((x["at"] * 2 + 1).alias("at"), F.array(x["text"]).alias("items")))
+        return F.filter(F.flatten(F.transform(F.array_sort(F.concat(plain, quoted)), lambda x: x["items"])), lambda x: x != "")
+
+    # A one-element array keeps the two lists from being worked out again at each use.
+    return F.element_at(F.transform(F.array(F.struct(even.alias("even"), odd.alias("odd"))), assembled), 1)
 
 
 def info_entries(info: Column) -> Column:
     """Array of the entries of INFO, parted by semicolons outside quotations, quotation marks kept.
 
-    Only the marks and semicolons matter here: a fold over them tells for each piece between
-    semicolons whether a quotation is open, and such pieces are joined again.
+    Semicolons inside quotations are escaped before the split and come back after it.
     """
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("out")).cast("struct<open:string,out:array<string>>")
-
-    def step(acc: Column, part: Column) -> Column:
-        joined = F.when(acc["open"] != "", F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.concat(F.element_at(acc["out"], -1), F.lit(";"), part)))).otherwise(F.concat(acc["out"], F.array(part)))
-        marks = F.regexp_extract_all(part, F.lit("[\"']"), F.lit(0))
-        open_ = F.aggregate(marks, acc["open"], lambda o, m: F.when(o == "", m).when(o == m, F.lit("")).otherwise(o))
-        return F.struct(open_.alias("open"), joined.alias("out")).cast("struct<open:string,out:array<string>>")
-
-    quoted = F.aggregate(F.split(info, ";"), start, step, lambda acc: acc["out"])
-    return F.when(info.rlike("[\"']"), quoted).otherwise(F.split(info, ";"))
+    escaped = F.replace(info, F.lit(_ESCAPE), F.lit(f"{_ESCAPE}0"))
+    covered = F.transform(odd_pieces(escaped), lambda x: F.replace(x, F.lit(";"), F.lit(f"{_ESCAPE}1")))
+    joined = F.array_join(F.flatten(F.zip_with(even_pieces(escaped), covered, lambda e, q: F.array(e, F.coalesce(q, F.lit(""))))), "")
+    return F.transform(F.split(joined, ";"), lambda x: F.replace(F.replace(x, F.lit(f"{_ESCAPE}1"), F.lit(";")), F.lit(f"{_ESCAPE}0"), F.lit(_ESCAPE)))
 
 
 def tag_value(info: Column, tag: str) -> Column:
@@ -87,13 +86,17 @@ def tag_value(info: Column, tag: str) -> Column:
 
 
 def split_packed(calls: DataFrame) -> DataFrame:
-    """``row_id, packed_field, idx, item`` of ALT and the id lists in INFO."""
-    alt = F.when(~F.col("alt_allele").rlike(r"^\s*[A-Za-z]*\s*$"), packed_items(F.col("alt_allele"), ALT_ITEMS))
-    fields = [("ALT", alt)]
+    """``row_id, packed_field, idx, item`` of ALT and the id lists in INFO.
+
+    One value of letters alone is one item, and without its tag an INFO has no list: such fields
+    are known to give no row before anything is cut.
+    """
+    several = ~F.col("alt_allele").rlike(r"^\s*[A-Za-z]*\s*$")
+    fields = [("ALT", F.when(several, packed_items(F.col("alt_allele"), ALT_ITEMS)))]
     for tag in ID_TAGS:
         fields.append((tag, F.when(F.col("info").contains(f"{tag}="), packed_items(tag_value(F.col("info"), tag), ID_ITEMS))))
     packed = F.filter(F.array(*(F.struct(F.lit(name).alias("packed_field"), items.alias("items")) for name, items in fields)), lambda x: F.size(x["items"]) >= 2)
-    few = calls.where(~F.col("alt_allele").rlike(r"^\s*[A-Za-z]*\s*$") | F.col("info").rlike("ClusterIDs=|ExactMatchIDs=")).select("row_id", "alt_allele", "info")
+    few = calls.where(several | F.col("info").rlike("ClusterIDs=|ExactMatchIDs=")).select("row_id", "alt_allele", "info")
     return (
         few.select("row_id", F.explode(packed).alias("f"))
         .select("row_id", F.col("f.packed_field").alias("packed_field"), F.posexplode("f.items").alias("at", "item"))

@@ -28,12 +28,13 @@ def read_fraction(records: DataFrame, least: float) -> DataFrame:
 
 @dataclass(frozen=True)
 class Benchmark:
-    """Rows of ``metrics`` (one), false positives, false negatives and the matched pairs."""
+    """Rows of ``metrics`` (one), false positives, false negatives, the matched pairs and, where they were computed, the distances of all pairs."""
 
     metrics: DataFrame
     false_positives: DataFrame
     false_negatives: DataFrame
     matches: DataFrame
+    distances: DataFrame | None = None
 
 
 def score(test: DataFrame, truth: DataFrame, matches: DataFrame, key: str = "id") -> Benchmark:

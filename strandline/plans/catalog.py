@@ -31,8 +31,7 @@ from strandline.sources import fasta, sinks, tabular, vcf
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-NEAR = 50  # bases between paired calls where the SQL pairs them too
-BENCHMARK, MERGE, FIND = commands.BenchmarkParams.max_dist, commands.MergeParams.max_dist, 100_000  # the commands' own windows, of the queries named *_whole
+NEAR, MERGE, FIND, BACK = commands.BenchmarkParams.max_dist, commands.MergeParams.max_dist, 100_000, commands.BACK_DIST  # the commands' own windows
 
 CALLS = "(SELECT row_id, callset AS file, line_no, regexp_replace(chrom, '^chr', '') AS chrom, pos, call_id AS id, trim(ref_allele) AS ref, trim(alt_allele) AS alt, filter_tag AS filter, info, format_keys AS format, genotype, CAST(substr(callset, 3, 4) AS INT) % 2 AS side FROM svcalls)"
 _SVTYPE = "nullif(regexp_extract(info, 'SVTYPE=([^;\\s]+)', 1), '')"
@@ -110,8 +109,8 @@ add("vcf_headers", "SELECT callset AS file, line_no, regexp_extract(raw_line, '^
 add("first_file_header", "SELECT line_no, raw_line AS line FROM vcf_raw WHERE starts_with(raw_line, '#') AND callset = 'cs0000_raw.vcf'")(
     lambda s, d: vcf.first_file_header(lines(s, d), "cs0000_raw.vcf").select("line_no", "line")
 )
-add("multi_vcf_union", "SELECT callset AS file, count(*) AS n FROM svcalls GROUP BY callset UNION ALL SELECT callset, count(*) FROM vcf_raw WHERE NOT starts_with(raw_line, '#') AND trim(raw_line) <> '' GROUP BY callset")(
-    lambda s, d: calls(s, d).select("file").unionByName(vcf.split_records(lines(s, d)).select("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+add("multi_vcf_union", "SELECT callset AS file, line_no FROM svcalls UNION ALL SELECT callset, line_no FROM vcf_raw WHERE NOT starts_with(raw_line, '#') AND trim(raw_line) <> ''")(
+    lambda s, d: calls(s, d).select("file", "line_no").unionByName(vcf.split_records(lines(s, d)).select("file", "line_no"))
 )
 add("info_extract", f"SELECT row_id, {_END} AS end_pos, TRY_CAST(nullif(regexp_extract(info, 'END=(\\d+)', 1), '') AS BIGINT) AS end_loose, {_SVLEN} AS svlen, {_SVTYPE} AS svtype, {_SEQ} AS seq FROM svcalls")(
     lambda s, d: table(s, d, "svcalls").select(
@@ -131,24 +130,25 @@ add("read_support", f"SELECT row_id FROM {CALLS} c WHERE {_FMT.format('DV')} >=
 add("read_fraction", f"SELECT row_id FROM (SELECT row_id, coalesce({_FMT.format('DR')}, 0) AS dr, coalesce({_FMT.format('DV')}, 0) AS dv FROM {CALLS} c) WHERE NOT (dr > 0 AND dv > 0 AND dv < dr * 0.5)")(
     lambda s, d: scoring.read_fraction(calls(s, d), 0.5).select("row_id")
 )
-add("filter_eq", "SELECT callset AS file, count(*) AS n FROM svcalls WHERE filter_tag = 'PASS' GROUP BY callset")(lambda s, d: calls(s, d).where("filter = 'PASS'").groupBy("file").agg(F.count(F.lit(1)).alias("n")))
+add("filter_eq", f"SELECT row_id, status, deleted FROM (SELECT row_id, status, deleted_to AS deleted, filter FROM {SVS} x) WHERE filter = 'PASS' AND status = 'ok'")(
+    lambda s, d: vcf.normalized(commands.filtered(calls(s, d), "PASS")).where("status = 'ok'").select("row_id", "status", F.col("deleted_to").alias("deleted"))
+)
 _SIZE = f"coalesce(abs({_SVLEN}), CASE WHEN regexp_full_match(ref, '[A-Za-z]+') AND regexp_full_match(alt, '[A-Za-z]+') THEN abs(length(ref) - length(alt)) END, 0)"
 add("variant_size", f"SELECT row_id, {_SIZE} AS size FROM {CALLS} c")(lambda s, d: calls(s, d).select("row_id", I.variant_size(F.col("info"), F.col("ref"), F.col("alt")).alias("size")))
-add("min_size", f"SELECT side, count(*) AS n FROM (SELECT side, {_SIZE} AS size FROM {CALLS} c) WHERE (side = 0 AND size > 50) OR (side = 1 AND size >= 50) GROUP BY side")(
+add("min_size", f"SELECT row_id, side FROM (SELECT row_id, side, {_SIZE} AS size FROM {CALLS} c) WHERE (side = 0 AND size > 50) OR (side = 1 AND size >= 50)")(
     lambda s, d: calls(s, d)
     .withColumn("size", I.variant_size(F.col("info"), F.col("ref"), F.col("alt")))
     .where(((F.col("side") == 0) & scoring.size_passes(F.col("size"), 50, False)) | ((F.col("side") == 1) & scoring.size_passes(F.col("size"), 50, True)))
-    .groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    .select("row_id", "side")
 )
+add("min_size_merge", f"SELECT row_id, status FROM {SVS.replace('abs(altlength - reflength) < 0', 'abs(altlength - reflength) < 50')} x")(lambda s, d: vcf.normalized(calls(s, d), 50).select("row_id", "status"))
 add("svlen_svtype_filter", f"SELECT row_id FROM {CALLS} c WHERE coalesce({_SVLEN} >= -300, true) AND coalesce({_SVLEN} <= 300, true) AND coalesce({_SVTYPE} = 'INS', true)")(
     lambda s, d: commands.filter_vcf(calls(s, d), None, -300, 300, "INS").select("row_id")
 )
 add("region_scan", f"SELECT row_id FROM {CALLS} c WHERE chrom = '1' AND pos <= 5000000 AND greatest(coalesce({_END}, pos + length(ref) - 1), pos) >= 100000")(
     lambda s, d: vcf.in_region(calls(s, d), "1", 100_000, 5_000_000).select("row_id")
 )
-add("skip_long_n", "SELECT count(*) AS n, count(*) FILTER (WHERE ref_allele LIKE '%NNNNNN%' OR alt_allele LIKE '%NNNNNN%') AS with_n FROM svcalls")(
-    lambda s, d: table(s, d, "svcalls").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ref_allele").contains("NNNNNN") | F.col("alt_allele").contains("NNNNNN")).alias("with_n"))
-)
+add("skip_long_n", f"SELECT row_id FROM {CALLS} c WHERE NOT (contains(upper(ref), 'NNNNNN') OR contains(upper(alt), 'NNNNNN'))")(lambda s, d: commands.without_long_n(vcf.normalized(calls(s, d))).select("row_id"))
 add("info_declared", "SELECT row_id, array_to_string(list_filter(string_split(info, ';'), lambda x: string_split(trim(x), '=')[1] IN ('SVTYPE', 'SVLEN', 'END')), ';') AS info FROM svcalls WHERE info IS NOT NULL")(
     lambda s, d: table(s, d, "svcalls").where("info is not null").select("row_id", I.keep_declared(F.col("info"), F.array(F.lit("SVTYPE"), F.lit("SVLEN"), F.lit("END"))).alias("info"))
 )
@@ -203,24 +203,12 @@ def benchmarked(s: SparkSession, d: str, width: int = NEAR) -> scoring.Benchmark
 
 
 add("band_join_pairs", f"SELECT test_key, truth_key FROM ({_PAIR})")(lambda s, d: call_pairs(s, d).select("test_key", "truth_key"))
-add("band_self_pairs", f"SELECT a.row_id AS a_row_id, b.row_id AS b_row_id FROM {SVS} a JOIN {SVS} b ON a.chrom = b.chrom AND a.status = 'ok' AND b.status = 'ok' AND a.pos > 0 AND b.pos > 0 AND abs(a.pos - b.pos) <= 20 AND (a.pos < b.pos OR (a.pos = b.pos AND a.row_id < b.row_id))")(
-    lambda s, d: band_self_pairs(svs(s, d), ["chrom"], "pos", ["row_id"], [], 20).select("a_row_id", "b_row_id")
+add("band_self_pairs", f"SELECT a.row_id AS a_row_id, b.row_id AS b_row_id FROM {SVS} a JOIN {SVS} b ON a.chrom = b.chrom AND a.status = 'ok' AND b.status = 'ok' AND a.pos > 0 AND b.pos > 0 AND abs(a.pos - b.pos) <= {MERGE} AND (a.pos < b.pos OR (a.pos = b.pos AND a.row_id < b.row_id))")(
+    lambda s, d: band_self_pairs(svs(s, d), ["chrom"], "pos", ["row_id"], [], MERGE).select("a_row_id", "b_row_id")
 )
-add("find_matches", f"SELECT count(*) AS n, CAST(sum(abs(a.pos - b.pos)) AS BIGINT) AS total FROM {CALLS} a JOIN {CALLS} b ON a.chrom = b.chrom AND a.side = 0 AND b.side = 1 AND abs(a.pos - b.pos) < 300")(
-    lambda s, d: commands.find_matches(calls(s, d).where("side = 0"), calls(s, d).where("side = 1"), 300).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("a_pos") - F.col("b_pos"))).alias("total"))
+add("find_matches", f"SELECT a.row_id AS a_row_id, b.row_id AS b_row_id, a.pos - b.pos AS gap FROM {CALLS} a JOIN {CALLS} b ON a.chrom = b.chrom AND a.side = 0 AND b.side = 1 AND abs(a.pos - b.pos) < {FIND}")(
+    lambda s, d: commands.find_matches(calls(s, d).where("side = 0"), calls(s, d).where("side = 1"), FIND, ("row_id",)).select("a_row_id", "b_row_id", (F.col("a_pos") - F.col("b_pos")).alias("gap"))
 )
-add("zip_records", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no, row_id) AS n FROM {CALLS} c) SELECT n, a.row_id AS a_row_id, b.row_id AS b_row_id FROM (SELECT * FROM r WHERE file LIKE 'cs0000%') a FULL JOIN (SELECT * FROM r WHERE file LIKE 'cs0001%') b USING (n)")(
-    lambda s, d: _zipped(calls(s, d))
-)
-
-
-def _zipped(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("file").orderBy("line_no", "row_id")).cast("bigint")
-    numbered = rows.withColumn("n", n)
-    a, b = (numbered.where(F.col("file").startswith(p)).select("n", F.col("row_id").alias(f"{x}_row_id")) for p, x in (("cs0000", "a"), ("cs0001", "b")))
-    return a.join(b, "n", "full")
 
 
 def _compared(s: SparkSession, d: str) -> DataFrame:
@@ -230,7 +218,18 @@ def _compared(s: SparkSession, d: str) -> DataFrame:
     return both.select("pair", F.col("n").cast("bigint").alias("n"), "a_row_id", "b_row_id", "status", "avgsize", "sizediff", "posdiff", "marlength")
 
 
-add("zip_records_whole")(_compared)
+_FORM = f"""(SELECT *, CASE WHEN spelled THEN 'ok' WHEN e IS NULL THEN 'no_end' WHEN length(ref) <> e - pos + 1 THEN 'length' ELSE 'ok' END AS status, CASE WHEN spelled THEN pos + length(ref) - 1 ELSE e END AS "end",
+  row_number() OVER (PARTITION BY file ORDER BY line_no, row_id) AS n, CAST(floor(CAST(substr(file, 3, 4) AS INT) / 2) AS BIGINT) AS pair FROM (
+  SELECT *, coalesce(regexp_full_match(upper(ref), '[ACGT]+') AND regexp_full_match(upper(alt), '[ACGT]+'), false) AS spelled, TRY_CAST(nullif(regexp_extract(info, 'END=(\\d+)', 1), '') AS BIGINT) AS e FROM {CALLS} c))"""
+_SIZES = "(length(a.alt) - length(a.ref)) AS sa, (length(b.alt) - length(b.ref)) AS sb"
+add(
+    "zip_records",
+    f"""WITH r AS {_FORM}, z AS (SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.n, b.n) AS n, a.row_id AS a_row_id, b.row_id AS b_row_id, a.status AS s1, b.status AS s2, a.chrom AS c1, b.chrom AS c2, a.pos AS p1, b.pos AS p2, a."end" AS e1, b."end" AS e2, {_SIZES}
+      FROM (SELECT * FROM r WHERE side = 0) a FULL JOIN (SELECT * FROM r WHERE side = 1) b ON a.pair = b.pair AND a.n = b.n)
+    SELECT pair, n, a_row_id, b_row_id, CASE WHEN s1 IS NULL OR s2 IS NULL THEN 'missing' WHEN c1 IS DISTINCT FROM c2 THEN 'DIFFCHROMS' WHEN s1 <> 'ok' THEN s1 WHEN s2 <> 'ok' THEN s2 ELSE 'ok' END AS status,
+      (sa + sb) / 2 AS avgsize, CAST(sa - sb AS BIGINT) AS sizediff, p1 - p2 AS posdiff,
+      CASE WHEN c1 = c2 THEN CAST(greatest(w, w + sa, w + sb) AS BIGINT) ELSE 0 END AS marlength FROM (SELECT *, greatest(e1, e2) - least(p1, p2) + 1 AS w FROM z)""",
+)(_compared)
 add("potential_match", f"SELECT test_key, truth_key, {_GAP} <= {_DENOM} * 0.2 AS close_size, CAST({_MAR} AS BIGINT) AS marlength, abs(a_altlength - b_altlength) > 0.2 * {_MAR} AS prohibitive FROM ({_PAIR})")(
     lambda s, d: call_pairs(s, d).select("test_key", "truth_key", D.potential_match(0.2, 1.0).alias("close_size"), D.affected_length().alias("marlength"), D.prohibitive_shift(0.2).alias("prohibitive"))
 )
@@ -245,46 +244,29 @@ add("false_negatives", f"SELECT row_id FROM {SVS} x WHERE status = 'ok' AND pos
 add("multiple_matches", f"SELECT test_key, count(*) AS n_matches, string_agg(CAST(truth_key AS VARCHAR), ',' ORDER BY truth_key) AS ids FROM {MATCHES} GROUP BY test_key HAVING count(*) > 1")(
     lambda s, d: scoring.multiple_matches(call_matches(s, d), "test_key", "truth_key")
 )
-# The same over the commands' own windows. There are no reference bases in the tables, so a match is one by size here too.
-add("band_join_pairs_whole")(lambda s, d: call_pairs(s, d, BENCHMARK).select("test_key", "truth_key"))
-add("band_self_pairs_whole")(lambda s, d: band_self_pairs(svs(s, d), ["chrom"], "pos", ["row_id"], [], MERGE).select("a_row_id", "b_row_id"))
-add("find_matches_whole")(
-    lambda s, d: commands.find_matches(calls(s, d).where("side = 0"), calls(s, d).where("side = 1"), FIND).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("a_pos") - F.col("b_pos"))).alias("total"))
-)
-add("potential_match_whole")(
-    lambda s, d: call_pairs(s, d, BENCHMARK).select("test_key", "truth_key", D.potential_match(0.2, 1.0).alias("close_size"), D.affected_length().alias("marlength"), D.prohibitive_shift(0.2).alias("prohibitive"))
-)
-add("benchmark_metrics_whole")(lambda s, d: benchmarked(s, d, BENCHMARK).metrics.select("ptp", "fp", "dtp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1"))))
-add("false_positives_whole")(lambda s, d: benchmarked(s, d, BENCHMARK).false_positives.select("row_id"))
-add("false_negatives_whole")(lambda s, d: benchmarked(s, d, BENCHMARK).false_negatives.select("row_id"))
-add("multiple_matches_whole")(lambda s, d: scoring.multiple_matches(call_matches(s, d, BENCHMARK), "test_key", "truth_key"))
 add("classic_match", f"SELECT pair_id FROM {GOOD_PAIRS} p WHERE {CLASSIC}")(lambda s, d: distances(s, d).where(D.classic_match()).select("pair_id"))
 add("rate_match", f"SELECT pair_id FROM {GOOD_PAIRS} p WHERE subsdist <= 0.01 AND indeldist <= 0.1")(lambda s, d: distances(s, d).where(D.rate_match(0.01, 0.1)).select("pair_id"))
 
 _ACGT = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
-_LAG = f"(SELECT doc_id, substr(h, 1, 120) AS h, substr(lag(h) OVER (PARTITION BY item_id ORDER BY doc_id), 1, 120) AS g FROM (SELECT doc_id, item_id, {_ACGT} AS h FROM documents WHERE text IS NOT NULL))"
+_LAG = f"(SELECT doc_id, h, lag(h) OVER (PARTITION BY item_id ORDER BY doc_id) AS g FROM (SELECT doc_id, item_id, {_ACGT} AS h FROM documents WHERE text IS NOT NULL))"
 
 
-def _neighbour_texts(s: SparkSession, d: str, most: int | None = None) -> DataFrame:
-    """Each text's bases as ``h`` and those of the one before it as ``g``; ``most`` cuts both, where the SQL does."""
+def _neighbour_texts(s: SparkSession, d: str) -> DataFrame:
+    """Each text's bases as ``h`` and those of the one before it as ``g``."""
     from pyspark.sql import Window
 
     h = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
     rows = table(s, d, "documents").where("text is not null").select("doc_id", "item_id", h.alias("h"))
-    cut = lambda c: c if most is None else F.substring(c, 1, most)
-    return rows.select("doc_id", cut(F.col("h")).alias("h"), cut(F.lag("h").over(Window.partitionBy("item_id").orderBy("doc_id"))).alias("g")).where("g is not null")
+    return rows.select("doc_id", "h", F.lag("h").over(Window.partitionBy("item_id").orderBy("doc_id")).alias("g")).where("g is not null")
 
 
 def _aligned_texts(texts: DataFrame) -> DataFrame:
     return D.aligned(texts.select("doc_id", F.col("h").alias("hap_a"), F.col("g").alias("hap_b")))
 
 
-add("edit_distance", f"SELECT doc_id, CAST(levenshtein(h, g) AS BIGINT) AS edits FROM {_LAG} WHERE g IS NOT NULL")(lambda s, d: _neighbour_texts(s, d, 120).select("doc_id", F.levenshtein("h", "g").cast("bigint").alias("edits")))
-add("edit_distance_whole")(lambda s, d: _neighbour_texts(s, d).select("doc_id", F.levenshtein("h", "g").cast("bigint").alias("edits")))
-add("aligned_distance", f"SELECT doc_id, CAST(levenshtein(h, g) AS BIGINT) AS edit_distance FROM {_LAG} WHERE g IS NOT NULL")(
-    lambda s, d: _aligned_texts(_neighbour_texts(s, d, 120)).select("doc_id", "edit_distance")
+add("aligned_distance", f"SELECT doc_id, CAST(levenshtein(h, g) AS BIGINT) AS edit_distance, subs_and_indels FROM (SELECT *, CAST(levenshtein(h, g) AS BIGINT) AS subs_and_indels FROM {_LAG}) WHERE g IS NOT NULL")(
+    lambda s, d: _aligned_texts(_neighbour_texts(s, d)).select("doc_id", "edit_distance", (F.col("subs") + F.col("indels")).alias("subs_and_indels"))
 )
-add("aligned_distance_whole")(lambda s, d: _aligned_texts(_neighbour_texts(s, d)).select("doc_id", "edit_distance"))
 add("alignment_path")(lambda s, d: _aligned_texts(_neighbour_texts(s, d)).select("doc_id", "edit_distance", "max_shift", "subs", "indels"))
 
 # ---------------------------------------------------------------- graph and clusters
@@ -360,25 +342,60 @@ add("calls_in_regions", f'SELECT row_id FROM {SVS} c WHERE status = \'ok\' AND p
 add("covered_calls", f'SELECT row_id, EXISTS (SELECT 1 FROM {_STRETCH} h WHERE h.chrom = c.chrom AND h.hr_start <= c.pos AND h.hr_end >= c."end") AS covered FROM {SVS} c WHERE status = \'ok\' AND pos > 0')(
     lambda s, d: V.covered_flags(svs(s, d), stretches(s, d).select("chrom", F.col("hr_start").alias("r_start"), F.col("hr_end").alias("r_end")), ["row_id"], "pos", "end").select("row_id", "covered")
 )
-_BREAKS = f"""(SELECT *, ref_end AS ref1, query_end AS query1, r_ref_start AS ref2, r_query_start AS query2, r_ref_start - ref_end - 1 AS refjump, CASE WHEN comp = 1 THEN query_end - r_query_start - 1 ELSE r_query_start - query_end - 1 END AS queryjump FROM (
-  SELECT *, lead(ref_start) OVER w AS r_ref_start, lead(ref_end) OVER w AS r_ref_end, lead(query_start) OVER w AS r_query_start, lead(query_end) OVER w AS r_query_end, lead(comp) OVER w AS r_comp, lead(cigar) OVER w AS r_cigar FROM {ALIGNMENTS} a WINDOW w AS (PARTITION BY ref_entry, query_entry ORDER BY ref_start, ref_end, align_no))
+def _lift_sql(x: str, p: str, to_ref: bool, side: str = "") -> str:
+    """Lifting through a CIGAR of two M runs with one I or D between them, as all of the laid-out alignments have it."""
+    m1, op, k, m2 = (f"regexp_extract({side}cigar, '^(\\d+)M(\\d+)([ID])(\\d+)M$', {i})" for i in (1, 3, 2, 4))
+    m1, k, m2 = (f"CAST({v} AS BIGINT)" for v in (m1, k, m2))
+    sign = f"CASE WHEN {side}query_start > {side}query_end THEN -1 ELSE 1 END"
+    here, there = ("I", "D") if to_ref else ("D", "I")
+    off = f"(({p}) - {side}query_start) * {sign} + 1" if to_ref else f"({p}) - {side}ref_start + 1"
+    out = (lambda n: f"{side}ref_start - 1 + {n}") if to_ref else (lambda n: f"{side}query_start + ({sign}) * ({n} - 1)")
+    skip, jump = f"CASE WHEN {op} = '{here}' THEN {k} ELSE 0 END", f"CASE WHEN {op} = '{there}' THEN {k} ELSE 0 END"
+    return f"CASE WHEN {off} <= 0 OR {off} > {m1} + {m2} + {skip} THEN NULL WHEN {off} <= {m1} THEN {out(off)} WHEN {off} <= {m1} + {skip} THEN {out(m1)} ELSE {out(f'({off} - {skip} + {jump})')} END"
+
+
+
+_JUMPS = """*, ref_end AS ref1, query_end AS query1, r_ref_start AS ref2, r_query_start AS query2, r_ref_start - ref_end - 1 AS ref_gap, CASE WHEN comp = 1 THEN query_end - r_query_start - 1 ELSE r_query_start - query_end - 1 END AS query_gap"""
+_KIND = "CASE WHEN size = 0 THEN 'ARTIFACT' WHEN size < 0 AND ref_gap > 0 THEN 'SUBSINS' WHEN size > 0 AND query_gap > 0 THEN 'SUBSDEL' WHEN ref_gap < 0 AND query_gap < 0 THEN CASE WHEN size < 0 THEN 'DUP' ELSE 'CONTRAC' END WHEN size < 0 THEN 'SIMPLEINS' ELSE 'SIMPLEDEL' END"
+
+
+def _breaks_sql(source: str, keys: str) -> str:
+    leads = ", ".join(f"lead({c}) OVER w AS r_{c}" for c in ("ref_start", "ref_end", "query_start", "query_end", "comp", "cigar"))
+    return f"""(SELECT {_JUMPS} FROM (SELECT *, {leads} FROM {source} a WINDOW w AS (PARTITION BY {keys} ORDER BY ref_start, ref_end, align_no))
   WHERE r_ref_start IS NOT NULL AND comp = r_comp AND ref_end < r_ref_end AND ((comp = 0 AND query_start < r_query_start AND query_end < r_query_end) OR (comp = 1 AND query_start > r_query_start AND query_end > r_query_end)))"""
-_KIND = "CASE WHEN size = 0 THEN 'ARTIFACT' WHEN size < 0 AND refjump > 0 THEN 'SUBSINS' WHEN size > 0 AND queryjump > 0 THEN 'SUBSDEL' WHEN refjump < 0 AND queryjump < 0 THEN CASE WHEN size < 0 THEN 'DUP' ELSE 'CONTRAC' END WHEN size < 0 THEN 'SIMPLEINS' ELSE 'SIMPLEDEL' END"
-_TYPED = f"(SELECT *, CASE WHEN svkind IN ('SIMPLEINS', 'DUP') THEN -refjump WHEN svkind IN ('SIMPLEDEL', 'CONTRAC') THEN -queryjump ELSE 0 END AS repeat_bases FROM (SELECT *, abs(size) AS svsize, {_KIND} AS svkind FROM (SELECT *, refjump - queryjump AS size FROM {_BREAKS} b)))"
+
+
+def _typed_sql(source: str) -> str:
+    return f"(SELECT *, CASE WHEN svkind IN ('SIMPLEINS', 'DUP') THEN -ref_gap WHEN svkind IN ('SIMPLEDEL', 'CONTRAC') THEN -query_gap ELSE 0 END AS repeat_bases FROM (SELECT *, abs(size) AS svsize, {_KIND} AS svkind FROM (SELECT *, ref_gap - query_gap AS size FROM {source} b)))"
+
+
+def _placed_sql(source: str) -> str:
+    """Lifted ends and output coordinates of typed breaks."""
+    ins, dele = "svkind IN ('SIMPLEINS', 'DUP')", "svkind IN ('SIMPLEDEL', 'CONTRAC')"
+    lifts = f"""(SELECT *, CASE WHEN comp = 1 THEN 1 ELSE -1 END AS back, {ins} AS ins, {dele} AS del, CASE WHEN {dele} AND repeat_bases = 0 THEN 1 ELSE 0 END AS bare,
+      CASE WHEN {ins} THEN coalesce({_lift_sql('', 'ref1', False, 'r_')}, query2 - 1) END AS query1p, CASE WHEN {ins} THEN coalesce({_lift_sql('', 'ref2', False)}, query1 - 1) END AS query2p,
+      CASE WHEN {dele} THEN coalesce({_lift_sql('', 'query1', True, 'r_')}, ref2 - 1) END AS ref1p, CASE WHEN {dele} THEN coalesce({_lift_sql('', 'query2', True)}, ref1 + 1) END AS ref2p FROM {source} t)"""
+    spots = f"""(SELECT *, CASE WHEN ins THEN ref2 - 1 WHEN del THEN ref2p - 1 ELSE ref1 + 1 END AS pos, ref2 - 1 AS sv_end, CASE WHEN ins THEN query2p + back WHEN del THEN query2 + back ELSE query1 - back END AS altpos, query2 + back AS altend FROM {lifts})"""
+    return f"""(SELECT *, CASE WHEN del THEN sv_end - pos ELSE altend - altpos - (sv_end - pos) END AS svlen, CASE WHEN ins THEN ref2 WHEN del THEN ref2p + bare ELSE ref1 END AS wide_from, CASE WHEN ins THEN ref1 WHEN del THEN ref1p ELSE ref2 END AS wide_to,
+      CASE WHEN ins THEN query2p WHEN del THEN query2 + bare * back ELSE query1 END AS altwide_from, CASE WHEN ins THEN query1p WHEN del THEN query1 ELSE query2 END AS altwide_to, CASE WHEN del AND pos > sv_end THEN 'POSITION' ELSE 'ok' END AS placed FROM {spots})"""
+
+
+_BREAKS = _breaks_sql(ALIGNMENTS, "ref_entry, query_entry")
+_TYPED = _typed_sql(_BREAKS)
 
 
 def breaks(s: SparkSession, d: str) -> DataFrame:
     return A.classified(A.consecutive_breaks(alignments(s, d), ["ref_entry", "query_entry"], ["ref_start", "ref_end", "align_no"]))
 
 
-add("break_detection", f"SELECT align_no, refjump, queryjump FROM {_BREAKS} b")(lambda s, d: breaks(s, d).select("align_no", "refjump", "queryjump"))
+add("break_detection", f"SELECT align_no, ref_gap, query_gap FROM {_BREAKS} b")(lambda s, d: breaks(s, d).select("align_no", "ref_gap", "query_gap"))
 add("break_types", f"SELECT align_no, svkind, svsize, repeat_bases, CASE WHEN svsize = 0 OR repeat_bases > 10 * svsize THEN 'ARTIFACT' WHEN svsize > 500 THEN 'MAXSIZE' ELSE 'ok' END AS status FROM {_TYPED} t")(
     lambda s, d: breaks(s, d).select("align_no", "svkind", "svsize", "repeat_bases", A.break_status(500).alias("status"))
 )
 add("substitution_coordinates", f"SELECT align_no, ref1 + 1 AS pos, ref2 - 1 AS sv_end, CASE WHEN comp = 1 THEN query1 - 1 ELSE query1 + 1 END AS altpos, CASE WHEN comp = 1 THEN query2 + 1 ELSE query2 - 1 END AS altend FROM {_TYPED} t WHERE svkind IN ('SUBSINS', 'SUBSDEL')")(
     lambda s, d: A.output_coordinates(breaks(s, d).where("svkind in ('SUBSINS', 'SUBSDEL')").withColumns({c: F.lit(None).cast("bigint") for c in ("ref1p", "ref2p", "query1p", "query2p")})).select("align_no", "pos", "sv_end", "altpos", "altend")
 )
-add("widened_breaks")(lambda s, d: A.output_coordinates(A.widened(breaks(s, d))).select("align_no", "svkind", "status", "pos", "sv_end", "altpos", "altend", "svlen", "wide_from", "wide_to", "altwide_from", "altwide_to"))
+add("widened_breaks", f"SELECT align_no, svkind, placed AS status, pos, sv_end, altpos, altend, svlen, wide_from, wide_to, altwide_from, altwide_to FROM {_placed_sql(_TYPED)} p")(lambda s, d: A.output_coordinates(A.widened(breaks(s, d))).select("align_no", "svkind", "status", "pos", "sv_end", "altpos", "altend", "svlen", "wide_from", "wide_to", "altwide_from", "altwide_to"))
 _INV = f"(SELECT * FROM (SELECT *, lead(ref_start) OVER w AS rs1, lead(ref_end) OVER w AS re1, lead(comp) OVER w AS c1, lead(ref_start, 2) OVER w AS rs2, lead(query_start, 2) OVER w AS qs2, lead(comp, 2) OVER w AS c2 FROM {ALIGNMENTS} a WINDOW w AS (PARTITION BY ref_entry, query_entry ORDER BY ref_start, ref_end, align_no)) WHERE comp <> c1 AND c1 <> c2)"
 add("inversions", f"SELECT align_no, ref_end AS pos, rs2 - 1 AS sv_end, svlen, ref_end - rs1 AS repeat_bases, CASE WHEN span > 0 AND 2 * abs(svlen) / span >= 0.1 THEN 'ASYMMETRIC' WHEN span > 0 AND 2 * abs(ref_end - rs1) / span >= 5.0 THEN 'REPEAT' ELSE 'ok' END AS status FROM (SELECT *, abs(rs2 - 1 - ref_end) - abs(qs2 - 1 - query_end) AS svlen, abs(rs2 - 1 - ref_end) + abs(qs2 - 1 - query_end) AS span FROM {_INV} i)")(
     lambda s, d: A.inversions(alignments(s, d), ["ref_entry", "query_entry"], ["ref_start", "ref_end", "align_no"]).select("align_no", "pos", "sv_end", "svlen", "repeat_bases", "status")
@@ -390,18 +407,44 @@ def refined(s: SparkSession, d: str) -> commands.Refined:
     return commands.refine(alignments(s, d), windows(s, d), edges, 20, 30, bin_size=1 << 12)
 
 
-add("refine_status")(lambda s, d: refined(s, d).status)
-add("refine_variants")(lambda s, d: refined(s, d).variants.select("region_id", "query_entry", "svkind", "pos", "sv_end", "svlen", "covered"))
-add("refine_coverage")(lambda s, d: refined(s, d).coverage.distinct())
+_EDGE = "(chrom IS NOT NULL AND \"start\" - 20 > 0 AND \"end\" + 20 <= 220000)"
+_SLICED = f"""pairs AS MATERIALIZED (SELECT * FROM {_SPAN} x WHERE {_EDGE}),
+  numbered AS (SELECT p.region_id, p.chrom, p."start", p."end", a.*, row_number() OVER (PARTITION BY region_id, a.query_entry ORDER BY ref_start, ref_end, align_no) AS rn FROM pairs p JOIN {ALIGNMENTS} a USING (query_entry)),
+  entered AS (SELECT *, min(CASE WHEN ref_entry = chrom AND ref_end > "start" - 20 + 29 THEN rn END) OVER (PARTITION BY region_id, query_entry) AS enter FROM numbered),
+  stopped AS (SELECT *, min(CASE WHEN ref_entry = chrom AND ref_start > "end" + 20 - 29 AND rn > enter THEN rn END) OVER (PARTITION BY region_id, query_entry) AS stop FROM entered),
+  slices AS (SELECT *, rn - enter + 1 AS n, ref_entry = chrom AND ref_start < "start" - 20 AND ref_end > "end" + 20 AS spans FROM stopped WHERE rn >= enter AND (stop IS NULL OR rn < stop OR (rn = stop AND stop - enter = 2))),
+  status AS (SELECT region_id, query_entry, n_ref, CASE WHEN broken = 0 THEN 'NOVARFOUND' WHEN n_ref > 3 THEN 'MULTIALIGNS' WHEN strands IN ('00', '11', '000', '111') THEN 'SIMPLE' WHEN strands IN ('010', '101') THEN 'INVERSION' ELSE 'OTHER' END AS status FROM (
+    SELECT region_id, query_entry, count(*) FILTER (WHERE ref_entry = chrom) AS n_ref, count(*) FILTER (WHERE ref_entry = chrom AND NOT spans) AS broken, coalesce(string_agg(CAST(comp AS VARCHAR), '' ORDER BY n) FILTER (WHERE ref_entry = chrom), '') AS strands FROM slices GROUP BY ALL)),
+  covers AS (SELECT DISTINCT chrom, ref_start AS r_start, ref_end AS r_end, query_entry, query_start, query_end FROM slices WHERE spans),
+  simple AS (SELECT s.* FROM slices s JOIN status t USING (region_id, query_entry) WHERE t.status = 'SIMPLE' AND ref_entry = chrom)"""
+_CALLED = f"(SELECT * FROM {_placed_sql('(SELECT * FROM ' + _typed_sql(_breaks_sql('simple', 'region_id, query_entry')) + ' WHERE NOT (svsize = 0 OR repeat_bases > 10 * svsize))')} WHERE placed = 'ok')"
+add("refine_status", f"WITH {_SLICED} SELECT region_id, query_entry, n_ref, status FROM status UNION ALL SELECT region_id, NULL, 0, 'CHROMEND' FROM {WINDOWS} w WHERE NOT {_EDGE} OR chrom NOT IN (SELECT ref_entry FROM {ALIGNMENTS} a)")(lambda s, d: refined(s, d).status)
+add("refine_variants", f"WITH {_SLICED} SELECT region_id, query_entry, svkind, pos, sv_end, svlen, wide_from, wide_to, altwide_from, altwide_to, EXISTS (SELECT 1 FROM covers v WHERE v.chrom = c.chrom AND r_start <= pos AND r_end >= sv_end) AS covered FROM {_CALLED} c")(
+    lambda s, d: refined(s, d).variants.select("region_id", "query_entry", "svkind", "pos", "sv_end", "svlen", "wide_from", "wide_to", "altwide_from", "altwide_to", "covered")
+)
+add("refine_coverage", f"WITH {_SLICED} SELECT * FROM covers")(lambda s, d: refined(s, d).coverage.distinct())
 _GROUPED = f"(SELECT * FROM {ALIGNMENTS} a)"
 add("longest_alignments", f"WITH a AS {_GROUPED}, p AS (SELECT DISTINCT query_entry, unnest([least(query_start, query_end), greatest(query_start, query_end)]) AS p FROM a), best AS (SELECT DISTINCT arg_min(align_no, (lo - hi, align_no)) AS align_no FROM p JOIN (SELECT query_entry, align_no, least(query_start, query_end) AS lo, greatest(query_start, query_end) AS hi FROM a) x ON x.query_entry = p.query_entry AND lo <= p AND p <= hi GROUP BY p.query_entry, p) SELECT align_no, align_no NOT IN (SELECT align_no FROM best) AS redundant FROM a")(
     lambda s, d: V.longest_at_endpoints(alignments(s, d), "query_entry", "query_start", "query_end", "align_no", 1 << 11).select("align_no", "redundant")
 )
 add("end_alignments", f"WITH a AS (SELECT *, ref_start = 1 AND query_start = 1 AS l, ref_end = ref_len AND query_end = query_len AS r, mismatches / list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MID]', 1), lambda x: CAST(x AS BIGINT))) AS rate FROM {ALIGNMENTS} a) SELECT ref_entry, query_entry, arg_max(align_no, (rate, align_no)) FILTER (WHERE l) AS left_align, arg_max(align_no, (rate, align_no)) FILTER (WHERE r) AS right_align, bool_or(l AND r) AS end_to_end FROM a GROUP BY ALL")(lambda s, d: commands.end_alignments(alignments(s, d)))
-add(
-    "liftover",
-    f"SELECT align_no, CASE WHEN comp = 1 THEN query_start - 25 ELSE query_start + 25 END AS query_pos FROM {ALIGNMENTS} a WHERE CAST(regexp_extract(cigar, '^(\\d+)M', 1) AS BIGINT) > 25",
-)(lambda s, d: alignments(s, d).where(F.regexp_extract("cigar", r"^(\d+)M", 1).cast("bigint") > 25).select("align_no", C.lift_to_query("cigar", "ref_start", "query_start", "query_end", F.col("ref_start") + 25).alias("query_pos")))
+
+
+
+
+_SPOTS = ("ref_start", "ref_start + CAST(l AS BIGINT) * 30 + 2", "ref_end", "ref_end + 9")
+add("liftover", f"SELECT align_no, {', '.join(f'{_lift_sql(str(i), p, False)} AS q{i}' for i, p in enumerate(_SPOTS))}, {_lift_sql('r', 'query_end', True)} AS r0, {_lift_sql('r', 'query_start', True)} AS r1 FROM (SELECT *, CAST(regexp_extract(cigar, '^(\\d+)M', 1) AS BIGINT) / 30 AS l FROM {ALIGNMENTS} a)")(lambda s, d: _lifted(alignments(s, d)))
+
+
+def _lifted(rows: DataFrame) -> DataFrame:
+    """Four places of the reference on the query, the gap and one beyond the end among them, and both ends of the query on the reference."""
+    parsed = rows.withColumn("ops", C.parse(F.col("cigar")))
+    gap = F.col("ref_start") + F.element_at("ops", 1)["n"] + 2
+    spots = (F.col("ref_start"), gap, F.col("ref_end"), F.col("ref_end") + 9)
+    place = ("ops", "ref_start", "query_start", "query_end")
+    return parsed.select("align_no", *(C.lift_to_query(*place, p).alias(f"q{i}") for i, p in enumerate(spots)), *(C.lift_to_ref(*place, F.col(c)).alias(f"r{i}") for i, c in enumerate(("query_end", "query_start"))))
+
+
 add("cigar_stats", f"SELECT align_no, CAST(list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MID]', 1), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS columns_, CAST(coalesce(list_max(list_transform(regexp_extract_all(cigar, '(\\d+)M', 1), lambda x: CAST(x AS INT))), 0) AS INT) AS longest_m, round(mismatches / list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MID]', 1), lambda x: CAST(x AS BIGINT))), 9) AS rate FROM {ALIGNMENTS} a")(
     lambda s, d: alignments(s, d).withColumn("ops", C.parse(F.col("cigar"))).select("align_no", C.total(F.col("ops"), "MID").alias("columns_"), C.longest(F.col("ops"), "M").alias("longest_m"), F.round(C.mismatch_rate(F.col("mismatches"), F.col("ops")), 9).alias("rate"))
 )
@@ -435,13 +478,13 @@ add("fasta_wrap", "SELECT row_id, regexp_replace(regexp_replace(trim(alt_allele)
 
 def _slices(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").where("length(text) > 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), "text", "doc_id")
-    return fasta.slicer(fasta.chunk_text(docs, "chrom", "text"))(docs, "chrom", F.lit(3), F.lit(40), "part").select("doc_id", "part")
+    return fasta.slicer(fasta.chunk_text(docs, "chrom", "text", 16), 16)(docs, "chrom", F.lit(3), F.lit(40), "part").select("doc_id", "part")
 
 
 add("fasta_slice", "SELECT doc_id, substr(text, 3, 38) AS part FROM documents WHERE length(text) > 0")(_slices)
-add("repeat_alias")(lambda s, d: table(s, d, "svcalls").where(F.trim("alt_allele").rlike(r"^[ACGTNacgtn]+\z")).select("row_id", S.repeat_alias_udf(F.upper(F.trim("alt_allele"))).alias("alias")))
-add("shift_indels")(
-    lambda s, d: calls(s, d).where(F.col("ref").rlike(r"^[ACGTNacgtn]+\z") & F.col("alt").rlike(r"^[ACGTNacgtn]+\z")).select("row_id", S.shift_indel_udf(F.lit("ACACAC"), F.upper("ref"), F.upper("alt"), F.lit("ACACGT")).alias("x")).select("row_id", "x.*")
+_ALT = "(SELECT row_id, upper(trim(alt_allele)) AS a FROM svcalls WHERE regexp_full_match(trim(alt_allele), '[ACGTNacgtn]+'))"
+add("repeat_alias", f"SELECT row_id, CASE WHEN length(a) // p = 1 THEN a ELSE (length(a) // p) || '(' || a[1:p] || ')' || a[p * (length(a) // p) + 1:] END AS alias FROM (SELECT row_id, a, list_filter(range(1, length(a) + 1), lambda k: k = length(a) OR a[k + 1:] = a[1:length(a) - k])[1] AS p FROM {_ALT} x)")(
+    lambda s, d: table(s, d, "svcalls").where(F.trim("alt_allele").rlike(r"^[ACGTNacgtn]+\z")).select("row_id", S.repeat_alias_udf(F.upper(F.trim("alt_allele"))).alias("alias"))
 )
 add("natural_chrom_order", "SELECT chrom, ord, row_number() OVER (ORDER BY TRY_CAST(chrom AS INT) IS NULL, TRY_CAST(chrom AS INT), chrom) AS natural_rank FROM ref_contigs")(
     lambda s, d: _ranked(table(s, d, "ref_contigs").select("chrom", "ord"))
@@ -472,43 +515,36 @@ add("date_ordinals", "SELECT event_id, CAST(date_diff('day', DATE '1997-01-07',
 _WIDE = f"(SELECT row_id, line_no, file AS sample, regexp_extract(info, 'REFWIDENED=([^:;]+):(\\d+)-(\\d+)', 1) AS chrom, CAST(regexp_extract(info, 'REFWIDENED=([^:;]+):(\\d+)-(\\d+)', 2) AS BIGINT) AS wide_start, CAST(regexp_extract(info, 'REFWIDENED=([^:;]+):(\\d+)-(\\d+)', 3) AS BIGINT) AS wide_end, {_SVTYPE} AS svtype, {_SVLEN} AS svlen, side FROM {CALLS} c WHERE regexp_matches(info, 'REFWIDENED=([^:;]+):(\\d+)-(\\d+)') AND {_SVTYPE} IS NOT NULL AND {_SVLEN} IS NOT NULL)"
 
 
+_SIZED = f"(SELECT w.*, v.reflength, v.altlength FROM {_WIDE} w JOIN {SVS} v USING (row_id))"
+
+
 def wide_calls(s: SparkSession, d: str) -> DataFrame:
     rows = vcf.genotypable(vcf.normalized(calls(s, d))).where("status = 'ok'")
     return rows.select(F.col("row_id").alias("target_id"), F.col("row_id").cast("string").alias("contig"), "line_no", F.col("file").alias("sample"), F.col("widened.chrom").alias("chrom"), F.col("widened.start").alias("wide_start"), F.col("widened.end").alias("wide_end"), F.col("widemean").alias("wide_mean"), "svtype", "svlen", "side", "pos", "end", "ref", "alt", "reflength", "altlength", "deleted_to")
 
 
-add("genotype_exact", f"SELECT DISTINCT a.row_id AS target_id, b.sample, CAST(b.row_id AS VARCHAR) AS contig FROM {_WIDE} a JOIN {_WIDE} b USING (chrom, wide_start, wide_end, svtype, svlen) WHERE a.side = 0 AND b.side = 1")(
-    lambda s, d: G.exact_genotypes(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1")).select("target_id", "sample", "contig")
-)
-add("genotype_nearby", f"WITH a AS (SELECT * FROM {_WIDE} x WHERE side = 0), b AS (SELECT * FROM {_WIDE} y WHERE side = 1) SELECT DISTINCT a.row_id AS target_id, b.sample, CAST(b.row_id AS VARCHAR) AS contig FROM a JOIN b ON a.chrom = b.chrom AND abs((a.wide_start + a.wide_end) / 2 - (b.wide_start + b.wide_end) / 2) < 100 AND NOT EXISTS (SELECT 1 FROM b e WHERE e.sample = b.sample AND e.chrom = a.chrom AND e.wide_start = a.wide_start AND e.wide_end = a.wide_end AND e.svtype = a.svtype AND e.svlen = a.svlen)")(
-    lambda s, d: (lambda a, b: G.any_nearby(G.nearby_pairs(a, b, 100, G.exact_genotypes(a, b))).select("target_id", "sample", "contig"))(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1"))
+add("genotype_exact", f"SELECT DISTINCT a.row_id AS target_id, b.sample, CAST(b.row_id AS VARCHAR) AS contig FROM {_WIDE} a JOIN {_WIDE} b USING (chrom, wide_start, wide_end, svtype, svlen)")(
+    lambda s, d: G.exact_genotypes(wide_calls(s, d), wide_calls(s, d)).select("target_id", "sample", "contig")
 )
-add("genotype_nearby_whole")(
-    lambda s, d: (lambda a, b: G.nearby_genotypes(a, b, commands.BACK_DIST, G.exact_genotypes(a, b)).select("target_id", "sample", "contig"))(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1"))
+_NEAR_MATCH = f"""(SELECT target_id, sample, arg_min(contig, (line_no, contig)) AS contig FROM (
+  SELECT a.row_id AS target_id, b.sample, b.line_no, CAST(b.row_id AS VARCHAR) AS contig, abs((a.altlength - a.reflength) - (b.altlength - b.reflength)) AS gap, (greatest(a.reflength, a.altlength) + greatest(b.reflength, b.altlength)) / 2.0 AS shared
+  FROM (SELECT * FROM {_SIZED} x WHERE side = 0) a JOIN (SELECT * FROM {_SIZED} y WHERE side = 1) b ON a.chrom = b.chrom AND abs((a.wide_start + a.wide_end) / 2 - (b.wide_start + b.wide_end) / 2) < {BACK}
+  WHERE NOT EXISTS (SELECT 1 FROM {_WIDE} e WHERE e.side = 1 AND e.sample = b.sample AND e.chrom = a.chrom AND e.wide_start = a.wide_start AND e.wide_end = a.wide_end AND e.svtype = a.svtype AND e.svlen = a.svlen))
+  WHERE gap <= shared GROUP BY target_id, sample)"""
+add("genotype_nearby", f"SELECT target_id, sample, contig FROM {_NEAR_MATCH} n")(
+    lambda s, d: (lambda a, b: G.nearby_genotypes(a, b, BACK, G.exact_genotypes(a, b)).select("target_id", "sample", "contig"))(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1"))
 )
-add("genotype_reference", f"SELECT DISTINCT row_id AS target_id, h.sample, contig FROM {_WIDE} a JOIN {_STRETCH} h ON a.chrom = h.chrom AND h.hr_start < wide_start AND h.hr_end > wide_end")(
+add("genotype_reference", f"SELECT target_id, sample, contig FROM (SELECT DISTINCT row_id AS target_id, h.sample, contig, hr_start, hr_end FROM {_WIDE} a JOIN {_STRETCH} h ON a.chrom = h.chrom AND h.hr_start < wide_start AND h.hr_end > wide_end)")(
     lambda s, d: G.reference_alleles(wide_calls(s, d), stretches(s, d)).select("target_id", "sample", "contig")
 )
-add("genotype_strings", f"SELECT row_id AS target_id, sample, array_to_string(list_transform(list_distinct(list(coalesce(contig, '?'))), lambda x: '0'), '/') AS genotype FROM (SELECT DISTINCT a.row_id, h.sample, contig FROM {_WIDE} a JOIN {_STRETCH} h ON a.chrom = h.chrom AND h.hr_start < wide_start AND h.hr_end > wide_end) GROUP BY ALL")(
-    lambda s, d: G.genotype_strings(G.reference_alleles(wide_calls(s, d), stretches(s, d)))
-)
-_BACK = f"""WITH a AS (SELECT * FROM {_WIDE} x WHERE side = 0), b AS (SELECT * FROM {_WIDE} y WHERE side = 1),
-  exact AS (SELECT DISTINCT a.row_id AS target_id, b.sample, b.row_id AS contig FROM a JOIN b USING (chrom, wide_start, wide_end, svtype, svlen)),
-  near AS (SELECT DISTINCT a.row_id AS target_id, b.sample, b.row_id AS contig FROM a JOIN b ON a.chrom = b.chrom AND abs((a.wide_start + a.wide_end) / 2 - (b.wide_start + b.wide_end) / 2) < 100 ANTI JOIN exact e ON e.target_id = a.row_id AND e.sample = b.sample),
-  ref AS (SELECT DISTINCT a.row_id AS target_id, h.sample, contig FROM a JOIN {_STRETCH} h ON a.chrom = h.chrom AND h.hr_start < wide_start AND h.hr_end > wide_end),
-  alleles AS (SELECT target_id, sample, '1' AS allele FROM exact UNION ALL SELECT target_id, sample, '1' FROM near UNION ALL SELECT target_id, sample, '0' FROM ref)
-  SELECT target_id, sample, string_agg(allele, '/' ORDER BY allele) AS genotype FROM alleles GROUP BY ALL"""
-
-
-def _back_near(s: SparkSession, d: str) -> DataFrame:
-    """As the SQL has it: any variant less than 100 bases away counts."""
-    a, b = wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1")
-    exact = G.exact_genotypes(a, b)
-    return G.genotype_strings(exact.unionByName(G.any_nearby(G.nearby_pairs(a, b, 100, exact))).unionByName(G.reference_alleles(a, stretches(s, d))))
-
-
-add("back_genotype", _BACK)(_back_near)
-add("back_genotype_whole")(lambda s, d: commands.back_genotype(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1"), stretches(s, d), None))
+_REF = f"(SELECT DISTINCT a.row_id AS target_id, side, h.sample, contig, hr_start, hr_end FROM {_WIDE} a JOIN {_STRETCH} h ON a.chrom = h.chrom AND h.hr_start < wide_start AND h.hr_end > wide_end)"
+_STRINGS = f"(SELECT target_id, sample, string_agg('0', '/') AS genotype, string_agg('H', ',') AS kinds FROM {_REF} r GROUP BY ALL)"
+add("genotype_strings", f"SELECT target_id, sample, genotype, kinds FROM {_STRINGS} g")(lambda s, d: G.genotype_strings(G.reference_alleles(wide_calls(s, d), stretches(s, d))))
+_BACK = f"""WITH own AS (SELECT row_id AS target_id, sample FROM {_WIDE} x WHERE side = 0),
+  exact AS (SELECT DISTINCT a.row_id AS target_id, b.sample, b.row_id AS contig FROM {_WIDE} a JOIN {_WIDE} b USING (chrom, wide_start, wide_end, svtype, svlen) WHERE a.side = 0 AND b.side = 1),
+  alleles AS (SELECT target_id, sample, '1' AS allele, 'H' AS kind FROM own UNION ALL SELECT target_id, sample, '1', 'H' FROM exact UNION ALL SELECT target_id, sample, '1', 'L' FROM {_NEAR_MATCH} n UNION ALL SELECT target_id, sample, '0', 'H' FROM {_REF} r WHERE side = 0)
+  SELECT target_id, sample, string_agg(allele, '/' ORDER BY allele, kind) AS genotype, string_agg(kind, ',' ORDER BY allele, kind) AS kinds FROM alleles GROUP BY ALL"""
+add("back_genotype", _BACK)(lambda s, d: commands.back_genotype(wide_calls(s, d).where("side = 0"), wide_calls(s, d).where("side = 1"), stretches(s, d), None))
 _GENO = "(SELECT CAST(user_id AS BIGINT) AS locus, event_type AS source, CAST(event_id AS VARCHAR) AS read_name, CASE WHEN event_id % 3 = 0 THEN 'A' ELSE 'C' END AS allele1, CASE WHEN event_id % 4 = 0 THEN 'A' ELSE 'C' END AS allele2, event_id % 50 AS score FROM events)"
 
 
@@ -526,7 +562,7 @@ add("polymorphism_scores", f"SELECT locus, max(CASE WHEN NOT (allele1 = 'A' AND
 add("alleles_seen", f"SELECT locus, string_agg(DISTINCT a, '' ORDER BY a) AS alleles FROM (SELECT locus, unnest([allele1, allele2]) AS a FROM {_GENO} g) GROUP BY locus")(
     lambda s, d: G.alleles_seen(genotypes(s, d)).select("locus", F.array_join("alleles", "").alias("alleles"))
 )
-add("relational_polymorphisms", "SELECT o_orderkey, c_name, n_name, r_name, p_name, s_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 1 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")(
+add("relational_polymorphisms", "SELECT o_orderkey, l_linenumber, c_name, n_name, r_name, p_name, s_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")(
     lambda s, d: _relational(s, d)
 )
 
@@ -537,8 +573,8 @@ def _relational(s: SparkSession, d: str) -> DataFrame:
     return (
         t("orders").join(rich, "o_custkey", "left_semi")
         .join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
-        .join(t("lineitem").where("l_linenumber = 1"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("p_partkey") == F.col("l_partkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-        .select("o_orderkey", "c_name", "n_name", "r_name", "p_name", "s_name")
+        .join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("p_partkey") == F.col("l_partkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+        .select("o_orderkey", "l_linenumber", "c_name", "n_name", "r_name", "p_name", "s_name")
     )
 
 
@@ -547,11 +583,6 @@ def _relational(s: SparkSession, d: str) -> DataFrame:
 add("flat_table", f"SELECT row_id, chrom, pos, length(ref) AS ref, length(alt) AS alt, list_filter(list_transform(string_split(info, ';'), lambda x: trim(x)), lambda x: starts_with(x, 'SVTYPE=') AND len(string_split(x, '=')) = 2)[-1][8:] AS svtype FROM {CALLS} c")(
     lambda s, d: sinks.flat_table(calls(s, d), ["SVTYPE"], keep=["row_id"]).select("row_id", "chrom", "pos", "ref", "alt", F.col("SVTYPE").alias("svtype"))
 )
-add("genotype_pivot", f"WITH g AS (SELECT row_id AS target_id, sample, array_to_string(list_transform(list_distinct(list(coalesce(contig, '?'))), lambda x: '0'), '/') AS genotype FROM (SELECT DISTINCT a.row_id, h.sample, contig FROM {_WIDE} a JOIN {_STRETCH} h ON a.chrom = h.chrom AND h.hr_start < wide_start AND h.hr_end > wide_end) GROUP BY ALL) SELECT target_id, coalesce(max(CASE WHEN sample = 'NX-00000' THEN genotype END), '.') AS first_sample, coalesce(max(CASE WHEN sample = 'NX-00001' THEN genotype END), '.') AS second_sample FROM g GROUP BY target_id")(
-    lambda s, d: G.genotype_table(G.genotype_strings(G.reference_alleles(wide_calls(s, d), stretches(s, d))), ["NX-00000", "NX-00001"]).select("target_id", F.col("NX-00000").alias("first_sample"), F.col("NX-00001").alias("second_sample"))
-)
-
-
 def _pivot(s: SparkSession, d: str) -> DataFrame:
     """A row for each target and a column for each sample that has stretches; ``.`` where nothing is known."""
     rows, known = wide_calls(s, d), stretches(s, d)
@@ -560,38 +591,38 @@ def _pivot(s: SparkSession, d: str) -> DataFrame:
     return rows.select("target_id").join(found, "target_id", "left").na.fill(".", samples)
 
 
-add("genotype_pivot_whole")(_pivot)
+add("genotype_pivot", f"SELECT * REPLACE (CAST(target_id AS BIGINT) AS target_id) FROM (PIVOT (SELECT w.row_id AS target_id, coalesce(s.sample, h.sample) AS sample, coalesce(s.genotype, '.') AS genotype FROM (SELECT row_id FROM {_WIDE} w) w JOIN (SELECT DISTINCT sample FROM {_STRETCH} t WHERE sample IS NOT NULL) h ON true LEFT JOIN {_STRINGS} s ON s.target_id = w.row_id AND s.sample = h.sample) ON sample USING first(genotype) GROUP BY target_id)")(_pivot)
 add("last_genotypes", f"SELECT locus, source AS read_name, max(score) AS score FROM {_GENO} g WHERE (locus, source, CAST(read_name AS BIGINT)) IN (SELECT (locus, source, max(CAST(read_name AS BIGINT))) FROM {_GENO} h GROUP BY locus, source) GROUP BY ALL")(
     lambda s, d: G.last_genotypes(genotypes(s, d).withColumns({"order": F.col("read_name").cast("bigint"), "read_name": F.col("source")}), "order").select("locus", "read_name", "score")
 )
-add("haplotype_build", "SELECT doc_id, concat(substr(text, 11, 0), 'GGG', substr(text, 14, 12)) AS hap_a, concat(substr(text, 11, 10), 'T', substr(text, 26, 0)) AS hap_b FROM documents WHERE length(text) >= 30")(lambda s, d: _haplotypes(s, d))
-
-
-def _haplotypes(s: SparkSession, d: str) -> DataFrame:
-    """Two variants in the text of every document: three letters at 11 replaced, five at 21 deleted but for one."""
-    docs = table(s, d, "documents").where("length(text) >= 30").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("a_chrom"), "text", "doc_id")
-    big = lambda n: F.lit(n).cast("bigint")
-    pairs = docs.withColumns({"b_chrom": F.col("a_chrom"), "a_pos": big(11), "a_end": big(13), "a_alt": F.lit("GGG"), "b_pos": big(21), "b_end": big(25), "b_alt": F.lit("T")})
-    return D.haplotypes(pairs, fasta.slicer(fasta.chunk_text(docs, "a_chrom", "text"))).select("doc_id", "hap_a", "hap_b")
-
-
 add("vcf_text", f"SELECT row_id, concat_ws(chr(9), coalesce(chrom, '.'), coalesce(CAST(pos AS VARCHAR), '.'), coalesce(id, '.'), coalesce(ref, '.'), coalesce(alt, '.'), '.', coalesce(filter, '.'), coalesce(info, '.'), format, genotype) AS line FROM {CALLS} c")(
     lambda s, d: sinks.vcf_lines(calls(s, d).withColumns({"qual": F.lit(None).cast("string"), "samples": F.filter("samples", lambda x: x.isNotNull())}), ["row_id"])
 )
-add("distance_text")(lambda s, d: sinks.distance_lines(distances(s, d)))
-add("report_text", _COUNTS + " SELECT concat('Recall: ', printf('%5.2f', 100 * recall_), '%', chr(10), 'Precision: ', printf('%5.2f', 100 * precision_), '%') AS report FROM (SELECT *, ptp / (ptp + fp) AS precision_, dtp / (dtp + fn) AS recall_ FROM t, u)")(lambda s, d: _report(benchmarked(s, d).metrics))
-add("report_text_whole")(lambda s, d: _report(benchmarked(s, d, BENCHMARK).metrics))
-add("merged_info")(lambda s, d: _merged(s, d))
-
-
-def _report(metrics: DataFrame) -> DataFrame:
-    shown = lambda c: F.coalesce(F.format_string("%5.2f", 100 * F.col(c)), F.lit("NaN"))
-    return metrics.select(F.concat_ws("\n", F.concat(F.lit("Recall: "), shown("recall"), F.lit("%")), F.concat(F.lit("Precision: "), shown("precision"), F.lit("%"))).alias("report"))
+_G = lambda c: f"CASE WHEN {c} IS NULL THEN 'NA' ELSE printf('%.15g', CAST({c} AS DOUBLE)) END"
+_USABLE = lambda c: f"CASE WHEN edit_distance >= 0 THEN {c} END"
+_SHOWN = [_G(_USABLE(c) if c in ("relshift", "relsizediff", "reldist", "subsdist", "indeldist") else c) for c in tabular.DISTANCE_NAMES[2:]]
+add("distance_text", f"SELECT concat_ws(chr(9), 'DIST', id1, id2, {', '.join(_SHOWN)}) AS line FROM dist_pairs WHERE id1 IS NOT NULL AND id2 IS NOT NULL AND id1 NOT IN ('', '.', 'NA') AND id2 NOT IN ('', '.', 'NA')")(lambda s, d: sinks.distance_lines(distances(s, d)))
+add(
+    "report_text",
+    _COUNTS + """ SELECT concat_ws(chr(10), 'Number of true variants found: ' || dtp, 'Number of true variants missed: ' || fn, 'Number of test variants that match: ' || ptp, 'Number of test variants that don''t: ' || fp,
+      'Recall: ' || printf('%5.2f', 100 * recall_) || '%', 'Precision: ' || printf('%5.2f', 100 * precision_) || '%', 'F1: ' || printf('%.15g', 2 * precision_ * recall_ / (precision_ + recall_))) AS report
+      FROM (SELECT *, ptp / (ptp + fp) AS precision_, dtp / (dtp + fn) AS recall_ FROM t, u)""",
+)(lambda s, d: s.createDataFrame([("\n".join(scoring.report_lines(benchmarked(s, d).metrics.first())),)], "report string"))
+add(
+    "merged_info",
+    _REACH + f""", n AS (SELECT cluster, exact, count(*) AS k FROM members GROUP BY ALL), rep AS (SELECT cluster, arg_min(exact, (-k, exact)) AS rep, CAST(sum(k) AS BIGINT) AS n_calls, max(k) AS n_exact FROM n GROUP BY cluster),
+      l AS (SELECT cluster, rep, n_calls, n_exact, string_agg(id, ':' ORDER BY id) AS member_ids, string_agg(CASE WHEN exact = rep THEN id END, ':' ORDER BY id) AS exact_ids FROM members JOIN rep USING (cluster) GROUP BY ALL),
+      m AS (SELECT cluster, max(abs(relshift)) AS a, max(abs(relsizediff)) AS b, max(abs(reldist)) AS c FROM good JOIN members ON id = id1 WHERE linked GROUP BY cluster),
+      f AS (SELECT id, arg_min(list_filter(string_split(info, ';'), lambda x: string_split(trim(x), '=')[1] IN ('SVTYPE', 'SVLEN', 'END')), row_id) AS kept, min(row_id) AS first_row FROM (SELECT id, row_id, coalesce(info, '') AS info FROM {CALLS} c WHERE id IS NOT NULL) GROUP BY id)
+      SELECT f.id, array_to_string(list_concat(kept, ['ClusterIDs=' || member_ids, 'NumClusterSVs=' || n_calls, 'ExactMatchIDs=' || exact_ids, 'NumExactMatchSVs=' || n_exact,
+        'ClusterMaxShiftDist=' || printf('%.15g', coalesce(a, 0)), 'ClusterMaxSizeDiff=' || printf('%.15g', coalesce(b, 0)), 'ClusterMaxEditDist=' || printf('%.15g', coalesce(c, 0))]), ';') AS info
+      FROM l JOIN f ON f.id = l.rep LEFT JOIN m USING (cluster)""",
+)(lambda s, d: _merged(s, d))
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:
     members, rows = _members(s, d)
-    chosen = K.cluster_sizes(members).join(K.cluster_lists(members), "cluster").join(K.cluster_distances(members, rows, D.classic_match()), "cluster", "left").na.fill(0.0, ["max_shift", "max_size", "max_edit"])
+    chosen = K.cluster_sizes(members).join(K.cluster_lists(members), "cluster").join(K.cluster_distances(members, rows, D.classic_match()), "cluster", "left").na.fill(0.0, list(K.MAXIMA))
     keys = F.array(F.lit("SVTYPE"), F.lit("SVLEN"), F.lit("END"))
     found = chosen.join(K.first_by(calls(s, d), ["id"], ["row_id"]).select("id", "info"), F.col("id") == F.col("representative"))
     return found.select("id", sinks.merged_info(F.col("info"), keys).alias("info"))

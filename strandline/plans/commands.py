@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import cigar as C
 from strandline.functions import info as I
-from strandline.functions.sequence import shift_indel_udf
+from strandline.functions.sequence import repeat_extents_udf, trim_alleles
 from strandline.operators import alignments as A
 from strandline.operators import clusters as K
 from strandline.operators import distances as D
@@ -56,22 +56,27 @@ class BenchmarkParams:
         return D.classic_match(self.shift, self.size, self.dist)
 
 
+def filtered(records: DataFrame, filter_value: str | None) -> DataFrame:
+    """Records with one value of FILTER; all without one."""
+    return records if filter_value is None else records.where(F.col("filter") == filter_value)
+
+
 def prepared(records: DataFrame, prefix: str, filter_value: str | None, regions: DataFrame | None) -> DataFrame:
     """Sequence-specific records with a unique ``key`` (file and line), restricted to a FILTER value and to regions."""
-    rows = records if filter_value is None else records.where(F.col("filter") == filter_value)
-    svs = vcf.normalized(rows).where("status = 'ok' and pos > 0").withColumn("key", F.concat_ws(":", "file", F.col("line_no").cast("string")))
+    svs = vcf.normalized(filtered(records, filter_value)).where("status = 'ok' and pos > 0").withColumn("key", F.concat_ws(":", "file", F.col("line_no").cast("string")))
     if regions is not None:
         svs = V.touching(svs, regions, ["key"])
     return vcf.with_running_ids(svs, prefix, ["chrom", "pos", "key"])
 
 
 def benchmark(test: DataFrame, truth: DataFrame, slices: Slices, params: BenchmarkParams = BenchmarkParams(), regions: DataFrame | None = None, distances: DataFrame | None = None) -> Benchmark:
-    """Scores test records against truth records. Distances may be given, by ids."""
+    """Scores test records against truth records. Distances may be given, by ids; else the result has those of all pairs that were aligned."""
     mine, theirs = prepared(test, "testsv", params.test_filter, regions), prepared(truth, "truesv", params.truth_filter, regions)
     mine, theirs = durable(vcf.with_deleted_bases(mine, slices), "test"), durable(vcf.with_deleted_bases(theirs, slices), "truth")
     if distances is None:
         pairs = band_join(_side(mine, "a", "key"), _side(theirs, "b", "key"), ["chrom"], "a_pos", "b_pos", params.max_dist, extra=D.potential_match())
-        found = pair_distances(pairs, slices).where(params.accepted()).select(F.col("a_key").alias("test_key"), F.col("b_key").alias("truth_key"))
+        distances = durable(pair_distances(pairs, slices), "distances")
+        found = distances.where(params.accepted()).select(F.col("a_key").alias("test_key"), F.col("b_key").alias("truth_key"))
     else:
         rows = distances.where(params.accepted()).select("id1", "id2")
         rows = rows.join(mine.select(F.col("id").alias("id1"), F.col("key").alias("test_key")), "id1").join(theirs.select(F.col("id").alias("id2"), F.col("key").alias("truth_key")), "id2")
@@ -82,7 +87,7 @@ def benchmark(test: DataFrame, truth: DataFrame, slices: Slices, params: Benchma
         mine = read_support(mine, params.min_read_support)
     if params.min_read_fraction is not None:
         mine = read_fraction(mine, params.min_read_fraction)
-    return score(mine, theirs, durable(found.distinct(), "matches"), "key")
+    return replace(score(mine, theirs, durable(found.distinct(), "matches"), "key"), distances=distances)
 
 
 @dataclass(frozen=True)
@@ -95,16 +100,26 @@ class MergeParams:
     max_subs_rate: float | None = None
     max_indel_rate: float | None = None
 
+    def by_rates(self) -> bool:
+        return self.max_subs_rate is not None and self.max_indel_rate is not None
+
     def accepted(self) -> Column:
-        if self.max_subs_rate is not None and self.max_indel_rate is not None:
-            return D.rate_match(self.max_subs_rate, self.max_indel_rate)
-        return D.classic_match(self.shift, self.size, self.dist)
+        return D.rate_match(self.max_subs_rate, self.max_indel_rate) if self.by_rates() else D.classic_match(self.shift, self.size, self.dist)
+
+
+@dataclass(frozen=True)
+class Merged:
+    """The clusters' rows, and the distances they rest on."""
+
+    clusters: DataFrame
+    distances: DataFrame
 
 
-def merge(records: DataFrame, slices: Slices, params: MergeParams = MergeParams(), distances: DataFrame | None = None) -> DataFrame:
+def merge(records: DataFrame, slices: Slices, params: MergeParams = MergeParams(), distances: DataFrame | None = None, delimiter: str = ":", seqspecific: bool = False) -> Merged:
     """One row for each cluster of equivalent calls of several files (and each call outside the graph): the representative's record, the cluster's sizes, member lists and largest distances.
 
-    An id that comes twice is an error.
+    An id that comes twice is an error. With ``seqspecific`` the calls outside the graph don't come. Under the rate rule the largest distances are ``max_subs``
+    and ``max_indel``.
     """
     svs = durable(vcf.with_deleted_bases(vcf.normalized(records, params.min_size), slices), "svs")
     twice = svs.groupBy("id").count().where("count > 1").limit(1).collect()
@@ -116,11 +131,12 @@ def merge(records: DataFrame, slices: Slices, params: MergeParams = MergeParams(
         pairs = pairs.withColumnsRenamed({"a_c": "a_chrom", "b_c": "b_chrom"}).where(D.potential_match(params.size, params.shift))
         distances = durable(pair_distances(pairs, slices), "distances")
     members = durable(K.cluster_calls(nodes.select("id"), distances, params.accepted()), "members")
-    chosen = K.cluster_sizes(members).join(K.cluster_lists(members), "cluster").join(K.cluster_distances(members, distances, params.accepted()), "cluster", "left")
-    chosen = chosen.na.fill(0.0, ["max_shift", "max_size", "max_edit"]).withColumnRenamed("representative", "id")
-    alone = K.unclustered(svs, members).where("not in_graph").select("id")
+    chosen = K.cluster_sizes(members).join(K.cluster_lists(members, delimiter), "cluster").join(K.cluster_distances(members, distances, params.accepted(), params.by_rates()), "cluster", "left")
+    largest = K.RATE_MAXIMA if params.by_rates() else K.MAXIMA
+    chosen = chosen.na.fill(0.0, list(largest)).withColumnRenamed("representative", "id")
+    alone = K.unclustered(svs, members).where(~F.col("in_graph") & F.lit(not seqspecific)).select("id")
     picked = chosen.unionByName(alone.withColumns({"n_calls": F.lit(1).cast("bigint"), "n_exact": F.lit(1).cast("bigint"), "member_ids": F.col("id"), "exact_ids": F.col("id")}), allowMissingColumns=True)
-    return records.join(picked.drop("cluster"), "id")
+    return Merged(records.join(picked.drop("cluster"), "id"), distances)
 
 
 def compare_in_order(first: DataFrame, second: DataFrame, slices: Slices | None = None, ignore_length: bool = False, pair: tuple[str, ...] = (), order: tuple[str, ...] = ("line_no",), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -147,6 +163,8 @@ def compare_in_order(first: DataFrame, second: DataFrame, slices: Slices | None
 
 @dataclass(frozen=True)
 class Refined:
+    """``inversions`` hold those that failed the symmetry rules too, by ``status``."""
+
     variants: DataFrame
     inversions: DataFrame
     coverage: DataFrame
@@ -160,18 +178,19 @@ def refine(alignments: DataFrame, regions: DataFrame, contigs: DataFrame, buffer
     usable = inside.where("status = 'ok'").drop("status")
     pairs = durable(V.spanning_pairs(usable, alignments, buffer, segment, bin_size), "pairs")
     needed = alignments.select("align_no", "ref_entry", "query_entry", "ref_start", "ref_end", "query_start", "query_end", "comp", "cigar")
-    slices = durable(A.spanning(A.region_slices(pairs, needed, buffer, segment), buffer), "slices")
+    slices = durable(A.spanning(A.region_slices(pairs, needed, buffer, segment, bin_size), buffer), "slices")
     status = A.region_status(slices)
     on = slices.where("ref_entry = chrom")
     coverage = on.where("spans").select("chrom", F.col("ref_start").alias("r_start"), F.col("ref_end").alias("r_end"), "query_entry", "query_start", "query_end")
     simple = on.join(status.where("status = 'SIMPLE'").select("region_id", "query_entry"), ["region_id", "query_entry"])
     breaks = A.classified(A.consecutive_breaks(simple, ["region_id", "query_entry"], ["ref_start", "ref_end", "align_no"])).withColumn("status", A.break_status(max_size))
     called = durable(A.output_coordinates(A.widened(breaks.where("status = 'ok'"))), "called")
-    flagged = V.covered_flags(called.where("status = 'ok'").withColumn("_k", F.xxhash64("region_id", "query_entry", "ref1", "ref2", "query1", "query2")), coverage.select("chrom", "r_start", "r_end"), ["_k"], "pos", "sv_end").drop("_k")
     turned = on.join(status.where("status = 'INVERSION'").select("region_id", "query_entry"), ["region_id", "query_entry"])
     unseen = V.uncovered(usable, pairs)
     chrom_end = inside.where("status = 'chromend'").select("region_id", F.lit(None).cast("string").alias("query_entry"), F.lit(0).cast("bigint").alias("n_ref"), F.lit("CHROMEND").alias("status"))
-    return Refined(flagged, A.inversions(turned, ["region_id", "query_entry"], ["n"]), coverage, unseen, status.unionByName(chrom_end))
+    flags = lambda rows: V.covered_flags(rows.withColumn("_k", F.xxhash64("region_id", "query_entry", "pos", "sv_end", "altpos", "altend")), coverage.select("chrom", "r_start", "r_end"), ["_k"], "pos", "sv_end").drop("_k")
+    inverted = durable(A.inversions(turned, ["region_id", "query_entry"], ["n"]), "inverted")
+    return Refined(flags(called.where("status = 'ok'")), flags(inverted), coverage, unseen, status.unionByName(chrom_end))
 
 
 def discover_regions(alignments: DataFrame, max_size: int | None = None) -> DataFrame:
@@ -180,18 +199,20 @@ def discover_regions(alignments: DataFrame, max_size: int | None = None) -> Data
     return found.withColumn("region_id", F.concat_ws(":", "chrom", F.col("start").cast("string"), F.col("end").cast("string")))
 
 
-def widen(records: DataFrame, slices: Slices, contigs: DataFrame, buffer: int = 10_000, max_length: int = 100_000) -> DataFrame:
+def widen(records: DataFrame, slices: Slices, contigs: DataFrame, buffer: int = 10_000, max_length: int = 100_000, bridging: bool = True) -> DataFrame:
     """Records with ``wide_start, wide_end, break_length, rep_type`` and ``status``.
 
-    Both alleles are laid between ``buffer`` bases of the reference, and the change is shifted as far
-    as the sequence repeats it to either side: what the two end-anchored exact alignments of the two
-    windows share. That is exact for repeats without mismatches; alignments that bridge mismatches
-    are not looked for. ``TOOLONG`` – the window exceeds ``max_length``; ``REFDIFFERS`` – REF isn't
-    what the reference has (annotated all the same).
+    Both alleles are laid between ``buffer`` bases of the reference, and the two windows are aligned
+    from either end: over the flank, then as far as the sequence beyond the break goes on alike,
+    exactly or (``bridging``) over mismatches by score. What both alignments share is the widened
+    interval. ``TOOLONG`` – either window exceeds ``max_length``; ``REFDIFFERS`` – REF isn't what the
+    reference has (annotated all the same).
     """
     rows = vcf.widenable(records).join(contigs.select("chrom", "contig_len"), "chrom", "left")
     left, right = F.greatest(F.col("pos") - buffer, F.lit(1)), F.least(F.col("end") + buffer, F.col("contig_len"))
-    rows = rows.withColumns({"_l": left, "_r": right}).withColumn("status", F.when((F.col("status") == "ok") & (F.col("_r") - F.col("_l") > max_length), "TOOLONG").otherwise(F.col("status")))
+    rows = rows.withColumns({"_l": left, "_r": right})
+    longest = F.col("_r") - F.col("_l") + 1 + F.greatest(F.length("alt") - F.length("ref"), F.lit(0))
+    rows = rows.withColumn("status", F.when((F.col("status") == "ok") & (longest > max_length), "TOOLONG").otherwise(F.col("status")))
     good = slices(rows.where("status = 'ok'"), "chrom", "_l", "_r", "_w")
     ahead = F.substring("_w", F.lit(1), (F.col("pos") - F.col("_l")).cast("int"))
     behind = F.substring("_w", (F.col("end") - F.col("_l") + 2).cast("int"), F.lit(2**31 - 1))
@@ -199,56 +220,58 @@ def widen(records: DataFrame, slices: Slices, contigs: DataFrame, buffer: int =
     good = good.withColumns({"_a": F.upper(ahead), "_b": F.upper(behind), "status": F.when(F.upper(middle) == F.col("ref"), "ok").otherwise("REFDIFFERS")})
     # Padding: bases that both alleles begin or end with belong to the flanks.
     trimmed = good.withColumn("_t", trim_alleles(F.col("ref"), F.col("alt")))
-    shifted = trimmed.withColumn(
-        "_s", shift_indel_udf(F.concat("_a", "_t.prefix"), F.col("_t.ref"), F.col("_t.alt"), F.concat("_t.suffix", "_b"))
-    )
+    shifted = trimmed.withColumn("_s", repeat_extents_udf(bridging)(F.concat("_a", "_t.prefix"), F.col("_t.ref"), F.col("_t.alt"), F.concat("_t.suffix", "_b")))
     start = F.col("pos") + F.length("_t.prefix")
     stop = start + F.length("_t.ref") - 1
     simple = (F.length("_t.ref") == 0) | (F.length("_t.alt") == 0)
     grown = F.length("alt") - F.length("ref")
-    repeat = F.col("_s.left_bases") + F.col("_s.right_bases")
+    repeat = F.col("_s.left") + F.col("_s.right")
     kind = (
         F.when(~simple, F.when(grown > 0, "SUBSINS").when(grown < 0, "SUBSDEL").otherwise("SUBS"))
         .when(grown > 0, F.when(repeat >= grown, "DUP").otherwise("SIMPLEINS"))
         .otherwise(F.when(repeat >= -grown, "CONTRAC").otherwise("SIMPLEDEL"))
     )
-    done = shifted.withColumns({"wide_start": start - 1 - F.col("_s.left_bases"), "wide_end": stop + 1 + F.col("_s.right_bases"), "break_length": repeat, "rep_type": kind})
+    done = shifted.withColumns({"wide_start": start - 1 - F.col("_s.left"), "wide_end": stop + 1 + F.col("_s.right"), "break_length": repeat, "rep_type": kind})
     return done.drop("_l", "_r", "_w", "_a", "_b", "_t", "_s", "contig_len").unionByName(rows.where("status <> 'ok'").drop("_l", "_r", "contig_len"), allowMissingColumns=True)
 
 
-def trim_alleles(ref: Column, alt: Column) -> Column:
-    """``prefix, ref, alt, suffix``: common bases at the begin, then at the end, cut off."""
-    n = F.least(F.length(ref), F.length(alt))
-    most = lambda same: F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), n), same)), F.lit(0))
-    p = most(lambda k: F.substring(ref, F.lit(1), k) == F.substring(alt, F.lit(1), k))
-    rest = n - p
-    q = F.array_max(F.filter(F.sequence(F.lit(0), rest), lambda k: F.right(ref, k) == F.right(alt, k)))
-    cut = lambda x: F.substring(x, p + 1, F.length(x) - p - q)
-    return F.struct(F.substring(ref, F.lit(1), p).alias("prefix"), cut(ref).alias("ref"), cut(alt).alias("alt"), F.right(ref, q).alias("suffix"))
+BACK_DIST = 10_000
 
 
-BACK_DIST = 10_000
+def without_long_n(records: DataFrame) -> DataFrame:
+    """Records without six N in a row in either allele."""
+    return records.where(~(F.col("ref").contains("NNNNNN") | F.col("alt").contains("NNNNNN")))
 
 
 def back_genotype(target: DataFrame, samples: DataFrame, coverage: DataFrame, slices: Slices | None, max_dist: int = BACK_DIST, skip_ns: bool = False) -> DataFrame:
-    """``target_id, sample, genotype`` of the target's variants in all samples; records in both the normalized and the genotypable form.
+    """``target_id, sample, genotype, kinds`` of the target's variants in all samples; records in both the normalized and the genotypable form.
 
-    A nearby variant counts if it matches by size and by the distance record. ``slices`` gives the
-    reference bases for the record; only where there are none at all, pass None and let the size decide.
+    A target has its own allele in its own sample (column ``sample``, if it has one). In the others
+    an exact match gives an allele, else a nearby variant that matches by size and by the distance
+    record. ``slices`` gives the reference bases for the record; only where there are none at all,
+    pass None and let the size decide.
     """
-    rows = target if not skip_ns else target.where(~(F.col("ref").contains("NNNNNN") | F.col("alt").contains("NNNNNN")))
+    rows = without_long_n(target) if skip_ns else target
     if slices is not None:
         rows, samples = vcf.with_deleted_bases(rows, slices), vcf.with_deleted_bases(samples, slices)
-    exact = G.exact_genotypes(rows, samples)
-    near = G.nearby_genotypes(rows, samples, max_dist, exact, slices)
-    return G.genotype_strings(exact.unionByName(near).unionByName(G.reference_alleles(rows, coverage)))
+    own = rows.where(F.col("sample").isNotNull()).select("target_id", "sample", F.lit(None).cast("string").alias("contig"), F.lit("1").alias("allele"), F.lit("OWN").alias("how"))
+    known = own.select("target_id", "sample")
+    exact = G.exact_genotypes(rows, samples).join(known, ["target_id", "sample"], "left_anti")
+    near = G.nearby_genotypes(rows, samples, max_dist, exact.select("target_id", "sample").unionByName(known), slices)
+    return G.genotype_strings(own.unionByName(exact).unionByName(near).unionByName(G.reference_alleles(rows, coverage)))
+
 
+def back_records(records: DataFrame, sample: str) -> DataFrame:
+    """Records of one sample's file in the form that :func:`back_genotype` takes, ``target_id`` being the line number."""
+    rows = vcf.genotypable(vcf.normalized(records)).where("status = 'ok'")
+    wide = {"chrom": F.col("widened.chrom"), "wide_start": F.col("widened.start"), "wide_end": F.col("widened.end"), "wide_mean": F.col("widemean")}
+    return rows.withColumns(wide | {"target_id": F.col("line_no"), "sample": F.lit(sample), "contig": F.coalesce("altwidened.chrom", "id")})
 
-def find_matches(first: DataFrame, second: DataFrame, window: int = 100_000) -> DataFrame:
-    """Pairs of records of two files on a chromosome less than ``window`` apart, as ``a_*`` and ``b_*``."""
-    a = first.select("chrom", *(F.col(c).alias(f"a_{c}") for c in ("id", "pos", "line_no")))
-    b = second.select("chrom", *(F.col(c).alias(f"b_{c}") for c in ("id", "pos", "line_no")))
-    return band_join(a, b, ["chrom"], "a_pos", "b_pos", window, strict=True)
+
+def find_matches(first: DataFrame, second: DataFrame, window: int = 100_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of records of two files on a chromosome less than ``window`` apart, as ``a_*`` and ``b_*``; ``keep`` are further columns."""
+    side = lambda rows, s: rows.select("chrom", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "pos", "line_no", *keep)))
+    return band_join(side(first, "a"), side(second, "b"), ["chrom"], "a_pos", "b_pos", window, strict=True)
 
 
 def filter_vcf(records: DataFrame, region: tuple[str, int, int] | None = None, min_len: int | None = None, max_len: int | None = None, svtype: str | None = None) -> DataFrame:
@@ -260,19 +283,46 @@ def filter_vcf(records: DataFrame, region: tuple[str, int, int] | None = None, m
     return rows
 
 
-def gap_variants(gaps: DataFrame, alignments: DataFrame, zero_is_repeat: bool = True) -> DataFrame:
-    """Variants from show-diff gaps: the alignments of one contig that end before a gap and begin after it, classified.
+def gap_variants(gaps: DataFrame, alignments: DataFrame) -> DataFrame:
+    """Variants from show-diff gaps: the alignments of one contig that end before a gap and begin after it, classified; here jumps of 0 are repeats too.
 
-    Both strands count. With ``zero_is_repeat`` jumps of 0 are repeats too, as this converter has it.
+    Both strands count. A gap whose reported unaligned bases (``query_gap``) aren't those of the two
+    alignments is left out.
     """
-    a = alignments.select("ref_entry", "query_entry", "comp", F.col("ref_end").alias("ref1"), F.col("query_end").alias("query1"))
-    b = alignments.select("ref_entry", "query_entry", "comp", F.col("ref_start").alias("ref2"), F.col("query_start").alias("query2"))
-    ends = gaps.select("ref_entry", (F.col("ref_start") - 1).alias("ref1"), (F.col("ref_end") + 1).alias("ref2"))
-    found = A.classified(ends.join(a, ["ref_entry", "ref1"]).join(b, ["ref_entry", "query_entry", "comp", "ref2"]))
-    if not zero_is_repeat:
-        return found
-    both = (F.col("refjump") <= 0) & (F.col("queryjump") <= 0)
-    return found.withColumn("svkind", F.when(both & (F.col("refjump") < F.col("queryjump")), "DUP").when(both & (F.col("refjump") > F.col("queryjump")), "CONTRAC").otherwise(F.col("svkind")))
+    sides = ("ref_start", "ref_end", "query_start", "query_end", "cigar")
+    a = alignments.select("ref_entry", "query_entry", "comp", *sides, F.col("ref_end").alias("ref1"), F.col("query_end").alias("query1"))
+    b = alignments.select("ref_entry", "query_entry", "comp", *(F.col(c).alias(f"r_{c}") for c in sides), F.col("ref_start").alias("ref2"), F.col("query_start").alias("query2"))
+    ends = gaps.select("ref_entry", (F.col("ref_start") - 1).alias("ref1"), (F.col("ref_end") + 1).alias("ref2"), F.col("query_gap").alias("reported"))
+    found = A.classified(ends.join(a, ["ref_entry", "ref1"]).join(b, ["ref_entry", "query_entry", "comp", "ref2"])).where("query_gap = reported").drop("reported")
+    size = F.col("ref_gap") - F.col("query_gap")
+    both = (F.col("ref_gap") <= 0) & (F.col("query_gap") <= 0)
+    kind = (
+        F.when(size == 0, "SUBS").when((size < 0) & (F.col("ref_gap") > 0), "SUBSINS").when((size > 0) & (F.col("query_gap") > 0), "SUBSDEL")
+        .when(both, F.when(size < 0, "DUP").otherwise("CONTRAC")).when(size < 0, "SIMPLEINS").otherwise("SIMPLEDEL")
+    )
+    repeat = F.when(kind.isin("SIMPLEINS", "DUP"), -F.col("ref_gap")).when(kind.isin("SIMPLEDEL", "CONTRAC"), -F.col("query_gap")).otherwise(0)
+    return found.withColumns({"repeat_bases": repeat, "svkind": kind})
+
+
+def gap_calls(gaps: DataFrame, alignments: DataFrame) -> DataFrame:
+    """Variants of show-diff gaps with output coordinates: ``chrom, pos, sv_end, svtype, svlen, altpos, altend, wide_*, altwide_*, refseq, altseq``; deletions have a negative length."""
+    rows = A.widened(gap_variants(gaps, alignments), -1)
+    ins, dele = F.col("svkind").isin("SIMPLEINS", "DUP"), F.col("svkind").isin("SIMPLEDEL", "CONTRAC")
+    back = F.when(F.col("comp") == 1, 1).otherwise(-1)  # towards the base before, on the query's strand
+    bare = (dele & (F.col("repeat_bases") == 0)).cast("int")
+    pick = lambda a, b, c: F.when(ins, a).when(dele, b).otherwise(c)
+    col = F.col
+    named = F.when(col("svkind") == "SIMPLEINS", "INS").when(col("svkind") == "SIMPLEDEL", "DEL").when(col("svkind") == "CONTRAC", "CON").otherwise(col("svkind"))
+    shrinks = dele | (col("svkind") == "SUBSDEL")
+    query2 = col("query2") + bare * back
+    return rows.select(
+        col("ref_entry").alias("chrom"), "query_entry", "comp", "repeat_bases", named.alias("svtype"), F.when(shrinks, -col("svsize")).otherwise(col("svsize")).alias("svlen"),
+        pick(col("ref2"), col("ref2p") + bare, col("ref1")).alias("pos"), pick(col("ref2"), col("ref2") - bare, col("ref2") - 1).alias("sv_end"),
+        pick(col("query2p"), query2, col("query1")).alias("altpos"), pick(col("query2"), query2, col("query2") + back).alias("altend"),
+        pick(col("ref2"), col("ref2p") + bare, col("ref1")).alias("wide_from"), pick(col("ref1"), col("ref1p"), col("ref2")).alias("wide_to"),
+        pick(col("query2p"), query2, col("query1")).alias("altwide_from"), pick(col("query1p"), col("query1"), col("query2")).alias("altwide_to"),
+        F.lit("N").alias("refseq"), pick(F.lit("<INS>"), F.lit("<DEL>"), F.lit("N")).alias("altseq"),
+    )
 
 
 def plot_segments(alignments: DataFrame, ref: tuple[str, int, int], query: tuple[str, int, int] | None = None, either: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.operators import compare, coverage, packed, quarantine
 from strandline.plans import catalog
+from strandline.plans import genome as _genome  # noqa: F401  (its queries join those of the catalog)
 from strandline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,24 @@ FROM (SELECT *, lag(z) OVER (PARTITION BY origin, owner_name, chrom ORDER BY n)
 
 _NUMBER = "CASE WHEN regexp_full_match(replace(trim({0}), ',', ''), '[+-]?[0-9]+(\\.0*)?') THEN CAST(regexp_extract(replace(trim({0}), ',', ''), '^[+-]?[0-9]+') AS BIGINT) END"
 _TYPE = "CASE WHEN upper(trim(svtype)) NOT IN ('', '.', 'NA') THEN upper(trim(svtype)) END"
+_TOKENS = "regexp_extract_all({0}, $$\"(?:[^\"]|\"\")*\"?|'(?:[^']|'')*'?|{1}$$)"
+_ITEM = "CASE WHEN t[1] IN (chr(34), chr(39)) THEN replace(CASE WHEN (length(t) - length(replace(t, t[1], '')) - 1) % 2 = 1 THEN t[2:-2] ELSE t[2:] END, t[1] || t[1], t[1]) ELSE t END"
+_ENTRIES = "regexp_extract_all(info, $$(?:\"(?:[^\"]|\"\")*\"?|'(?:[^']|'')*'?|[^;\"'])+$$)"
+
+
+def _packed(name: str, field: str, items: str) -> str:
+    listed = f"list_filter(list_transform({_TOKENS.format(field, items)}, lambda t: {_ITEM}), lambda x: x <> '')"
+    return f"SELECT row_id, '{name}' AS packed_field, {listed} AS items FROM svcalls"
+
+
+def _tag(name: str) -> str:
+    return f"list_filter(list_transform({_ENTRIES}, lambda e: trim(e)), lambda e: starts_with(e, '{name}='))[1][{len(name) + 2}:]"
+
+
+P3_SQL = " UNION ALL ".join(
+    [_packed("ALT", "alt_allele", r"""<[^<>"']*>|\*|[A-Za-z]*[\[\]][^\[\]\s"']+[\[\]][A-Za-z]*|[A-Za-z]+"""), *(_packed(n, _tag(n), r"[A-Za-z0-9_.\-]+") for n in packed.ID_TAGS)]
+)
+P3_SQL = f"SELECT row_id, packed_field, unnest(range(1, len(items) + 1)) AS idx, unnest(items) AS item FROM ({P3_SQL}) WHERE len(items) >= 2"
 P4_SQL = f"""
 WITH a AS (
   SELECT call_id, pos, {_TYPE} AS svtype, svlen FROM calls_a WHERE call_id IS NOT NULL
@@ -87,4 +106,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalog.SQL | {"p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+    return catalog.SQL | {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}

@@ -115,14 +115,14 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
     return pieces.repartition("chrom", "chunk").mapInArrow(_read_chunks(path), "chrom string, chunk bigint, seq string")
 
 
-def chunk_text(df: DataFrame, name: str, seq: str) -> DataFrame:
-    """Chunks of sequences that are a column of a table."""
-    pieces = F.sequence(F.lit(0).cast("bigint"), F.floor((F.length(seq) - 1) / CHUNK))
+def chunk_text(df: DataFrame, name: str, seq: str, chunk: int = CHUNK) -> DataFrame:
+    """Chunks of ``chunk`` bases of sequences that are a column of a table."""
+    pieces = F.sequence(F.lit(0).cast("bigint"), F.floor((F.length(seq) - 1) / chunk))
     rows = df.where(F.length(seq) > 0).select(F.col(name).alias("chrom"), F.col(seq).alias("_s"), F.explode(pieces).alias("chunk"))
-    return rows.select("chrom", "chunk", F.substring("_s", (F.col("chunk") * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("seq"))
+    return rows.select("chrom", "chunk", F.substring("_s", (F.col("chunk") * chunk + 1).cast("int"), F.lit(chunk)).alias("seq"))
 
 
-def slicer(sequence_chunks: DataFrame) -> Slices:
+def slicer(sequence_chunks: DataFrame, chunk: int = CHUNK) -> Slices:
     """A function ``(df, chrom, start, end, name)`` that adds the bases ``start..end`` (1-based, inclusive).
 
     A start above the end gives the reverse complement; the end is cut at the contig's end; a start
@@ -136,10 +136,10 @@ def slicer(sequence_chunks: DataFrame) -> Slices:
         a, b = (F.col(x) if isinstance(x, str) else x for x in (start, end))
         asked = df.withColumns({"_wc": bare(F.col(chrom)), "_wa": a.cast("bigint"), "_wb": b.cast("bigint")})
         windows = asked.select("_wc", "_wa", "_wb").where("_wa >= 1 and _wb >= 1").distinct().withColumns({"_lo": F.least("_wa", "_wb"), "_hi": F.greatest("_wa", "_wb")})
-        looked = windows.withColumn("_sk", F.explode(F.sequence(F.floor((F.col("_lo") - 1) / CHUNK), F.floor((F.col("_hi") - 1) / CHUNK))))
+        looked = windows.withColumn("_sk", F.explode(F.sequence(F.floor((F.col("_lo") - 1) / chunk), F.floor((F.col("_hi") - 1) / chunk))))
         looked = looked.withColumnRenamed("_sk", "_k")
-        first = F.greatest(F.col("_lo") - F.col("_k") * CHUNK, F.lit(1)).cast("int")
-        last = F.least(F.col("_hi") - F.col("_k") * CHUNK, F.lit(CHUNK)).cast("int")
+        first = F.greatest(F.col("_lo") - F.col("_k") * chunk, F.lit(1)).cast("int")
+        last = F.least(F.col("_hi") - F.col("_k") * chunk, F.lit(chunk)).cast("int")
         part = looked.join(pieces, (F.col("_wc") == F.col("_sc")) & (F.col("_k") == F.col("_sn")), "left").select("_wc", "_wa", "_wb", "_k", F.substring("_ss", first, last - first + 1).alias("_p"))
         known = pieces.select(F.col("_sc").alias("_wc")).distinct().withColumn("_known", F.lit(True))
         whole = part.groupBy("_wc", "_wa", "_wb").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("_k", "_p")))), lambda x: x["_p"]), "").alias("_t"))

@@ -34,15 +34,19 @@ def test_alignment_is_optimal_and_complete(a, b):
     assert A.align(b, a)["edit_distance"] == found["edit_distance"]
 
 
-def test_halved_alignment_equals_the_whole(monkeypatch):
+@settings(max_examples=200, deadline=None)
+@given(bases, bases, st.integers(1, 9))
+def test_path_is_the_same_for_any_number_of_kept_columns(a, b, block):
+    assert A._path(a, b, block) == A._path(a, b)
+
+
+def test_long_pairs_are_aligned_like_short_ones():
     rng = random.Random(3)
-    a = "".join(rng.choice("ACGT") for _ in range(300))
-    b = "".join(c for c in a if rng.random() > 0.1)
+    a = "".join(rng.choice("ACGT") for _ in range(12_000))
+    b = a[:5_000] + "".join(c for c in a[5_000:7_000] if rng.random() > 0.1) + "T" + a[7_000:]
     whole = A.align(a, b)
-    monkeypatch.setattr(A, "KEPT_BITS", 500)
-    assert A.align(a, b)["edit_distance"] == whole["edit_distance"] == edits(a, b)
-    monkeypatch.setattr(A, "MAX_CELLS", 10)
-    assert A.align(a, b) is None
+    assert whole["edit_distance"] == whole["subs"] + whole["indels"] < 300
+    assert A.align(a[4_900:7_100], b[4_900 : 4_900 + len(b) - 9_800])["edit_distance"] == whole["edit_distance"]
 
 
 def test_shift_is_the_first_farthest_diagonal():
@@ -70,12 +74,14 @@ def test_lifting_round_trips_in_blocks_and_stops_in_gaps():
         assert C.lift(*args, 99_999, True) is None and C.lift(*args, 10, False) is None
 
 
-def test_blocks_agree_with_lifting(spark):
-    df = spark.createDataFrame([("4M3D5M3I2M", 11, 101, False), ("4M3D5M3I2M", 11, 114, True)], "cigar string, r int, q int, rev boolean")
-    for row in df.select("*", C.blocks(C.parse(F.col("cigar")), F.col("r"), F.col("q"), F.col("rev")).alias("b")).collect():
-        end = row.q + (-13 if row.rev else 13)
-        for block in row.b:
-            assert C.lift(row.cigar, row.r, row.q, end, block.ref_from, False) == block.query_from
+def test_lifting_columns_agree_with_lifting(spark):
+    rows = [(c, 11, a, b, p) for c in ("4M3D5M3I2M", "3I4M2D1M", "6M", "*", None) for a, b in ((101, 114), (114, 101)) for p in (9, 10, *range(11, 28), *range(99, 117), None)]
+    df = spark.createDataFrame(rows, "cigar string, r int, a int, b int, p int").withColumn("ops", C.parse(F.col("cigar")))
+    got = df.select("*", C.lift_to_query("ops", "r", "a", "b", F.col("p")).alias("q"), C.lift_to_ref("ops", "r", "a", "b", F.col("p")).alias("t")).collect()
+    assert sum(x.q is not None for x in got) > 40 and sum(x.t is not None for x in got) > 40
+    for x in got:
+        want = [None if x.p is None or x.cigar in (None, "*") else C.lift(x.cigar, x.r, x.a, x.b, x.p, to_ref) for to_ref in (False, True)]
+        assert [x.q, x.t] == want
 
 
 def test_cigar_columns(spark):

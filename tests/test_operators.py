@@ -7,6 +7,7 @@ from strandline.operators import alignments as A
 from strandline.operators import graph
 from strandline.operators import intervals as V
 from strandline.operators.bandjoin import band_join, band_self_pairs, overlap_join
+from strandline.functions import sequence as S
 from strandline.plans import commands
 from strandline.sources import alignments as SA
 from strandline.sources import fasta, sinks, tabular, vcf
@@ -74,7 +75,7 @@ def test_break_types_of_a_contig(spark):
     rows = [("1", "c", i, a, b, c, d, 0) for i, (a, b, c, d) in enumerate(CONTIG)]
     df = spark.createDataFrame(rows, "ref_entry string, query_entry string, align_no bigint, ref_start bigint, ref_end bigint, query_start bigint, query_end bigint, comp int")
     got = A.classified(A.consecutive_breaks(df, ["ref_entry", "query_entry"], ["ref_start", "ref_end"])).orderBy("align_no").collect()
-    assert [(r.svkind, r.refjump, r.queryjump, r.svsize) for r in got] == [("SIMPLEDEL", 119, -1, 120), ("SIMPLEINS", -355, 79, 434), ("CONTRAC", -423, -1033, 610), ("DUP", -85, -39, 46), ("DUP", -557, -113, 444), ("DUP", -1633, -1238, 395)]
+    assert [(r.svkind, r.ref_gap, r.query_gap, r.svsize) for r in got] == [("SIMPLEDEL", 119, -1, 120), ("SIMPLEINS", -355, 79, 434), ("CONTRAC", -423, -1033, 610), ("DUP", -85, -39, 46), ("DUP", -557, -113, 444), ("DUP", -1633, -1238, 395)]
 
 
 def dna(rng, n):
@@ -149,7 +150,7 @@ def test_merge_of_two_files(spark, genome):
     first = [(c[0], c[1], f"a{n}", *c[3:]) for n, c in enumerate(calls(chrom))]
     second = [(c[0], c[1], f"b{n}", *c[3:]) for n, c in enumerate(calls(chrom))][:5] + [("1", 0, "telo", ".", "A", ".", "PASS", "")]
     rows = vcf_rows(spark, first).unionByName(vcf_rows(spark, second, "u.vcf"))
-    got = {r.id: r for r in commands.merge(rows, slices).collect()}
+    got = {r.id: r for r in commands.merge(rows, slices).clusters.collect()}
     assert {i: (r.n_calls, r.member_ids) for i, r in got.items()} == {**{f"a{n}": (2, f"a{n}:b{n}") for n in range(5)}, **{f"a{n}": (1, f"a{n}") for n in range(5, 9)}, "telo": (1, "telo")}
     assert got["a0"].n_exact == 2 and got["a0"].max_shift == 0 and got["telo"].max_shift is None
     with pytest.raises(ValueError, match="more than once"):
@@ -248,10 +249,10 @@ def test_line_formats(spark, tmp_path):
 def test_small_pieces(spark):
     assert sinks.with_header_lines(["##a", "#CHROM"], ("##INFO=<x>",)) == ["##a", "##INFO=<x>", "#CHROM"]
     assert sinks.with_header_lines(["##INFO=<a>", "##z", "#CHROM"], ("##INFO=<a>", "##INFO=<b>")) == ["##INFO=<a>", "##INFO=<b>", "##z", "#CHROM"]
-    assert sinks.distance_header(True).endswith("NOSUBS\tNOINDELS\tMAR\tSUBSDIST\tINDELDIST") and len(sinks.REFINE_HEADER) + 1 == 13
+    assert sinks.distance_header(True).endswith("NOSUBS\tNOINDELS\tMAR\tSUBSDIST\tINDELDIST") and len(sinks.refine_header("S", "20260101")) == 13
     nums = spark.createDataFrame([(0.1 + 0.2,), (5.0,), (1e-20,), (None,)], "x double").select(sinks.number(F.col("x")).alias("s")).collect()
     assert [r.s for r in nums] == ["0.3", "5", "1e-20", "NaN"]
-    t = spark.createDataFrame([("GATTACA", "GATACA"), ("A", "ACC"), ("AC", "GT"), ("AAA", "A")], "r string, a string").select(commands.trim_alleles(F.col("r"), F.col("a")).alias("t")).collect()
+    t = spark.createDataFrame([("GATTACA", "GATACA"), ("A", "ACC"), ("AC", "GT"), ("AAA", "A")], "r string, a string").select(S.trim_alleles(F.col("r"), F.col("a")).alias("t")).collect()
     assert [tuple(x.t) for x in t] == [("GAT", "T", "", "ACA"), ("A", "", "CC", ""), ("", "AC", "GT", ""), ("A", "AA", "", "")]
 
 
