@@ -22,8 +22,8 @@ def union_find(pairs):
     return sorted((x, root(x)) for x in parent)
 
 
-@pytest.mark.parametrize("side, local", [(None, 1_000_000), (1, 1_000_000), (2, 1_000_000), (5, 25)])
-def test_groups_equal_union_find_on_any_grid(spark, side, local):
+@pytest.mark.parametrize("side, cell, local", [(None, 400_000, 1_000_000), (1, 9, 1_000_000), (5, 20, 1_000_000), (3, 40, 25)])
+def test_groups_equal_union_find_on_any_grid(spark, side, cell, local):
     rng = random.Random(7)
     pairs = [(f"v{rng.randrange(300)}", f"v{rng.randrange(300)}", rng.random() < 0.6) for _ in range(260)]
     chain = [f"c{i:03}" for i in range(120)]
@@ -32,11 +32,11 @@ def test_groups_equal_union_find_on_any_grid(spark, side, local):
     pairs += [("hub", f"h{i}", True) for i in range(150)] + [("hub", "hub", True), ("é", "z", True), ("Z", "z", True), ("solo", "solo", False)]
     pairs += pairs[:20] + [(b, a, x) for a, b, x in pairs[:20]]
     df = spark.createDataFrame(pairs, "id1 string, id2 string, linked boolean")
-    parents = C.component_parents(df.where("linked").selectExpr("id1 u", "id2 v"), side, local)
+    parents = C.component_parents(df.where("linked").selectExpr("id1 u", "id2 v"), side, cell, local)
     direct = dict(tuple(r) for r in parents.collect())
     want = union_find(pairs)
     assert all(direct.get(x, x) == g for x, g in want)
-    assert sorted(tuple(r) for r in C.linked_groups(df, side).collect()) == want
+    assert sorted(tuple(r) for r in C.linked_groups(df, side, cell).collect()) == want
 
 
 def test_calls_with_missing_ids_and_failed_distances(spark):
