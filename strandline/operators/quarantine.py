@@ -72,21 +72,22 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def strict_load(raw: DataFrame) -> DataFrame:
-    """The lines that conform, as ``line_id``, the ten VCF columns (text as delivered, POS a number) and what else the table has."""
-    lines = parsed(data_lines(raw))
+    """The lines that conform: the ten VCF columns (text as delivered, POS a number) as ``vcf_*`` beside the table's own, of which those with such a name are left out."""
+    own = [c for c in raw.columns if c not in {f"vcf_{n}" for n in VCF_COLUMNS}]
+    lines = parsed(data_lines(raw.select("raw_line", F.struct(*own).alias("_row"))))
     cells = lines.where(F.col("quoting_ok") & (F.size("cells") == COLUMNS))
     good = cells.where(_pos_holds(F.get("cells", F.lit(1)))).where(_info_holds(F.get("cells", F.lit(7)), F.get("cells", F.lit(1))))
     # The cover-up is undone from the line itself, whose characters are at the same places.
     lengths = F.transform("cells", lambda c: F.length(c) + 1)
     begins = F.transform(F.sequence(F.lit(0), F.lit(COLUMNS - 1)), lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(1), lambda a, b: a + b))
     text = [F.col("line").substr(F.get(begins, F.lit(i)), F.length(F.get("cells", F.lit(i)))) for i in range(COLUMNS)]
-    return good.select("line_id", *(t.cast("bigint").alias(f"vcf_{n}") if n == "pos" else t.alias(f"vcf_{n}") for n, t in zip(VCF_COLUMNS, text)))
+    return good.select("_row.*", *(t.cast("bigint").alias(f"vcf_{n}") if n == "pos" else t.alias(f"vcf_{n}") for n, t in zip(VCF_COLUMNS, text)))
 
 
 def rejected(raw: DataFrame) -> DataFrame:
     """``line_id, reason`` of the data lines that the strict load leaves out."""
     lines = data_lines(raw).select("line_id", "line")
-    loaded = strict_load(raw).select(F.col("line_id").alias("loaded_id"))
+    loaded = strict_load(raw.select("line_id", "raw_line")).select(F.col("line_id").alias("loaded_id"))
     rest = parsed(lines.join(loaded, F.col("line_id").eqNullSafe(F.col("loaded_id")), "left_anti"))
     reason = (
         F.when(~F.col("quoting_ok"), F.lit("quoting"))

@@ -6,28 +6,33 @@ import gzip
 import io
 import struct
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import cigar as C
+from strandline.session import durable
+from strandline.sources.vcf import numbered
 
 SCHEMA = "file string, align_no bigint, ref_entry string, query_entry string, ref_len bigint, query_len bigint, ref_start bigint, ref_end bigint, query_start bigint, query_end bigint, comp int, mismatches bigint, nonpos bigint, nonalpha bigint, cigar string"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def parse_delta(text: str, file: str = "", ref_entry: str | None = None, query_entry: str | None = None, ignore_unequal: bool = False) -> Iterator[tuple]:
-    """The alignments of a delta file's text, of one pair of entries if asked for."""
-    entry: tuple | None = None
-    number = 0
-    lines = iter(text.splitlines()[2:])
+_PARTS = _NAMES[2:]
+
+
+def parse_entry(text: str, file: str = "", ignore_unequal: bool = False) -> Iterator[tuple]:
+    """The alignments of one pair of entries of a delta file (the text after its ``>``): the columns of SCHEMA but for file and number."""
+    lines = iter(text.splitlines())
+    head = next(lines, "").split()
+    if len(head) != 4:
+        raise ValueError(f"{file}: not the head of a pair of entries: {' '.join(head)[:80]!r}")
+    entry = (head[0], head[1], int(head[2]), int(head[3]))
     for line in lines:
-        if line.startswith(">"):
-            ref, query, ref_len, query_len = line[1:].split()
-            wanted = (ref_entry is None or ref == ref_entry) and (query_entry is None or query == query_entry)
-            entry = (ref, query, int(ref_len), int(query_len)) if wanted else None
-            continue
         head = line.split()
         if len(head) != 7:
             if head:
@@ -38,25 +43,34 @@ def parse_delta(text: str, file: str = "", ref_entry: str | None = None, query_e
             if distance.strip() == "0":
                 break
             offsets.append(int(distance))
-        number += 1
-        if entry is None:
-            continue
         rs, re_, qs, qe, mismatches, nonpos, nonalpha = map(int, head)
         ops = C.from_delta(offsets, rs, re_, qs, qe)
         if ops is None and not ignore_unequal:
-            raise ValueError(f"{file}: alignment {number} leaves unequal numbers of bases")
-        yield (file, number, *entry, rs, re_, qs, qe, int(qs > qe), mismatches, nonpos, nonalpha, ops)
+            raise ValueError(f"{file}: an alignment of {entry[0]} and {entry[1]} leaves unequal numbers of bases")
+        yield (*entry, rs, re_, qs, qe, int(qs > qe), mismatches, nonpos, nonalpha, ops)
 
 
 def read_delta(spark: SparkSession, paths: list[str], ref_entry: str | None = None, query_entry: str | None = None, ignore_unequal: bool = False) -> DataFrame:
-    """Delta files, one task for each: the format can only be read from its begin."""
+    """Delta files, cut into their pairs of entries while they are read, so one file is read by many tasks; ``align_no`` counts the alignments of a file."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                yield pd.DataFrame(list(parse_delta(bytes(content).decode(), path, ref_entry, query_entry, ignore_unequal)), columns=_NAMES)
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, SCHEMA)
+            for file, block, text in zip(frame["file"], frame["block"], frame["text"]):
+                kind = text.split("\n", 2)
+                if len(kind) > 1 and kind[1].strip() in ("NUCMER", "PROMER"):  # the two lines at the begin of the file
+                    continue
+                rows = pd.DataFrame(list(parse_entry(text, file, ignore_unequal)), columns=_PARTS)
+                if len(rows):
+                    yield rows.assign(file=file, block=block)[["file", "block", *_PARTS]]
+
+    where = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    entries = spark.read.option("lineSep", "\n>").text(paths).select(*where, F.regexp_replace("value", "^>", "").alias("text"))
+    parts = ", ".join(x for x in SCHEMA.split(", ")[2:])
+    found = entries.mapInPandas(run, f"file string, block bigint, {parts}").withColumn("seq", F.monotonically_increasing_id())
+    rows = numbered(durable(found, "delta"), "align_no").select(*_NAMES)
+    for name, wanted in (("ref_entry", ref_entry), ("query_entry", query_entry)):
+        rows = rows if wanted is None else rows.where(F.col(name) == wanted)
+    return rows
 
 
 def from_sam(lines: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
@@ -83,9 +97,9 @@ def from_sam(lines: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
 _BAM_OPS = "MIDNSHP=X"
 
 
-def bam_lines(data: bytes) -> Iterator[str]:
-    """The first six SAM columns of the records of a BAM file (a series of gzip members)."""
-    file = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)))
+def bam_lines(source: BinaryIO) -> Iterator[str]:
+    """The first six SAM columns of the records of a BAM file (a series of gzip members), read as it goes on."""
+    file = io.BufferedReader(gzip.GzipFile(fileobj=source))
     if file.read(4) != b"BAM\x01":
         raise ValueError("not a BAM file")
     file.read(struct.unpack("<i", file.read(4))[0])
@@ -104,12 +118,15 @@ def bam_lines(data: bytes) -> Iterator[str]:
 
 
 def read_bam(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """BAM files, one task for each."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                lines = list(bam_lines(bytes(content)))
-                yield pd.DataFrame({"file": path, "line_no": range(1, len(lines) + 1), "line": lines})
-
-    return from_sam(spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "file string, line_no bigint, line string"))
+    """BAM files, one task for each, which holds a batch of records at a time; the paths have to be reachable by all executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(path, "rb") as source:
+                    lines = enumerate(bam_lines(source), 1)
+                    while part := list(islice(lines, 10_000)):
+                        yield pa.RecordBatch.from_pydict({"file": [path] * len(part), "line_no": [n for n, _ in part], "line": [x for _, x in part]})
+
+    files = spark.createDataFrame([(str(p),) for p in paths], "path string").repartition(max(1, len(paths)))
+    return from_sam(files.mapInArrow(run, "file string, line_no bigint, line string"))

@@ -53,13 +53,26 @@ def _is_packed(path: str) -> bool:
     return path.endswith((".gz", ".bgz", ".rz", ".bz2"))
 
 
+_INDEX = "chrom string, contig_len bigint, offset bigint, per_line bigint, line_bytes bigint, ord int"
+
+
+def _indexed(spark: SparkSession, path: str) -> DataFrame:
+    """The index of a file, made by a task: a file without an index is read once, but not by the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = [(n, len(s), 0, 0, 0) for n, s in _packed(path)] if _is_packed(path) else _index(path)
+                columns = list(zip(*rows)) or [()] * 5
+                kinds = [pa.string(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(range(len(rows)), pa.int32())], ["chrom", "contig_len", "offset", "per_line", "line_bytes", "ord"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, _INDEX)
+
+
 def contigs(spark: SparkSession, path: str) -> DataFrame:
     """``chrom, contig_len, ord`` in file order."""
-    if _is_packed(path):
-        rows = [(name, len(seq), i) for i, (name, seq) in enumerate(_packed(path))]
-    else:
-        rows = [(name, length, i) for i, (name, length, *_) in enumerate(_index(path))]
-    return spark.createDataFrame(rows, "chrom string, contig_len bigint, ord int")
+    return _indexed(spark, path).select("chrom", "contig_len", "ord")
 
 
 def _packed(path: str) -> Iterator[tuple[str, str]]:
@@ -109,9 +122,9 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(pieces), pa.string()), pa.array(range(len(pieces)), pa.int64()), pa.array(pieces, pa.string())], ["chrom", "chunk", "seq"])
 
         return spark.range(1, numPartitions=1).mapInArrow(whole, "chrom string, chunk bigint, seq string")
-    index = [x for x in _index(path) if x[1]]
-    tasks = spark.createDataFrame(index, "chrom string, length bigint, offset bigint, per_line bigint, line_bytes bigint") if index else spark.createDataFrame([], "chrom string, length bigint, offset bigint, per_line bigint, line_bytes bigint")
-    pieces = tasks.select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / CHUNK))).alias("chunk"), "length", "offset", "per_line", "line_bytes")
+    tasks = _indexed(spark, path).where("contig_len > 0")
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("contig_len") - 1) / CHUNK))).alias("chunk")
+    pieces = tasks.select("chrom", each, F.col("contig_len").alias("length"), "offset", "per_line", "line_bytes")
     return pieces.repartition("chrom", "chunk").mapInArrow(_read_chunks(path), "chrom string, chunk bigint, seq string")
 
 

@@ -16,14 +16,23 @@ from strandline.session import durable
 CORE = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file, line_no, line`` of text files; ``.gz``, ``.bgz`` and ``.bz2`` are decompressed.
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Numbers rows of files by their place: ``file``, ``block`` (where the piece of the file begins) and ``seq`` (monotonically increasing, as read) become ``name``, from 1.
 
-    Line numbers count within a file. They rest on the order in which a file's lines are read, so a
-    plain file is read by one task here; for large plain files use a table that has line numbers.
+    The rows of a piece stand together, so a row's number is its distance from the piece's first row
+    and the rows of the pieces before it: only the pieces are counted and summed, nothing is sorted.
     """
-    raw = spark.read.option("wholetext", False).text(paths).select(F.input_file_name().alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("seq"))
-    return raw.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("seq")).cast("bigint")).select("file", "line_no", "line")
+    pieces = rows.groupBy("file", "block").agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    known = pieces.select("file", "block", "_first", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    return rows.join(known, ["file", "block"]).withColumn(name, F.col("seq") - F.col("_first") + F.col("_before") + 1).drop("block", "seq", "_first", "_before")
+
+
+def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, line_no, line`` of text files; ``.gz`` and ``.bz2`` are decompressed. Line numbers count within a file; plain files are read in pieces."""
+    where = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    raw = spark.read.text(paths).select(*where, F.col("value").alias("line"), F.monotonically_increasing_id().alias("seq"))
+    return numbered(raw, "line_no").select("file", "line_no", "line")
 
 
 def split_records(lines: DataFrame) -> DataFrame:

@@ -210,7 +210,7 @@ def test_delta_files_and_extension(spark, tmp_path, genome):
     assert {r.region_id for r in found.uncovered.collect()} == {"far"} and {(r.region_id, r.status) for r in found.status.collect()} >= {("edge", "CHROMEND"), ("g", "SIMPLE")}
     assert sinks.refined_lines(found.variants.withColumns({"refseq": F.lit("N"), "altseq": F.lit("<DEL>")})).first().line.startswith("1\t")
     with pytest.raises(ValueError):
-        list(SA.parse_delta(text.replace("111 890 11 790", "111 890 11 780")))
+        list(SA.parse_entry(text.split("\n>")[1].replace("111 890 11 790", "111 890 11 780")))
 
 
 def test_sam_and_bam(spark, tmp_path):
@@ -259,6 +259,8 @@ def test_small_pieces(spark):
 def test_streaming_of_dropped_files(spark, tmp_path):
     from strandline.streaming import filedrop
 
+    raw = spark.createDataFrame([(1, "1\t5\tx\tA\tC\t.\t.\t.\tGT\t0"), (2, "1\tx\tx\tA\tC\t.\t.\t.\tGT\t0"), (3, "# note"), (4, "short")], "line_id bigint, raw_line string")
+    assert {r.outcome: r.n for r in filedrop.line_outcomes(raw).collect()} == {"loaded": 1, "pos": 1, "columns": 1}
     drop, out = tmp_path / "in", tmp_path / "out"
     one = vcf_rows(spark, [("1", 5, "a", "A", "AC", ".", ".", "")]).selectExpr("id call_id", "chrom", "pos")
     one.write.parquet(str(drop))
@@ -285,3 +287,94 @@ def test_command_line(spark, tmp_path, genome):
     assert all("NumClusterSVs=1" in r.value for r in spark.read.text(str(tmp_path / "m.clustered.vcf/01-records")).collect())
     cli.main(["benchmark", "--ref", path, "--test", str(vcf_path), "--truth", str(vcf_path), "--prefix", str(tmp_path / "b")])
     assert spark.read.text(str(tmp_path / "b.fp.vcf/01-records")).count() == 0
+
+
+@pytest.mark.parametrize("size", [40, 1000, 100_000])
+def test_lines_of_files_are_numbered_by_place(spark, tmp_path, size):
+    import gzip
+
+    for k, n in enumerate((3, 0, 700)):
+        (tmp_path / f"{k}.txt").write_text("".join(f"line {i}\n" for i in range(1, n + 1)))
+    with gzip.open(tmp_path / "z.txt.gz", "wt") as file:
+        file.write("line 1\nline 2\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = vcf.read_lines(spark, [str(tmp_path)]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert len(got) == 705 and all(r.line == f"line {r.line_no}" for r in got) and len({(r.file, r.line_no) for r in got}) == 705
+
+
+@pytest.mark.parametrize("size", [60, 100_000])
+def test_delta_files_are_read_in_pieces(spark, tmp_path, size):
+    entries = [(f"r{i % 5}", f"q{i}", [(1 + j, 100 + j, 5, 104, [4, -3] * (j % 2)) for j in range(1 + i % 3)]) for i in range(40)]
+    path = tmp_path / "a.delta"
+    path.write_text("/x/ref.fa /x/query.fa\nNUCMER\n" + "".join(f">{r} {q} 900 800\n" + "".join(f"{a} {b} {c} {d} 1 1 0\n" + "".join(f"{o}\n" for o in offsets) + "0\n" for a, b, c, d, offsets in rows) for r, q, rows in entries))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = SA.read_delta(spark, [str(path)]).orderBy("align_no").collect()
+        one = SA.read_delta(spark, [str(path)], query_entry="q7").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    want = [(r, q, a, b) for r, q, rows in entries for a, b, *_ in rows]
+    assert [(r.ref_entry, r.query_entry, r.ref_start, r.ref_end) for r in got] == want and [r.align_no for r in got] == list(range(1, len(want) + 1))
+    assert len(one) == 2 and {r.query_len for r in one} == {800}
+
+
+def brute_slices(region, rows, buffer, segment):
+    """The slice by walking over the contig's alignments in order."""
+    _, chrom, start, end = region
+    out = []
+    for row in sorted(rows, key=lambda r: (r[2], r[3], r[6])):
+        if not out and not (row[0] == chrom and row[3] > start - buffer + segment - 1):
+            continue
+        if out and row[0] == chrom and row[2] > end + buffer - segment + 1:
+            if len(out) == 2:
+                out.append(row)
+            break
+        out.append(row)
+    return [r[6] for r in out]
+
+
+@pytest.mark.parametrize("bin_size", [16, 1 << 16])
+def test_slices_of_regions_equal_a_walk_over_each_contig(spark, bin_size):
+    rng = random.Random(21)
+    rows = [(rng.choice("ab"), f"q{i % 4}", s := rng.randint(1, 400), s + rng.randint(1, 150), 1, 100, i, rng.randint(0, 1)) for i in range(120)]
+    regions = [(f"g{i}", rng.choice("ab"), s := rng.randint(20, 350), s + rng.randint(0, 60)) for i in range(60)]
+    df = spark.createDataFrame(rows, "ref_entry string, query_entry string, ref_start bigint, ref_end bigint, query_start bigint, query_end bigint, align_no bigint, comp int")
+    rdf = spark.createDataFrame(regions, "region_id string, chrom string, start bigint, end bigint")
+    for buffer, segment in ((5, 4), (0, 50)):
+        pairs = V.spanning_pairs(rdf, df, buffer, segment, bin_size).collect()
+        over = lambda r, a, b: r[2] < a and r[3] > b
+        want = set()
+        for g in regions:
+            for q in {r[1] for r in rows}:
+                mine = [r for r in rows if r[1] == q and r[0] == g[1]]
+                for c in (0, 1):
+                    sides = [[r for r in mine if r[7] == c and over(r, a, b)] for a, b in ((g[2] - buffer, g[2] - buffer + segment - 1), (g[3] + buffer - segment + 1, g[3] + buffer))]
+                    if all(sides):
+                        want.add((g[0], q))
+        assert {(p.region_id, p.query_entry) for p in pairs} == want and len(pairs) == len(want) > (5 if segment < 50 else 0)
+        got = {}
+        for r in A.region_slices(spark.createDataFrame(pairs, "region_id string, chrom string, start bigint, end bigint, query_entry string, comp int"), df, buffer, segment, bin_size).orderBy("n").collect():
+            got.setdefault((r.region_id, r.query_entry), []).append(r.align_no)
+        assert got == {(p.region_id, p.query_entry): brute_slices((p.region_id, p.chrom, p.start, p.end), [r for r in rows if r[1] == p.query_entry], buffer, segment) for p in pairs}
+
+
+def test_merged_regions_equal_a_sweep(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), s := rng.randint(0, 3_000_000) if i % 3 else rng.randint(0, 900), s + rng.choice([0, 1, 40, 2_000_000 if i % 50 == 0 else 7])) for i in range(400)] + [("a", 5_000_000, 5_000_001), ("a", 5_000_002, 5_000_003), ("a", 5_000_003, 5_000_009)]
+    want = []
+    for key in "abc":
+        reach = None
+        for _, s, e in sorted(r for r in rows if r[0] == key):
+            if reach is None or s > reach:
+                want.append([key, s, e])
+                reach = e
+            else:
+                reach = max(reach, e)
+                want[-1][2] = reach
+    got = V.merge_regions(spark.createDataFrame([*rows, (None, 1, 2), ("a", None, 2)], "k string, start bigint, end bigint"), "k").collect()
+    assert sorted([list(r) for r in got]) == sorted(want)
