@@ -57,16 +57,8 @@ def _rounded(values: pd.Series) -> pd.Series:
 
 
 def number(x: Column) -> Column:
-    """15 significant digits, without trailing zeros; null prints as NaN.
-
-    A number whose shortest form has no more digits than that is formatted as it is; the others are
-    rounded by their exact binary value, which only Python's formatting does.
-    """
-    value = x.cast("double")
-    figures = F.length(F.regexp_replace(F.regexp_replace(value.cast("string"), "E.*", ""), r"^[-0.]+|[^0-9]", ""))
-    digits = F.format_string("%.15g", value)
-    plain = F.when(digits.contains("e"), F.regexp_replace(digits, r"\.?0*e", "e")).when(digits.contains("."), F.regexp_replace(digits, r"\.?0+\z", "")).otherwise(digits)
-    return F.when(x.isNull(), "NaN").when(figures > 15, _rounded(F.when(figures > 15, value))).otherwise(plain)
+    """15 significant digits, rounded by the exact binary value, without trailing zeros; null prints as NaN."""
+    return F.coalesce(_rounded(x.cast("double")), F.lit("NaN"))
 
 
 def _tabbed(*columns: Column) -> Column:

@@ -28,6 +28,6 @@ def test_nearby_variants_must_match(spark):
     none = spark.createDataFrame([], "sample string, chrom string, hr_start bigint, hr_end bigint, contig string")
     slices = fasta.slicer(spark.createDataFrame([("1", 0, chrom)], "chrom string, chunk bigint, seq string"))
     got = lambda s, far: {r.sample: r.genotype for r in commands.back_genotype(target, samples, none, s, far).collect()}
-    assert got(slices, 1500) == {"same": "1"}
-    assert got(None, 1500) == {"same": "1", "other_bases": "1"}
-    assert set(got(None, commands.BACK_DIST)) == {"same", "other_bases", "too_far"}
+    assert got(slices, 1500) == {"t": "1", "same": "1"}
+    assert got(None, 1500) == {"t": "1", "same": "1", "other_bases": "1"}
+    assert set(got(None, commands.BACK_DIST)) == {"t", "same", "other_bases", "too_far"}

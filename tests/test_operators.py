@@ -242,8 +242,9 @@ def test_line_formats(spark, tmp_path):
     assert tabular.file_list([], [str(listed)]) == [str(ok)]
     with pytest.raises(ValueError):
         tabular.file_list([], [])
-    alignments = spark.createDataFrame([("1", "c", 0, 1, 9, 1, 9), ("1", "c", 0, 21, 30, 16, 25)], "ref_entry string, query_entry string, comp int, ref_start bigint, ref_end bigint, query_start bigint, query_end bigint")
-    assert [r.svkind for r in commands.gap_variants(tabular.show_diff_gaps(lines("1\tGAP\t10\t20\t11\t5\t6")), alignments).collect()] == ["SUBSDEL"]
+    alignments = spark.createDataFrame([("1", "c", 0, 1, 9, 1, 9, "9M"), ("1", "c", 0, 21, 30, 16, 25, "10M")], "ref_entry string, query_entry string, comp int, ref_start bigint, ref_end bigint, query_start bigint, query_end bigint, cigar string")
+    gaps = tabular.show_diff_gaps(lines("1\tGAP\t10\t20\t11\t6\t5", "1\tGAP\t10\t20\t11\t5\t6"))  # the second isn't what the alignments leave
+    assert [r.svkind for r in commands.gap_variants(gaps, alignments).collect()] == ["SUBSDEL"]
 
 
 def test_small_pieces(spark):
