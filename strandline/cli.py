@@ -82,7 +82,7 @@ def _refine(spark: SparkSession, o: argparse.Namespace) -> None:
     symbols = {"refseq": F.lit("N"), "altseq": F.when(F.col("svkind").startswith("SUBS"), "N").otherwise(F.concat(F.lit("<"), "svtype", F.lit(">")))}
     rows = result.variants.unionByName(result.inversions.where("status = 'ok'"), allowMissingColumns=True).withColumns(symbols)
     if o.includeseqs:
-        rows = allele_sequences(rows, ref, query)
+        rows = commands.allele_sequences(rows, ref, query)
     lines = sinks.refined_lines(rows)
     header = [] if o.noheader else sinks.refine_header(o.samplename, date.today().strftime("%Y%m%d"), o.refname)
     sinks.write_lines(spark, lines, o.outvcf, ["chrom", "pos", "sv_end", "line"], header)
@@ -92,19 +92,6 @@ def _refine(spark: SparkSession, o: argparse.Namespace) -> None:
         sinks.write_lines(spark, sinks.refined_regions(lines), o.svregions, ["chrom", "pos", "sv_end", "number"])
 
 
-def allele_sequences(rows: DataFrame, ref: Slices, query: Slices) -> DataFrame:
-    """Refined variants with the bases of their alleles as ``refseq, altseq``; those beyond the end of a sequence are left out."""
-    subs, turned = F.col("svkind").startswith("SUBS"), F.col("svtype") == "INV"
-    stop = F.when((F.col("svtype") == "DEL") | subs | turned, F.col("sv_end")).otherwise(F.col("pos"))
-    # The contig's bases of an inversion lie between its ends, read along the strand of the outer alignments.
-    first = F.when(turned & (F.col("comp") == 1), F.col("altend") + 2).otherwise(F.col("altpos"))
-    last = F.when(turned & (F.col("comp") == 1), F.col("altpos")).otherwise(F.col("altend"))
-    rows = ref(rows.drop("refseq", "altseq"), "chrom", F.col("pos"), stop, "refseq")
-    rows = query(rows, "query_entry", first, last, "altseq")
-    single = (F.col("altpos") == F.col("altend")) & (F.col("comp") == 1)
-    return rows.withColumn("altseq", F.when(single, F.translate(F.upper("altseq"), "ACGT", "TGCA")).otherwise(F.upper("altseq"))).where("refseq is not null and altseq is not null")
-
-
 def _backgenotype(spark: SparkSession, o: argparse.Namespace) -> None:
     listed = tabular.manifest(spark.read.text(o.manifest).withColumnRenamed("value", "line")).collect()  # one row a sample
     target = next((r for r in listed if r["sample"] == o.target), None)

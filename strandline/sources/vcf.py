@@ -148,6 +148,12 @@ def with_running_ids(records: DataFrame, prefix: str, order: list) -> DataFrame:
     return joined.withColumn("id", F.when(F.col("_lacks"), F.concat(F.lit(f"{prefix}_"), F.col("_rank").cast("string"))).otherwise(F.col("id"))).drop("_part", "_seq", "_lacks", "_rank", "_before")
 
 
+def natural_order(name: str) -> list[Column]:
+    """Sort columns for chromosome names: numbers as numbers, the others after them as text."""
+    number = F.col(name).try_cast("int")
+    return [number.isNull(), number, F.col(name)]
+
+
 def in_region(records: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     """Records that touch a region, as an indexed read would return them."""
     stop = F.coalesce(I.end_tag(F.col("info")), F.col("pos") + F.length("ref") - 1)
