@@ -7,13 +7,14 @@ With a given total a source that would need more than ``max_repeats`` uses is he
 
 A document is used ``floor(rate)`` times for certain; the fractional rest is rounded by the pivotal
 method: two fractional documents meet, and mass moves at random from the one to the other until one
-of them is integral (0 or 1 more use). Within a bucket the documents meet in pairs, neighbours by
-size, then the residuals of the pairs meet, and so on, so mass moves between documents of nearly one
-size and the token sum hardly changes; all pairs of a round are one array operation. The one document
-of a bucket that stays fractional goes up a reduction tree, ``FAN_IN`` buckets to a node, and a single
-coin decides about the last one of each source. Randomness is a hash of the two ids and the seed, so
-a task that runs again after a loss decides alike. Buckets have about ``BUCKET_DOCS`` documents of
-one source, so a source that holds most rows is settled by many tasks.
+of them is integral (0 or 1 more use). A bucket holds about ``BUCKET_DOCS`` documents of one source
+and one class of sizes (each class ``1 / CLASSES`` of a factor e wide), so a source that holds most
+rows is settled by many tasks. Within it the documents meet in pairs, neighbours by size, then the
+residuals of the pairs meet, and so on: mass moves between documents of nearly one size, and the
+token sum hardly changes; all pairs of a round are one array operation. The one document of a bucket
+that stays fractional goes up a reduction tree, ``FAN_IN`` buckets of like sizes to a node, and a
+single coin decides about the last one of each source. Randomness is a hash of the two ids and the
+seed, so a task that runs again after a loss decides alike.
 
 Defined results: documents without tokens (null or empty text) have no use; documents of sources
 without a target don't come out; sources without documents are reported with 0; a target share that
@@ -33,6 +34,7 @@ from strandline.llm.bpe import VOCABULARY, token_counts
 from strandline.session import durable
 
 BUCKET_DOCS = 4_096
+CLASSES = 16
 FAN_IN = 32
 SEED = 8
 
@@ -104,24 +106,28 @@ def mixed_uses(sizes: DataFrame, targets: DataFrame, total: int | None = None, s
     """``doc_id, source, n_tokens, uses`` of every document (``doc_id, source, n_tokens``) whose source has a target.
 
     ``sizes`` is read several times, so it should be a stored table. The driver sees one row for
-    each source of ``targets``.
+    each source of ``targets`` and class of sizes.
     """
     spark = sizes.sparkSession
     wanted = [tuple(r) for r in targets.select("source", "target_share", "max_repeats").collect()]
-    have = sizes.where(F.col("n_tokens") > 0).join(targets.select("source"), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect()
-    rate = rates({s: n for s, n, _ in have}, wanted, total)
-    counts = {s: c for s, _, c in have}
-    plan = [(s, int(math.floor(f + 1e-9)), max(0.0, f - math.floor(f + 1e-9)), max(1, math.ceil(counts[s] / BUCKET_DOCS))) for s, f in rate.items()]
-    plan_df = spark.createDataFrame(plan, "source string, base bigint, p double, buckets bigint")
-    listed = sizes.join(targets.select("source").distinct(), "source", "left_semi")
-    joined = listed.join(plan_df, "source", "left").select(
-        "doc_id", "source", "n_tokens",
-        F.when(F.col("n_tokens") > 0, F.coalesce("base", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("base"),
-        F.when((F.col("n_tokens") > 0) & (F.col("p") > 1e-9), F.col("p")).otherwise(F.lit(0.0)).alias("p"),
-        F.pmod(F.xxhash64("doc_id"), F.coalesce("buckets", F.lit(1))).cast("bigint").alias("bucket"),
-        F.lit(True).alias("open"),
+    sized = sizes.join(targets.select("source").distinct(), "source", "left_semi").withColumn("class", F.when(F.col("n_tokens") > 0, F.floor(F.log("n_tokens") * CLASSES)))
+    have = sized.where("n_tokens > 0").groupBy("source", "class").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
+    available: dict[str, int] = {}
+    for r in have:
+        available[r["source"]] = available.get(r["source"], 0) + r["n"]
+    rate = rates(available, wanted, total)
+    plan, first = [], dict.fromkeys(rate, 0)
+    for r in sorted(have, key=lambda r: (r["source"], -r["class"])):
+        if (f := rate.get(r["source"])) is not None:
+            whole, buckets = math.floor(f + 1e-9), math.ceil(r["docs"] / BUCKET_DOCS)
+            plan.append((r["source"], r["class"], whole, max(0.0, f - whole), first[r["source"]], buckets))
+            first[r["source"]] += buckets
+    plan_df = spark.createDataFrame(plan, "source string, class bigint, base bigint, p double, first bigint, buckets bigint")
+    joined = sized.join(plan_df, ["source", "class"], "left").select(
+        "doc_id", "source", "n_tokens", F.coalesce("base", F.lit(0)).cast("bigint").alias("base"), F.when(F.col("p") > 1e-9, F.col("p")).otherwise(F.lit(0.0)).alias("p"),
+        (F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("buckets"))).cast("bigint").alias("bucket"), F.lit(True).alias("open"),
     )
-    settled, now, left = joined.where("p = 0"), joined.where("p > 0"), max([1, *(b for *_, b in plan)])
+    settled, now, left = joined.where("p = 0"), joined.where("p > 0"), max([1, *first.values()])
     while True:
         level = now.groupBy("source", "bucket").applyInArrow(_bucket(seed), _SCHEMA)
         if left == 1:
