@@ -1,8 +1,8 @@
 """Lines that do not load, with the reason (problem 5).
 
 A strict load keeps the offsets (``line_id``) of the lines that conform in every point; subtracting
-them from the offsets of all data lines leaves the lines that fail, and only these are diagnosed,
-point by point. Quotation is judged on the pieces between the marks ``"``: pieces with odd numbers are
+them from the offsets of all data lines leaves those of the lines that fail, and only these lines are
+fetched and diagnosed, point by point; only offsets are shuffled for that unless most lines fail. Quotation is judged on the pieces between the marks ``"``: pieces with odd numbers are
 quoted, so tabs and semicolons are looked for in the even ones only.
 
 Defined results: null lines, blank lines and lines that begin with ``#`` are no data; one carriage
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import durable
+
 COLUMNS = 10
 MOST_POS = 400_000_000
 _HOLE = "\x1a"  # stands for a tab or semicolon inside a quotation
@@ -86,9 +88,12 @@ def strict_load(raw: DataFrame) -> DataFrame:
 
 def rejected(raw: DataFrame) -> DataFrame:
     """``line_id, reason`` of the data lines that the strict load leaves out."""
-    lines = data_lines(raw).select("line_id", "line")
+    lines = data_lines(raw.select("line_id", "raw_line")).select("line_id", "line")
     loaded = strict_load(raw.select("line_id", "raw_line")).select(F.col("line_id").alias("loaded_id"))
-    rest = parsed(lines.join(loaded, F.col("line_id").eqNullSafe(F.col("loaded_id")), "left_anti"))
+    # Offsets are subtracted from offsets; the table of the rest is stored, so that its size is known when the lines are fetched.
+    rest = lines.select("line_id").join(loaded, F.col("line_id").eqNullSafe(F.col("loaded_id")), "left_anti").select(F.col("line_id").alias("rest_id"))
+    rest = durable(rest.distinct(), "rejected")
+    rest = parsed(lines.join(rest, F.col("line_id").eqNullSafe(F.col("rest_id")), "left_semi"))
     reason = (
         F.when(~F.col("quoting_ok"), F.lit("quoting"))
         .when(F.size("cells") != COLUMNS, F.lit("columns"))
