@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.bandjoin import overlap_join
 from strandline.operators.coverage import overlapping
+from strandline.operators.ordering import with_previous
 
 BIN = 1 << 16
 
@@ -17,8 +18,9 @@ def regions_between(alignments: DataFrame, tie: list[str], max_size: int | None
     OVERLAP ``[start, end of the one before]`` if it begins before that end, else GAP ``[end of the
     one before, start]``; with ``max_size`` only regions less wide than that.
     """
-    order = Window.partitionBy("ref_entry", "query_entry").orderBy("ref_start", "ref_end", *tie)
-    rows = alignments.withColumn("before", F.lag("ref_end").over(order)).where(F.col("before").isNotNull())
+    needed = alignments.select("ref_entry", "query_entry", "ref_start", "ref_end", *tie)
+    rows = with_previous(needed, ["ref_entry", "query_entry"], ["ref_start", "ref_end", *tie], ["ref_end"], "_previous")
+    rows = rows.withColumn("before", F.col("_previous.ref_end")).where(F.col("before").isNotNull())
     overlap = F.col("ref_start") < F.col("before")
     out = rows.select(
         "ref_entry", F.when(overlap, "OVERLAP").otherwise("GAP").alias("kind"),

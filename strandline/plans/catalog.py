@@ -248,16 +248,14 @@ add("classic_match", f"SELECT pair_id FROM {GOOD_PAIRS} p WHERE {CLASSIC}")(lamb
 add("rate_match", f"SELECT pair_id FROM {GOOD_PAIRS} p WHERE subsdist <= 0.01 AND indeldist <= 0.1")(lambda s, d: distances(s, d).where(D.rate_match(0.01, 0.1)).select("pair_id"))
 
 _ACGT = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
-_LAG = f"(SELECT doc_id, h, lag(h) OVER (PARTITION BY item_id ORDER BY doc_id) AS g FROM (SELECT doc_id, item_id, {_ACGT} AS h FROM documents WHERE text IS NOT NULL))"
+_LAG = f"(SELECT b.doc_id, b.h, a.h AS g FROM (SELECT doc_id, {_ACGT} AS h FROM documents WHERE text IS NOT NULL) a JOIN (SELECT doc_id, {_ACGT} AS h FROM documents WHERE text IS NOT NULL) b ON b.doc_id = a.doc_id + 1)"
 
 
 def _neighbour_texts(s: SparkSession, d: str) -> DataFrame:
-    """Each text's bases as ``h`` and those of the one before it as ``g``."""
-    from pyspark.sql import Window
-
+    """Each text's bases as ``h`` and those of the one numbered before it as ``g``."""
     h = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
-    rows = table(s, d, "documents").where("text is not null").select("doc_id", "item_id", h.alias("h"))
-    return rows.select("doc_id", "h", F.lag("h").over(Window.partitionBy("item_id").orderBy("doc_id")).alias("g")).where("g is not null")
+    rows = table(s, d, "documents").where("text is not null")
+    return rows.select("doc_id", h.alias("h")).join(rows.select((F.col("doc_id") + 1).alias("doc_id"), h.alias("g")), "doc_id")
 
 
 def _aligned_texts(texts: DataFrame) -> DataFrame:

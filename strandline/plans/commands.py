@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import cigar as C
@@ -16,6 +16,7 @@ from strandline.operators import distances as D
 from strandline.operators import genotype as G
 from strandline.operators import intervals as V
 from strandline.operators.bandjoin import band_join, band_self_pairs
+from strandline.operators.ordering import ranked
 from strandline.operators.scoring import Benchmark, read_fraction, read_support, score, size_passes
 from strandline.session import durable
 from strandline.sources import vcf
@@ -148,10 +149,10 @@ def compare_in_order(first: DataFrame, second: DataFrame, slices: Slices | None
     ``status`` is ``missing`` where one side ends early, ``DIFFCHROMS``, or why a record can't be
     compared. Without ``slices`` only the columns that need no bases are there.
     """
-    numbers = Window.partitionBy("file").orderBy(*order)
     sides = []
     for rows, side in ((first, "a"), (second, "b")):
-        form = vcf.comparable(rows, ignore_length).withColumns({"reflength": F.length("ref").cast("bigint"), "altlength": F.length("alt").cast("bigint"), "n": F.row_number().over(numbers)})
+        form = vcf.comparable(rows, ignore_length).withColumns({"reflength": F.length("ref").cast("bigint"), "altlength": F.length("alt").cast("bigint")})
+        form = ranked(form, ["file"], list(order), "n")
         sides.append(form.select(*pair, "n", *(F.col(c).alias(f"{side}_{c}") for c in (*_SIDE, "chrom", "status", *keep))))
     both = sides[0].join(sides[1], [*pair, "n"], "full")
     status = F.when(F.col("a_status").isNull() | F.col("b_status").isNull(), "missing").when(~F.col("a_chrom").eqNullSafe(F.col("b_chrom")), "DIFFCHROMS").when(F.col("a_status") != "ok", F.col("a_status")).when(F.col("b_status") != "ok", F.col("b_status")).otherwise("ok")
@@ -350,14 +351,16 @@ def plot_segments(alignments: DataFrame, ref: tuple[str, int, int], query: tuple
 
 def axis_extents(segments: DataFrame, trim: bool = False) -> DataFrame:
     """Extents of both axes by pair of entries; trimmed, the lowest start and the highest end of more than four segments are left out."""
-    by = Window.partitionBy("ref_entry", "query_entry")
+    pair = ["ref_entry", "query_entry"]
     low, high = F.least("ref_start", "ref_end"), F.greatest("ref_start", "ref_end")
     qlow, qhigh = F.least("query_start", "query_end"), F.greatest("query_start", "query_end")
-    rows = segments.withColumns({"lo": low, "hi": high, "qlo": qlow, "qhi": qhigh})
+    rows = segments.select(*pair, low.alias("lo"), high.alias("hi"), qlow.alias("qlo"), qhigh.alias("qhi"), *(["align_no"] if trim else []))
     if trim:
-        rows = rows.withColumns({"n": F.count(F.lit(1)).over(by), "up": F.row_number().over(by.orderBy("lo", "align_no")), "down": F.row_number().over(by.orderBy(F.desc("hi"), "align_no"))})
-        rows = rows.withColumns({"lo": F.when((F.col("n") <= 4) | (F.col("up") > 1), F.col("lo")), "hi": F.when((F.col("n") <= 4) | (F.col("down") > 1), F.col("hi"))})
-    return rows.groupBy("ref_entry", "query_entry").agg(F.min("lo").alias("ref_from"), F.max("hi").alias("ref_to"), F.min("qlo").alias("query_from"), F.max("qhi").alias("query_to"))
+        first, last = F.struct("lo", "align_no"), F.struct((-F.col("hi")).alias("neg"), "align_no")
+        outer = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"), F.min(last).alias("last"))
+        few = F.col("n") <= 4
+        rows = rows.join(outer, pair).withColumns({"lo": F.when(few | (first != F.col("first")), F.col("lo")), "hi": F.when(few | (last != F.col("last")), F.col("hi"))})
+    return rows.groupBy(*pair).agg(F.min("lo").alias("ref_from"), F.max("hi").alias("ref_to"), F.min("qlo").alias("query_from"), F.max("qhi").alias("query_to"))
 
 
 def end_alignments(alignments: DataFrame, highest: bool = True) -> DataFrame:

@@ -379,3 +379,20 @@ def test_merged_regions_equal_a_sweep(spark):
                 want[-1][2] = reach
     got = V.merge_regions(spark.createDataFrame([*rows, (None, 1, 2), ("a", None, 2)], "k string, start bigint, end bigint"), "k").collect()
     assert sorted([list(r) for r in got]) == sorted(want)
+
+
+def test_numbers_and_neighbours_by_order_within_keys(spark):
+    from strandline.operators import ordering
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 20 + ["a", "b", None]), rng.randint(0, 400), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, p int, i int")
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        by.setdefault(r[0], []).append(r)
+    number = {r.i: r.n for r in ordering.ranked(df, ["k"], ["p", "i"], "n").collect()}
+    before = {r.i: r.x and tuple(r.x) for r in ordering.with_previous(df, ["k"], ["p", "i"], ["p", "i"], "x").collect()}
+    for mine in by.values():
+        assert [number[r[2]] for r in mine] == list(range(1, len(mine) + 1))
+        assert [before[r[2]] for r in mine] == [None, *(r[1:] for r in mine[:-1])]
+    assert ordering.ranked(df.limit(0), ["k"], ["p"], "n").count() == 0

@@ -174,3 +174,30 @@ def test_rejected_and_loaded_lines(spark):
 def test_very_long_line(spark):
     df = spark.createDataFrame([(1, line(info="N=" + "x" * 500_000)), (2, line(info=";".join(f'K{i}="v;{i}"' for i in range(5000)))), (3, line(info='A="' + "\t" * 100_000))], "line_id bigint, raw_line string")
     assert [tuple(r) for r in quarantine.rejected(df).collect()] == [(3, "quoting")]
+
+
+def test_packed_fields_of_great_length_take_linear_time(spark):
+    from time import time
+
+    n = 20_000
+    quoted, bare, doubled, ids = ",".join(['"AC;G"'] * n), ",".join(["ACG"] * n), '"' + '""' * n + '",T', ";".join(["X=1"] * n) + ";ClusterIDs=" + "|".join(["a.1"] * n) + ";END=5"
+    rows = [(1, quoted, None), (2, bare, ""), (3, doubled, None), (4, None, ids), (5, '"' * (2 * n + 1), "ClusterIDs='" + ";" * n + "','b'")]
+    df = spark.createDataFrame(rows, "row_id bigint, alt_allele string, info string")
+    began = time()
+    got = packed.split_packed(df).groupBy("row_id", "packed_field").agg({"idx": "max", "item": "max"}).collect()
+    assert time() - began < 60
+    assert {(r.row_id, r.packed_field): r["max(idx)"] for r in got} == {(1, "ALT"): n, (2, "ALT"): n, (3, "ALT"): 2, (4, "ClusterIDs"): n, (5, "ClusterIDs"): 2}
+
+
+def test_info_entries_with_separators_and_control_characters_in_quotations(spark):
+    info = "A='x;y';B=\x1a1;ClusterIDs=\"p;q\x1a\"\"r\" , s;ClusterIDs=z,z"
+    df = spark.createDataFrame([(1, "A", info)], "row_id bigint, alt_allele string, info string")
+    assert [(r.idx, r.item) for r in packed.split_packed(df).orderBy("idx").collect()] == [(1, 'p;q\x1a"r'), (2, "s")]
+
+
+def test_strict_load_with_clashing_columns(spark):
+    line = "1\t5\tx\tA\tC\t.\t.\t.\tGT\t0"
+    df = spark.createDataFrame([(1, line, "own", "kept", 7)], "line_id bigint, raw_line string, vcf_pos string, line string, cells int")
+    row = quarantine.strict_load(df).first().asDict()
+    assert row["vcf_pos"] == 5 and row["line"] == "kept" and row["cells"] == 7 and row["vcf_chrom"] == "1"
+    assert quarantine.rejected(df).count() == 0 and quarantine.rejected(df.withColumn("raw_line", df.line)).first().reason == "columns"
