@@ -35,17 +35,25 @@ def odd_pieces(field: Column) -> Column:
     return F.regexp_extract_all(field, F.lit(_QUOTATION), F.lit(0))
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: inside a lambda an expression would be evaluated anew at each element, a variable isn't."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def literals(even: Column, odd: Column) -> Column:
-    """Array of ``(at, text)``: the contents of the quotations, doubled marks joined; ``at`` is the number of the even piece before it."""
+    """Array of ``(at, text)``: the contents of the quotations, doubled marks joined; ``at`` is the number of the even piece before it. Both arguments must be variables (see :func:`_once`)."""
     mark = lambda x: F.substring(x, 1, 1)
     content = F.transform(odd, lambda x: F.regexp_replace(F.regexp_replace(x, "^[\"']", ""), F.concat(mark(x), F.lit(r"\z")), ""))
     opens = lambda i: (i == 0) | (F.get(even, i) != "") | (mark(F.get(odd, i)) != mark(F.get(odd, i - 1)))
     numbers = F.when(F.size(odd) > 0, F.sequence(F.lit(0), F.size(odd) - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(numbers, opens)
-    upto = lambda k: F.coalesce(F.get(starts, k + 1), F.size(odd))
-    run = lambda i, k: F.slice(content, i + 1, upto(k) - i)
-    joined = lambda i, k: F.when(mark(F.get(odd, i)) == '"', F.array_join(run(i, k), '"')).otherwise(F.array_join(run(i, k), "'"))
-    return F.transform(starts, lambda i, k: F.struct(i.alias("at"), joined(i, k).alias("text")))
+
+    def joined(x: Column) -> Column:
+        upto = lambda k: F.coalesce(F.get(x["starts"], k + 1), F.size(odd))
+        run = lambda i, k: F.slice(x["content"], i + 1, upto(k) - i)
+        text = lambda i, k: F.when(mark(F.get(odd, i)) == '"', F.array_join(run(i, k), '"')).otherwise(F.array_join(run(i, k), "'"))
+        return F.transform(x["starts"], lambda i, k: F.struct(i.alias("at"), text(i, k).alias("text")))
+
+    return _once(F.struct(content.alias("content"), F.filter(numbers, opens).alias("starts")), joined)
 
 
 def split_items(piece: Column, item_pattern: str) -> Column:
@@ -64,8 +72,7 @@ def packed_items(field: Column, item_pattern: str) -> Column:
         quoted = F.transform(found, lambda x: F.struct((x["at"] * 2 + 1).alias("at"), F.array(x["text"]).alias("items")))
         return F.filter(F.flatten(F.transform(F.array_sort(F.concat(plain, quoted)), lambda x: x["items"])), lambda x: x != "")
 
-    # A one-element array keeps the two lists from being worked out again at each use.
-    return F.element_at(F.transform(F.array(F.struct(even.alias("even"), odd.alias("odd"))), assembled), 1)
+    return _once(F.struct(even.alias("even"), odd.alias("odd")), assembled)
 
 
 def info_entries(info: Column) -> Column:

@@ -83,7 +83,8 @@ def strict_load(raw: DataFrame) -> DataFrame:
     lengths = F.transform("cells", lambda c: F.length(c) + 1)
     begins = F.transform(F.sequence(F.lit(0), F.lit(COLUMNS - 1)), lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(1), lambda a, b: a + b))
     text = [F.col("line").substr(F.get(begins, F.lit(i)), F.length(F.get("cells", F.lit(i)))) for i in range(COLUMNS)]
-    return good.select("_row.*", *(t.cast("bigint").alias(f"vcf_{n}") if n == "pos" else t.alias(f"vcf_{n}") for n, t in zip(VCF_COLUMNS, text)))
+    loaded = F.struct(*(t.cast("bigint").alias(f"vcf_{n}") if n == "pos" else t.alias(f"vcf_{n}") for n, t in zip(VCF_COLUMNS, text)))
+    return good.select("_row", loaded.alias("_vcf")).select("_row.*", "_vcf.*")
 
 
 def rejected(raw: DataFrame) -> DataFrame:
