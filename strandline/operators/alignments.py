@@ -66,21 +66,85 @@ def region_slices(pairs: DataFrame, alignments: DataFrame, buffer: int, segment:
     return rows.where(kept).drop("enter", "stop")
 
 
-def spanning(slices: DataFrame, buffer: int) -> DataFrame:
-    """Adds ``spans``: whether the alignment lies strictly over the whole buffered region."""
-    return slices.withColumn("spans", (F.col("ref_entry") == F.col("chrom")) & (F.col("ref_start") < F.col("start") - buffer) & (F.col("ref_end") > F.col("end") + buffer))
+FEW = 1 << 20  # contigs whose hashes are broadcast
 
 
-def region_status(slices: DataFrame) -> DataFrame:
-    """``region_id, query_entry, n_ref, status`` of each slice: NOVARFOUND, SIMPLE, INVERSION, MULTIALIGNS or OTHER."""
-    on = F.col("ref_entry") == F.col("chrom")
-    strands = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(on, F.struct("n", "comp")))), lambda x: x["comp"].cast("string")), "")
-    by = slices.groupBy("region_id", "query_entry").agg(F.count_if(on).alias("n_ref"), F.count_if(on & ~F.col("spans")).alias("broken"), strands.alias("strands"))
+def _segments(buffer: int, segment: int) -> tuple[Column, Column, Column, Column]:
+    """First and last base of the segments left and right of a region."""
+    first, last = F.col("start") - buffer, F.col("end") + buffer
+    return first, first + segment - 1, last - segment + 1, last
+
+
+def _level(buffer: int, segment: int, bin_size: int) -> Column:
+    """The region with its buffers fits into ``bin_size << level`` bases."""
+    a, b, c, d = _segments(buffer, segment)
+    times = F.call_function("div", F.greatest(F.greatest(b, d) - F.least(a, c) - 1, F.lit(0)), F.lit(bin_size))
+    return F.when(times == 0, 0).otherwise(F.length(F.bin(times)))
+
+
+def _bin_width(bin_size: int) -> Column:
+    return F.expr(f"shiftleft({bin_size}L, _level)")
+
+
+def region_levels(regions: DataFrame, buffer: int, segment: int, bin_size: int) -> DataFrame:
+    """``chrom, levels``: the levels of each chromosome's regions."""
+    return regions.groupBy("chrom").agg(F.collect_set(_level(buffer, segment, bin_size)).alias("levels"))
+
+
+def placed(alignments: DataFrame, levels: DataFrame) -> DataFrame:
+    """The alignments to chromosomes of ``levels``, numbered in the order of their contig (``rn``) and within its chromosome (``n``).
+
+    With the contig's next alignment on the chromosome as ``next_rn``, the strands of the next two as
+    ``comp_1, comp_2``, and ``reach``: its end, or the last base before which no other of them begins
+    and which one so far still covers. Alignments to other chromosomes only count for ``rn``.
+    """
+    on = F.col("chrom").isNotNull()
+    rows = alignments.where("query_entry is not null").join(F.broadcast(levels.select("chrom")), F.col("ref_entry") == F.col("chrom"), "left")
+    contigs = durable(rows.where(on).select(F.xxhash64("query_entry").alias("_id")).distinct(), "contigs")
+    rows = rows.select("query_entry", "chrom", "ref_start", "ref_end", "align_no", *(F.when(on, F.col(c)).alias(c) for c in ("query_start", "query_end", "comp", "cigar")))
+    if contigs.count() <= FEW:  # contigs without any of these chromosomes need no shuffle; equal hashes only let some through
+        rows = rows.join(F.broadcast(contigs), F.xxhash64("query_entry") == F.col("_id"), "left_semi")
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("query_entry").orderBy("ref_start", "ref_end", "align_no"))).where(on)
+    mine = Window.partitionBy("query_entry", "chrom").orderBy("rn")
+    nxt = lambda c, k=1: F.lead(c, k).over(mine)
+    rows = rows.withColumns({"n": F.row_number().over(mine), "next_rn": nxt("rn"), "comp_1": nxt("comp"), "comp_2": nxt("comp", 2), "_next": nxt("ref_start"), "_top": F.max("ref_end").over(mine.rowsBetween(Window.unboundedPreceding, 0))})
+    return rows.withColumn("reach", F.greatest("ref_end", F.least(F.col("_next") - 1, "_top"))).drop("_next", "_top")
+
+
+def region_pairs(regions: DataFrame, rows: DataFrame, levels: DataFrame, buffer: int, segment: int, bin_size: int = 1 << 16) -> DataFrame:
+    """``region_id, chrom, query_entry, first, n_ref, status, spans`` of each region and contig that spans it, from the alignments of :func:`placed`.
+
+    The slice is that of :func:`region_slices`; of it, the alignments to the region's chromosome have
+    the numbers ``first`` to ``first + n_ref - 1``, and ``spans`` those over the whole buffered region.
+    ``status`` is NOVARFOUND, SIMPLE, INVERSION, MULTIALIGNS or OTHER.
+
+    A region is looked up in one bin, where each contig is one row with its alignments over that bin
+    and the next, so nothing of a pair is shuffled. The slice ends before the one after the last that
+    begins up to the right segment; that last one lies in the bin by its ``reach``, as a pair has an
+    alignment over the segment.
+    """
+    left, left_end, right, right_end = _segments(buffer, segment)
+    spread = rows.join(F.broadcast(levels), "chrom").withColumn("_level", F.explode("levels")).withColumn("_width", _bin_width(bin_size)).where("reach >= ref_start")
+    spread = spread.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("ref_start") / F.col("_width")) - 1, F.floor(F.col("reach") / F.col("_width")))))
+    one = F.struct("rn", F.col("ref_start").alias("s"), F.col("ref_end").alias("e"), "n", "next_rn", "comp", "comp_1", "comp_2")
+    pieces = spread.groupBy("chrom", "_level", "_bin", "query_entry").agg(F.array_sort(F.collect_list(one)).alias("_rows"), F.min("ref_start").alias("_low"), F.max("ref_end").alias("_high"))
+    marks = regions.select("region_id", "chrom", "start", "end").distinct().withColumn("_level", _level(buffer, segment, bin_size))
+    marks = marks.withColumn("_bin", F.floor(F.least(left, right) / _bin_width(bin_size)))
+    near = (F.col("_low") < F.least(left, right)) & (F.col("_high") > F.greatest(left_end, right_end))
+    over = lambda a, b: F.transform(F.filter("_rows", lambda x: (x["s"] < a) & (x["e"] > b)), lambda x: x["comp"])
+    pairs = marks.join(pieces, ["chrom", "_level", "_bin"]).where(near).where(F.arrays_overlap(over(left, left_end), over(right, right_end)))
+    pairs = pairs.withColumn("_enter", F.filter("_rows", lambda x: x["e"] > left_end)[0])
+    pairs = pairs.withColumn("_last", F.element_at(F.filter("_rows", lambda x: (x["s"] <= right) | (x["rn"] <= F.col("_enter.rn"))), -1))
+    third = F.coalesce(F.col("_last.next_rn") - F.col("_enter.rn") == 2, F.lit(False)).cast("bigint")
+    pairs = pairs.withColumn("n_ref", F.col("_last.n") - F.col("_enter.n") + 1 + third)
+    kept = lambda x: (x["s"] < left) & (x["e"] > right_end) & (x["n"] >= F.col("_enter.n")) & (x["n"] < F.col("_enter.n") + F.col("n_ref"))
+    pairs = pairs.withColumn("spans", F.transform(F.filter("_rows", kept), lambda x: x["n"]))
+    same, turned = F.col("_enter.comp") == F.col("_enter.comp_1"), F.col("_enter.comp_1") != F.col("_enter.comp_2")
     status = (
-        F.when(F.col("broken") == 0, "NOVARFOUND").when(F.col("n_ref") > 3, "MULTIALIGNS")
-        .when(F.col("strands").isin("00", "11", "000", "111"), "SIMPLE").when(F.col("strands").isin("010", "101"), "INVERSION").otherwise("OTHER")
+        F.when(F.size("spans") == F.col("n_ref"), "NOVARFOUND").when(F.col("n_ref") > 3, "MULTIALIGNS")
+        .when(same & ((F.col("n_ref") == 2) | ((F.col("n_ref") == 3) & ~turned)), "SIMPLE").when((F.col("n_ref") == 3) & ~same & turned, "INVERSION").otherwise("OTHER")
     )
-    return by.select("region_id", "query_entry", "n_ref", status.alias("status"))
+    return pairs.select("region_id", "chrom", "query_entry", F.col("_enter.n").alias("first"), "n_ref", status.alias("status"), "spans")
 
 
 def consecutive_breaks(alignments: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

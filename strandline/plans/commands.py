@@ -175,22 +175,26 @@ class Refined:
 
 def refine(alignments: DataFrame, regions: DataFrame, contigs: DataFrame, buffer: int = 0, segment: int = 50, max_size: int = 0, bin_size: int = V.BIN) -> Refined:
     """Variants, homozygous-reference stretches and uncovered regions from alignments of contigs (``region_id, chrom, start, end`` regions)."""
-    inside = V.away_from_edges(regions, contigs, buffer)
+    named = durable(contigs.join(F.broadcast(regions.select("chrom").distinct()), "chrom", "left_semi").select("chrom", "contig_len"), "named")
+    inside = V.away_from_edges(regions, F.broadcast(named), buffer)
     usable = inside.where("status = 'ok'").drop("status")
-    pairs = durable(V.spanning_pairs(usable, alignments, buffer, segment, bin_size), "pairs")
-    needed = alignments.select("align_no", "ref_entry", "query_entry", "ref_start", "ref_end", "query_start", "query_end", "comp", "cigar")
-    slices = durable(A.spanning(A.region_slices(pairs, needed, buffer, segment, bin_size), buffer), "slices")
-    status = A.region_status(slices)
-    on = slices.where("ref_entry = chrom")
-    coverage = on.where("spans").select("chrom", F.col("ref_start").alias("r_start"), F.col("ref_end").alias("r_end"), "query_entry", "query_start", "query_end")
-    simple = on.join(status.where("status = 'SIMPLE'").select("region_id", "query_entry"), ["region_id", "query_entry"])
-    breaks = A.classified(A.consecutive_breaks(simple, ["region_id", "query_entry"], ["ref_start", "ref_end", "align_no"])).withColumn("status", A.break_status(max_size))
+    levels = durable(A.region_levels(usable, buffer, segment, bin_size), "levels")
+    rows = durable(A.placed(alignments, levels), "placed")
+    pairs = durable(A.region_pairs(usable, rows, levels, buffer, segment, bin_size), "pairs")
+    status = pairs.select("region_id", "query_entry", "n_ref", "status")
+    # Only pairs with a variant get their alignments back, and each alignment its number of regions.
+    number = F.explode(F.sequence(F.col("first"), (F.col("first") + F.col("n_ref") - 1).cast("int"))).alias("n")
+    details = rows.select("query_entry", "chrom", "n", F.col("chrom").alias("ref_entry"), "align_no", "ref_start", "ref_end", "query_start", "query_end", "comp", "cigar")
+    slices = lambda kind: pairs.where(F.col("status") == kind).select("region_id", "chrom", "query_entry", number).join(details, ["query_entry", "chrom", "n"])
+    over = pairs.select("query_entry", "chrom", F.explode("spans").alias("n")).groupBy("query_entry", "chrom", "n").agg(F.count(F.lit(1)).alias("regions")).join(details, ["query_entry", "chrom", "n"])
+    over = over.select("chrom", F.col("ref_start").alias("r_start"), F.col("ref_end").alias("r_end"), "query_entry", "query_start", "query_end", "regions")
+    coverage = over.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("regions")))).drop("regions", "_i")
+    breaks = A.classified(A.consecutive_breaks(slices("SIMPLE"), ["region_id", "query_entry"], ["n"])).withColumn("status", A.break_status(max_size))
     called = durable(A.output_coordinates(A.widened(breaks.where("status = 'ok'"))), "called")
-    turned = on.join(status.where("status = 'INVERSION'").select("region_id", "query_entry"), ["region_id", "query_entry"])
     unseen = V.uncovered(usable, pairs)
     chrom_end = inside.where("status = 'chromend'").select("region_id", F.lit(None).cast("string").alias("query_entry"), F.lit(0).cast("bigint").alias("n_ref"), F.lit("CHROMEND").alias("status"))
-    flags = lambda rows: V.covered_flags(rows.withColumn("_k", F.xxhash64("region_id", "query_entry", "pos", "sv_end", "altpos", "altend")), coverage.select("chrom", "r_start", "r_end"), ["_k"], "pos", "sv_end").drop("_k")
-    inverted = durable(A.inversions(turned, ["region_id", "query_entry"], ["n"]), "inverted")
+    flags = lambda rows: V.covered_flags(rows.withColumn("_k", F.xxhash64("region_id", "query_entry", "pos", "sv_end", "altpos", "altend")), over.select("chrom", "r_start", "r_end"), ["_k"], "pos", "sv_end").drop("_k")
+    inverted = durable(A.inversions(slices("INVERSION"), ["region_id", "query_entry"], ["n"]), "inverted")
     return Refined(flags(called.where("status = 'ok'")), flags(inverted), coverage, unseen, status.unionByName(chrom_end))
 
 
