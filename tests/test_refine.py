@@ -70,3 +70,14 @@ def test_status_stores_one_row_for_a_pair(spark):
     found, held, _ = stored(spark, lambda: commands.refine(spark.createDataFrame(rows, ROWS), spark.createDataFrame(regions, REGIONS), contigs, 20, 30))
     assert found.status.where("status = 'NOVARFOUND' and n_ref = 1").count() == 6000
     assert held <= 6000 + 100  # was 24,000
+
+
+def test_variants_store_alignments_of_their_pairs_only(spark):
+    rows = [("a", f"q{q}", 100, 9000, 100, 9000, q, 0, "8901M") for q in range(1, 20)]
+    rows += [("a", "q0", 100, 1050, 100, 1050, 100, 0, "951M"), ("a", "q0", 1091, 9000, 1051, 8960, 101, 0, "7910M")]  # 40 bases are missing
+    regions = [(f"g{i}", "a", 1031 + i, 1100 + i) for i in range(300)]
+    contigs = spark.createDataFrame([("a", 100_000), *((f"x{i}", 100_000) for i in range(5000))], "chrom string, contig_len bigint")
+    found, held, _ = stored(spark, lambda: commands.refine(spark.createDataFrame(rows, ROWS), spark.createDataFrame(regions, REGIONS), contigs, 20, 10))
+    got = found.variants.select("query_entry", "svtype", "pos", "sv_end", "svlen", "covered").distinct().collect()
+    assert [tuple(r) for r in got] == [("q0", "DEL", 1050, 1090, 40, True)]
+    assert held <= 20 * 300 + 100  # was 17,907
