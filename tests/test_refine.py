@@ -81,3 +81,13 @@ def test_variants_store_alignments_of_their_pairs_only(spark):
     got = found.variants.select("query_entry", "svtype", "pos", "sv_end", "svlen", "covered").distinct().collect()
     assert [tuple(r) for r in got] == [("q0", "DEL", 1050, 1090, 40, True)]
     assert held <= 20 * 300 + 100  # was 17,907
+
+
+def test_coverage_counts_the_regions_of_an_alignment(spark):
+    rows = [("a", f"q{q}", 100, 9000, 100, 9000 + q, q, 0, "8901M") for q in range(20)]
+    regions = [(f"g{i}", "a", 1000 + i, 1100 + i) for i in range(300)]
+    contigs = spark.createDataFrame([("a", 100_000)], "chrom string, contig_len bigint")
+    found, held, _ = stored(spark, lambda: commands.refine(spark.createDataFrame(rows, ROWS), spark.createDataFrame(regions, REGIONS), contigs, 20, 30))
+    got = found.coverage.groupBy(*found.coverage.columns).count().collect()
+    assert sorted(map(tuple, got)) == sorted(("a", 100, 9000, f"q{q}", 100, 9000 + q, 300) for q in range(20))
+    assert held <= 20 * 300 + 100  # was 18,000
