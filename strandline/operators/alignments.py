@@ -112,7 +112,7 @@ def placed(alignments: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def region_pairs(regions: DataFrame, rows: DataFrame, levels: DataFrame, buffer: int, segment: int, bin_size: int = 1 << 16) -> DataFrame:
-    """``region_id, chrom, query_entry, first, n_ref, status, spans`` of each region and contig that spans it, from the alignments of :func:`placed`.
+    """``region_id, chrom, start, end, query_entry, first, n_ref, status, spans`` of each region and contig that spans it, from the alignments of :func:`placed`.
 
     The slice is that of :func:`region_slices`; of it, the alignments to the region's chromosome have
     the numbers ``first`` to ``first + n_ref - 1``, and ``spans`` those over the whole buffered region.
@@ -144,7 +144,7 @@ def region_pairs(regions: DataFrame, rows: DataFrame, levels: DataFrame, buffer:
         F.when(F.size("spans") == F.col("n_ref"), "NOVARFOUND").when(F.col("n_ref") > 3, "MULTIALIGNS")
         .when(same & ((F.col("n_ref") == 2) | ((F.col("n_ref") == 3) & ~turned)), "SIMPLE").when((F.col("n_ref") == 3) & ~same & turned, "INVERSION").otherwise("OTHER")
     )
-    return pairs.select("region_id", "chrom", "query_entry", F.col("_enter.n").alias("first"), "n_ref", status.alias("status"), "spans")
+    return pairs.select("region_id", "chrom", "start", "end", "query_entry", F.col("_enter.n").alias("first"), "n_ref", status.alias("status"), "spans")
 
 
 def consecutive_breaks(alignments: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

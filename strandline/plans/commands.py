@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,13 +165,65 @@ def compare_in_order(first: DataFrame, second: DataFrame, slices: Slices | None
 
 @dataclass(frozen=True)
 class Refined:
-    """``inversions`` hold those that failed the symmetry rules too, by ``status``."""
+    """The parts of :func:`refine`, each worked out when it is first asked for.
 
-    variants: DataFrame
-    inversions: DataFrame
-    coverage: DataFrame
-    uncovered: DataFrame
-    status: DataFrame
+    ``pairs`` are joined from ``regions`` and ``rows`` each time: for ``status``, for ``uncovered``, and once for ``found``, on which the others rest.
+    ``inversions`` hold those that failed the symmetry rules too, by ``status``.
+    """
+
+    regions: DataFrame
+    chrom_ends: DataFrame
+    rows: DataFrame
+    pairs: DataFrame
+    max_size: int
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """What is stored of the pairs: a row for each that may hold a variant, and for each spanning alignment (without ``kind``) its number of ``regions``."""
+        place = ("region_id", "start", "end", "n_ref")
+        none = [F.lit(None).cast(self.pairs.schema[c].dataType).alias(c) for c in place]
+        spanning = F.transform("spans", lambda n: F.struct(n.alias("n"), *none, F.lit(None).cast("string").alias("kind")))
+        broken = F.filter(F.array(F.struct(F.col("first").alias("n"), *place, F.col("status").alias("kind"))), lambda x: x["kind"].isin("SIMPLE", "INVERSION"))
+        rows = self.pairs.select("query_entry", "chrom", F.explode(F.concat(spanning, broken)).alias("x")).select("query_entry", "chrom", "x.*")
+        return durable(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("regions")), "found")
+
+    def _details(self, numbers: DataFrame) -> DataFrame:
+        details = self.rows.select("query_entry", "chrom", "n", F.col("chrom").alias("ref_entry"), "align_no", "ref_start", "ref_end", "query_start", "query_end", "comp", "cigar")
+        return numbers.join(details, ["query_entry", "chrom", "n"])
+
+    def _slices(self, kind: str) -> DataFrame:
+        number = F.explode(F.sequence(F.col("n"), (F.col("n") + F.col("n_ref") - 1).cast("int"))).alias("n")
+        return self._details(self.found.where(F.col("kind") == kind).select("region_id", "chrom", "query_entry", number))
+
+    def _over(self) -> DataFrame:
+        return self._details(self.found.where("kind is null").select("query_entry", "chrom", "n", "regions")).select("chrom", F.col("ref_start").alias("r_start"), F.col("ref_end").alias("r_end"), "query_entry", "query_start", "query_end", "regions")
+
+    def _flags(self, rows: DataFrame) -> DataFrame:
+        keyed = rows.withColumn("_k", F.xxhash64("region_id", "query_entry", "pos", "sv_end", "altpos", "altend"))
+        return V.covered_flags(keyed, self._over().select("chrom", "r_start", "r_end"), ["_k"], "pos", "sv_end").drop("_k")
+
+    @cached_property
+    def variants(self) -> DataFrame:
+        breaks = A.classified(A.consecutive_breaks(self._slices("SIMPLE"), ["region_id", "query_entry"], ["n"])).withColumn("status", A.break_status(self.max_size))
+        called = durable(A.output_coordinates(A.widened(breaks.where("status = 'ok'"))), "called")
+        return self._flags(called.where("status = 'ok'"))
+
+    @cached_property
+    def inversions(self) -> DataFrame:
+        return self._flags(durable(A.inversions(self._slices("INVERSION"), ["region_id", "query_entry"], ["n"]), "inverted"))
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return self._over().withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("regions")))).drop("regions", "_i")
+
+    @cached_property
+    def uncovered(self) -> DataFrame:
+        return V.uncovered(self.regions, self.pairs.select("region_id").distinct())
+
+    @cached_property
+    def status(self) -> DataFrame:
+        chrom_end = self.chrom_ends.select("region_id", F.lit(None).cast("string").alias("query_entry"), F.lit(0).cast("bigint").alias("n_ref"), F.lit("CHROMEND").alias("status"))
+        return self.pairs.select("region_id", "query_entry", "n_ref", "status").unionByName(chrom_end)
 
 
 def refine(alignments: DataFrame, regions: DataFrame, contigs: DataFrame, buffer: int = 0, segment: int = 50, max_size: int = 0, bin_size: int = V.BIN) -> Refined:
@@ -180,22 +233,7 @@ def refine(alignments: DataFrame, regions: DataFrame, contigs: DataFrame, buffer
     usable = inside.where("status = 'ok'").drop("status")
     levels = durable(A.region_levels(usable, buffer, segment, bin_size), "levels")
     rows = durable(A.placed(alignments, levels), "placed")
-    pairs = durable(A.region_pairs(usable, rows, levels, buffer, segment, bin_size), "pairs")
-    status = pairs.select("region_id", "query_entry", "n_ref", "status")
-    # Only pairs with a variant get their alignments back, and each alignment its number of regions.
-    number = F.explode(F.sequence(F.col("first"), (F.col("first") + F.col("n_ref") - 1).cast("int"))).alias("n")
-    details = rows.select("query_entry", "chrom", "n", F.col("chrom").alias("ref_entry"), "align_no", "ref_start", "ref_end", "query_start", "query_end", "comp", "cigar")
-    slices = lambda kind: pairs.where(F.col("status") == kind).select("region_id", "chrom", "query_entry", number).join(details, ["query_entry", "chrom", "n"])
-    over = pairs.select("query_entry", "chrom", F.explode("spans").alias("n")).groupBy("query_entry", "chrom", "n").agg(F.count(F.lit(1)).alias("regions")).join(details, ["query_entry", "chrom", "n"])
-    over = over.select("chrom", F.col("ref_start").alias("r_start"), F.col("ref_end").alias("r_end"), "query_entry", "query_start", "query_end", "regions")
-    coverage = over.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("regions")))).drop("regions", "_i")
-    breaks = A.classified(A.consecutive_breaks(slices("SIMPLE"), ["region_id", "query_entry"], ["n"])).withColumn("status", A.break_status(max_size))
-    called = durable(A.output_coordinates(A.widened(breaks.where("status = 'ok'"))), "called")
-    unseen = V.uncovered(usable, pairs)
-    chrom_end = inside.where("status = 'chromend'").select("region_id", F.lit(None).cast("string").alias("query_entry"), F.lit(0).cast("bigint").alias("n_ref"), F.lit("CHROMEND").alias("status"))
-    flags = lambda rows: V.covered_flags(rows.withColumn("_k", F.xxhash64("region_id", "query_entry", "pos", "sv_end", "altpos", "altend")), over.select("chrom", "r_start", "r_end"), ["_k"], "pos", "sv_end").drop("_k")
-    inverted = durable(A.inversions(slices("INVERSION"), ["region_id", "query_entry"], ["n"]), "inverted")
-    return Refined(flags(called.where("status = 'ok'")), flags(inverted), coverage, unseen, status.unionByName(chrom_end))
+    return Refined(usable, inside.where("status = 'chromend'"), rows, A.region_pairs(usable, rows, levels, buffer, segment, bin_size), max_size)
 
 
 def allele_sequences(rows: DataFrame, ref: Slices, query: Slices) -> DataFrame:

@@ -91,3 +91,13 @@ def test_coverage_counts_the_regions_of_an_alignment(spark):
     got = found.coverage.groupBy(*found.coverage.columns).count().collect()
     assert sorted(map(tuple, got)) == sorted(("a", 100, 9000, f"q{q}", 100, 9000 + q, 300) for q in range(20))
     assert held <= 20 * 300 + 100  # was 18,000
+
+
+def test_variants_store_no_pair_without_one(spark):
+    rows = [("a", f"q{q}", 100, 9000, 100, 9000, q, 0, "8901M") for q in range(1, 20)]
+    rows += [("a", "q0", 100, 1050, 100, 1050, 100, 0, "951M"), ("a", "q0", 1091, 9000, 1051, 8960, 101, 0, "7910M")]
+    regions = [(f"g{i}", "a", 1031 + i, 1100 + i) for i in range(300)]
+    contigs = spark.createDataFrame([("a", 100_000)], "chrom string, contig_len bigint")
+    got, held, _ = stored(spark, lambda: commands.refine(spark.createDataFrame(rows, ROWS), spark.createDataFrame(regions, REGIONS), contigs, 20, 10).variants.select("query_entry", "pos", "sv_end", "svlen", "covered").collect())
+    assert len(got) > 10 and set(map(tuple, got)) == {("q0", 1050, 1090, 40, True)}
+    assert held <= 2 * len(got) + 100  # was more than the 5,700 pairs without a variant
