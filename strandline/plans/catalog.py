@@ -420,7 +420,7 @@ add("refine_status", f"WITH {_SLICED} SELECT region_id, query_entry, n_ref, stat
 add("refine_variants", f"WITH {_SLICED} SELECT region_id, query_entry, svkind, pos, sv_end, svlen, wide_from, wide_to, altwide_from, altwide_to, EXISTS (SELECT 1 FROM covers v WHERE v.chrom = c.chrom AND r_start <= pos AND r_end >= sv_end) AS covered FROM {_CALLED} c")(
     lambda s, d: refined(s, d).variants.select("region_id", "query_entry", "svkind", "pos", "sv_end", "svlen", "wide_from", "wide_to", "altwide_from", "altwide_to", "covered")
 )
-add("refine_coverage", f"WITH {_SLICED} SELECT * FROM covers")(lambda s, d: refined(s, d).coverage.distinct())
+add("refine_coverage", f"WITH {_SLICED} SELECT * FROM covers")(lambda s, d: refined(s, d).spanning.drop("regions").distinct())
 _GROUPED = f"(SELECT * FROM {ALIGNMENTS} a)"
 add("longest_alignments", f"WITH a AS {_GROUPED}, p AS (SELECT DISTINCT query_entry, unnest([least(query_start, query_end), greatest(query_start, query_end)]) AS p FROM a), best AS (SELECT DISTINCT arg_min(align_no, (lo - hi, align_no)) AS align_no FROM p JOIN (SELECT query_entry, align_no, least(query_start, query_end) AS lo, greatest(query_start, query_end) AS hi FROM a) x ON x.query_entry = p.query_entry AND lo <= p AND p <= hi GROUP BY p.query_entry, p) SELECT align_no, align_no NOT IN (SELECT align_no FROM best) AS redundant FROM a")(
     lambda s, d: V.longest_at_endpoints(alignments(s, d), "query_entry", "query_start", "query_end", "align_no", 1 << 11).select("align_no", "redundant")

@@ -195,12 +195,15 @@ class Refined:
         number = F.explode(F.sequence(F.col("n"), (F.col("n") + F.col("n_ref") - 1).cast("int"))).alias("n")
         return self._details(self.found.where(F.col("kind") == kind).select("region_id", "chrom", "query_entry", number))
 
-    def _over(self) -> DataFrame:
-        return self._details(self.found.where("kind is null").select("query_entry", "chrom", "n", "regions")).select("chrom", F.col("ref_start").alias("r_start"), F.col("ref_end").alias("r_end"), "query_entry", "query_start", "query_end", "regions")
+    @cached_property
+    def spanning(self) -> DataFrame:
+        """``chrom, r_start, r_end, query_entry, query_start, query_end`` of each alignment over whole regions, once, with the number of ``regions``."""
+        over = self._details(self.found.where("kind is null").select("query_entry", "chrom", "n", "regions"))
+        return over.select("chrom", F.col("ref_start").alias("r_start"), F.col("ref_end").alias("r_end"), "query_entry", "query_start", "query_end", "regions")
 
     def _flags(self, rows: DataFrame) -> DataFrame:
         keyed = rows.withColumn("_k", F.xxhash64("region_id", "query_entry", "pos", "sv_end", "altpos", "altend"))
-        return V.covered_flags(keyed, self._over().select("chrom", "r_start", "r_end"), ["_k"], "pos", "sv_end").drop("_k")
+        return V.covered_flags(keyed, self.spanning.select("chrom", "r_start", "r_end"), ["_k"], "pos", "sv_end").drop("_k")
 
     @cached_property
     def variants(self) -> DataFrame:
@@ -214,7 +217,8 @@ class Refined:
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return self._over().withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("regions")))).drop("regions", "_i")
+        """A row for each region of each alignment of ``spanning``."""
+        return self.spanning.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("regions")))).drop("regions", "_i")
 
     @cached_property
     def uncovered(self) -> DataFrame:

@@ -100,4 +100,13 @@ def test_variants_store_no_pair_without_one(spark):
     contigs = spark.createDataFrame([("a", 100_000)], "chrom string, contig_len bigint")
     got, held, _ = stored(spark, lambda: commands.refine(spark.createDataFrame(rows, ROWS), spark.createDataFrame(regions, REGIONS), contigs, 20, 10).variants.select("query_entry", "pos", "sv_end", "svlen", "covered").collect())
     assert len(got) > 10 and set(map(tuple, got)) == {("q0", 1050, 1090, 40, True)}
-    assert held <= 2 * len(got) + 100  # was more than the 5,700 pairs without a variant
+    assert held <= 2 * len(got) + 100  # before, each of the 6,000 pairs was a row
+
+
+def test_coverage_is_known_without_a_row_for_each_region(spark):
+    rows = [("a", f"q{q}", 100, 9000, 100, 9000 + q, q, 0, "8901M") for q in range(20)] + [("a", "q0", 100, 9000, 100, 9000, 20, 0, "8901M")]
+    regions = [(f"g{i}", "a", 1000 + i, 1100 + i) for i in range(300)]
+    contigs = spark.createDataFrame([("a", 100_000)], "chrom string, contig_len bigint")
+    got, held, _ = stored(spark, lambda: commands.refine(spark.createDataFrame(rows, ROWS), spark.createDataFrame(regions, REGIONS), contigs, 20, 30).spanning.collect())
+    assert sorted(map(tuple, got)) == sorted([("a", 100, 9000, "q0", 100, 9000, 300), *(("a", 100, 9000, f"q{q}", 100, 9000 + q, 300) for q in range(20))])
+    assert held <= 100  # before, each of the 6,000 pairs was a row
